@@ -100,8 +100,8 @@ def gender_code(c: Column) -> Column:
 
 
 def station_id(c: Column) -> Column:
-    """Undo a float round trip of a whole-number id: ``72.0`` is ``72``."""
-    return F.regexp_replace(c, r"^(\d+)\.0$", "$1")
+    """Undo a float round trip of a whole-number id: ``72.0`` is ``72``. The pattern runs on the few ids that need it."""
+    return F.when(c.endswith(".0"), F.regexp_replace(c, r"^(\d+)\.0$", "$1")).otherwise(c)
 
 
 def whole_number(c: Column) -> Column:

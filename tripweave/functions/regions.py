@@ -27,8 +27,8 @@ EXCLUDED_REGIONS = ["None", "SYS"]
 NJ_PREFIX = r"(?:JC|HB)"
 
 
-def region_regex(region: str) -> str:
-    return "^(?:" + "|".join(REGION_PATTERNS[region]) + ")"
+def region_regex(*names: str) -> str:
+    return "^(?:" + "|".join(p for n in names for p in REGION_PATTERNS[n]) + ")"
 
 
 def _id(station_id: Column) -> Column:
@@ -59,7 +59,10 @@ def region_of(station_id: Column, publisher: Column | str | None = None) -> Colu
     return region
 
 
-def is_trip(start_region: Column, end_region: Column) -> Column:
-    """False for rides that touch a system or missing station; unrecognised (null) regions stay."""
-    excluded = [F.coalesce(r.isin(EXCLUDED_REGIONS), F.lit(False)) for r in (start_region, end_region)]
-    return ~(excluded[0] | excluded[1])
+def is_trip(start_station_id: Column, end_station_id: Column) -> Column:
+    """False for rides that touch a system or missing station; unrecognised ids stay.
+
+    Tests the ids, one pattern per end, so that it can run before the regions are worked out.
+    """
+    excluded = region_regex(*EXCLUDED_REGIONS)
+    return ~_id(start_station_id).rlike(excluded) & ~_id(end_station_id).rlike(excluded)

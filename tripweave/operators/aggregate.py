@@ -103,7 +103,7 @@ def histogram_peak(histogram: DataFrame, bucket: str = "bucket", count: str = "n
 def region_matrix(rides: DataFrame, regions: Sequence[str]) -> DataFrame:
     """Rides by start region (rows) and end region (columns)."""
     counts = rides.where(F.col("start_region").isNotNull() & F.col("end_region").isNotNull())
-    return counts.groupBy("start_region").pivot("end_region", list(regions)).agg(F.count("*"))
+    return counts.groupBy("start_region").pivot("end_region", list(regions)).agg(F.count(F.lit(1)))
 
 
 def category_percentages(rides: DataFrame, category: Column, values: Sequence[str], by_region: bool = False) -> DataFrame:
@@ -112,7 +112,7 @@ def category_percentages(rides: DataFrame, category: Column, values: Sequence[st
     if by_region:
         keys["region"] = F.col("start_region")
     rows = rides.select(*[c.alias(n) for n, c in keys.items()], category.alias("_category")).dropna()
-    wide = rows.groupBy(*keys).pivot("_category", list(values)).agg(F.count("*"))
+    wide = rows.groupBy(*keys).pivot("_category", list(values)).agg(F.count(F.lit(1)))
     total = sum((F.coalesce(F.col(v), F.lit(0)) for v in values), F.lit(0))
     return wide.withColumns({f"{v}_pct": F.round(F.col(v) / total * 100, 1) for v in values})
 

@@ -41,6 +41,11 @@ def normalize(
     keep = list(keep)
     src = harmonize_columns(df, keep)
     types = {f.name: f.dataType for f in src.schema.fields}
+    start_id, end_id = F.col("start_station_id"), F.col("end_station_id")
+    if keep_incomplete:
+        src = src.where(regions.is_trip(start_id, F.coalesce(end_id, start_id)))
+    else:
+        src = src.where(regions.is_trip(start_id, end_id))
 
     def present(name: str) -> Column:
         return F.col(name) if name in types else F.lit(None)
@@ -63,17 +68,14 @@ def normalize(
     elif isinstance(types["gender"], T.StringType):
         values["gender"] = codes.gender_code(F.col("gender"))
     for name in ("birth_year", "bike_id"):
-        values[name] = codes.whole_number(present(name))
+        if not isinstance(types.get(name), T.IntegralType):
+            values[name] = codes.whole_number(present(name))
     named = src.select(*[v.alias(n) for n, v in values.items() if not n.endswith("_region")], *keep)
 
-    start = regions.region_of(F.col("start_station_id"), publisher)
-    end = regions.region_of(F.col("end_station_id"), publisher)
-    placed = named.withColumns({"start_region": start, "end_region": end})
+    start, end = regions.region_of(start_id, publisher), regions.region_of(end_id, publisher)
     if keep_incomplete:
-        s, e = F.col("start_region"), F.col("end_region")
-        placed = placed.withColumn("end_region", F.when(e == regions.NO_STATION, s).otherwise(e))
-    trips = placed.where(regions.is_trip(F.col("start_region"), F.col("end_region")))
-    return trips.select(*RIDE_COLUMNS, *keep)
+        end = F.when(end_id.isNull(), start).otherwise(end)
+    return named.withColumns({"start_region": start, "end_region": end}).select(*RIDE_COLUMNS, *keep)
 
 
 def add_slice_columns(rides: DataFrame) -> DataFrame:

@@ -16,7 +16,10 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", ranges: int = 64) ->
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     sample = keys.orderBy(F.xxhash64(key), key).limit(ranges - 1)
     cuts = sample.agg(F.sort_array(F.collect_list(key)).alias("cuts"))
-    placed = keys.withColumn("_range", F.size(F.filter(cuts.scalar(), lambda cut: cut <= F.col(key))))
+    cut_keys = keys.withColumn("_cuts", cuts.scalar())
+    below_or_at = F.size(F.filter("_cuts", lambda cut: cut <= F.col(key)))
+    # Never null, or the join would push a null test of the subquery down to the scan behind ``df``.
+    placed = cut_keys.select(key, F.coalesce(below_or_at, F.lit(0)).alias("_range"))
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     below = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_range", F.coalesce(below, F.lit(0)).alias("_below"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripweave.operators.normalize import add_slice_columns, normalize
 from tripweave.operators.quality import drop_duplicate_rows
-from tripweave.session import scratch_path, shared_root
+from tripweave.session import jit_sized_codegen, scratch_path, shared_root
+from tripweave.sinks.writers import write_month_table
 from tripweave.sources.fixture import raw_trips
 
 PROVENANCE = ["file"]
@@ -46,7 +47,8 @@ class Workspace:
             return self.slices
         path = scratch_path(self.spark, "rides")
         # Rebalancing splits a hot month over several tasks and files and packs small ones together.
-        self.slices.hint("rebalance", "end_ym").write.partitionBy("end_ym").parquet(path)
+        with jit_sized_codegen(self.spark):
+            write_month_table(self.slices, path)
         return self.spark.read.schema(self.slices.schema).parquet(path)
 
 

@@ -6,11 +6,30 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # One scratch root per application, named once so that all callers agree on it.
 _ROOTS: dict[str, str] = {}
 
+# The JVM never compiles methods above 8000 bytes of bytecode. Wide projections (harmonising 18 columns) exceed
+# that when fused into one stage and then run interpreted; with this limit Spark splits them instead.
+_JIT_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+@contextmanager
+def jit_sized_codegen(spark: SparkSession) -> Iterator[None]:
+    """Apply the method size limit to the actions inside the block."""
+    name, value = _JIT_LIMIT
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def build_session(app_name: str = "tripweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session for tests, benchmarks and small runs; a cluster brings its own."""
@@ -19,6 +38,7 @@ def build_session(app_name: str = "tripweave", master: str | None = None, shuffl
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config(*_JIT_LIMIT)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -16,8 +16,8 @@ def _station_id(k: str) -> str:
 # Column expressions valid in Spark and in DuckDB alike; headers are those of the published files.
 RAW_COLUMNS = {
     "ride_id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)",
-    "started_at": "begin",
-    "ended_at": """begin + INTERVAL '1' SECOND * CAST(60 + (l_partkey*37 + l_linenumber*611) % 5400
+    "started_at": "t0",
+    "ended_at": """t0 + INTERVAL '1' SECOND * CAST(60 + (l_partkey*37 + l_linenumber*611) % 5400
       + (CASE WHEN l_partkey % 97 = 0 THEN 86400 ELSE 0 END) AS INT)""",
     "start_station_id": _station_id("ks"),
     "start_station_name": "'Station ' || CAST(ks AS STRING) || CASE WHEN l_linenumber = 7 THEN ' (alt)' ELSE '' END",
@@ -49,7 +49,7 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", (F.col("l_suppkey") % 40).alias("ke")
     )
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_orderstatus", (F.col("o_custkey") % 40).alias("ks"), F.expr(BEGIN).alias("begin")
+        "o_orderkey", "o_orderstatus", (F.col("o_custkey") % 40).alias("ks"), F.expr(BEGIN).alias("t0")
     )
     joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(*[F.expr(e).alias(n) for n, e in RAW_COLUMNS.items()])
