@@ -33,7 +33,8 @@ def normalize(
 ) -> DataFrame:
     """Harmonise names, codes and types, classify both stations and drop non-trips.
 
-    Always emits all ride columns, null where the source has none. ``keep`` columns (provenance) ride along.
+    Always emits all ride columns, null where the source has none. ``keep`` columns (provenance) ride along;
+    a ``publisher`` column has to be one of them.
     One narrow projection and filter: no shuffle, and it fuses into the scan stage.
 
     ``keep_incomplete`` keeps rides without an end station and books them to their start region.

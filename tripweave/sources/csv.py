@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.sources.headers import harmonize_columns, sort_columns
+from tripweave.operators.normalize import normalize
+from tripweave.sources.headers import sort_columns
 
 # Texts that stand for a missing value.
 NULL_MARKER = r"\N"
@@ -39,13 +41,13 @@ def read_trip_csv(spark: SparkSession, paths: str | Sequence[str], header: Seque
     return null_texts_to_null(rows).withColumn("file", F.col("_metadata.file_name"))
 
 
-def read_trip_eras(spark: SparkSession, eras: Sequence[str | Sequence[str]]) -> DataFrame:
-    """Files of several header eras, one entry per era, under canonical names; absent columns are null."""
-    frames = [harmonize_columns(read_trip_csv(spark, paths), keep=["file"]) for paths in eras]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+def read_trip_eras(spark: SparkSession, eras: Sequence[str | Sequence[str]], publisher: str | None = None) -> DataFrame:
+    """Ride table from files of several header eras, one entry per era.
+
+    Each era is normalised on its own, as a column that an era lacks has a default there.
+    """
+    frames = [normalize(read_trip_csv(spark, paths), publisher=publisher) for paths in eras]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_sorted_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -54,9 +54,9 @@ def read_station_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pair_json(spark: SparkSession, path: str) -> DataFrame:
     """Pair counts from ``{start: {end: count}}``."""
-    objects = _json_objects(spark, path, "map<int, map<int, long>>")
+    objects = _json_objects(spark, path, "map<string, map<string, long>>")
     starts = objects.select(F.explode("m").alias("sidx", "d"))
-    return starts.select("sidx", F.explode("d").alias("eidx", "count"))
+    return starts.select(F.col("sidx").cast("int").alias("sidx"), F.explode("d").alias("eidx", "count")).withColumn("eidx", F.col("eidx").cast("int"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
