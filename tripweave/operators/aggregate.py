@@ -215,9 +215,10 @@ def append_new_months(
 ) -> DataFrame:
     """Stored monthly aggregate plus ``build(rides of later months)``; stored months are not recomputed.
 
-    The last stored month enters the plan as a scalar subquery of the aggregate, and ``build`` sees only rides
-    that start after it.
+    The end of the last stored month enters the plan as a scalar subquery and is compared with the start time
+    itself, so the predicate reaches the scan's row-group statistics.
     """
-    last = stored.agg(F.max(F.col(year) * 100 + F.col(month)).alias("ym"))
-    newer = rides.where(temporal.year_month_int("start_time") > F.coalesce(last.scalar(), F.lit(0)))
+    month_start = F.make_date(F.col(year), F.col(month), F.lit(1))
+    after = stored.agg(F.add_months(F.max(month_start), 1).cast("timestamp_ntz").alias("after")).scalar()
+    newer = rides.where(after.isNull() | (F.col("start_time") >= after))
     return stored.unionByName(build(newer))
