@@ -40,7 +40,7 @@ def _rows(table: pa.Table) -> Counter:
 def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     """What differs between the query's rows and the SQL's; empty if nothing does."""
     got = df.toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     problems = []
     if sorted(got.column_names) != sorted(want.column_names):
         return [f"columns {sorted(got.column_names)} against {sorted(want.column_names)}"]

@@ -1,0 +1,93 @@
+import gzip
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows
+from tests.test_normalize import ERA3
+from tripweave.operators import aggregate as agg
+from tripweave.operators import stations as st
+from tripweave.operators.normalize import add_slice_columns
+from tripweave.sinks import writers
+from tripweave.sources import tables
+
+
+def parts(path) -> list[str]:
+    return sorted({str(p.parent.relative_to(path)) for p in Path(path).rglob("*.parquet")})
+
+
+def test_month_table_prunes_by_end_month(spark, rides_of, tmp_path):
+    path = str(tmp_path / "t")
+    rides = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"}))
+    writers.write_month_table(rides, path)
+    assert parts(path) == ["end_ym=202001", "end_ym=202002"]
+    table = tables.read_tables(spark, path)
+    assert rows(table.select(*rides.columns)) == rows(rides)
+    plan = table.where("end_ym = 202001")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(end_ym" in plan
+    with pytest.raises(Exception, match="(?i)already exists"):
+        writers.write_month_table(rides, path)
+
+
+def test_source_month_rewrite_removes_stale_slices(spark, rides_of, tmp_path):
+    base = str(tmp_path / "t")
+    first = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})).withColumn("src_ym", F.lit(202001))
+    other = first.withColumn("src_ym", F.lit(202002))
+    for ym in (202001, 202002):
+        writers.write_source_month(first.unionByName(other), base, ym)
+    assert len(parts(base)) == 4
+    writers.write_source_month(first.where("end_ym = 202002"), base, 202001)
+    assert parts(base) == ["src_ym=202001/start_ym=202001/end_ym=202002", "src_ym=202002/start_ym=202001/end_ym=202001", "src_ym=202002/start_ym=202001/end_ym=202002"]
+    month = tables.read_end_month(spark, base, 202002)
+    assert sorted(r.file for r in month.collect()) == ["202001/202001_202002", "202002/202001_202002"]
+    assert tables.tag_file(spark.read.parquet(base)).where("file like '%src_ym=202001%'").count() == 1
+
+
+def test_end_month_overwrite_leaves_other_months(spark, rides_of, tmp_path):
+    path = str(tmp_path / "t")
+    writers.write_month_table(add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})), path)
+    writers.write_end_months(add_slice_columns(rides_of({"gender": 2}, {"gender": 0})), path)
+    assert rows(spark.read.parquet(path).groupBy("end_ym").count()) == [(202001, 1), (202002, 2)]
+
+
+def test_sorted_csv(spark, tmp_path):
+    lines = [("R2", "b"), ("R1", "a"), ("R3", None)]
+    df = spark.createDataFrame(lines, "ride_id string, started_at string").withColumn("ended_at", F.lit("z"))
+    blank = df.unionByName(spark.createDataFrame([(None, None, None)], "ride_id string, started_at string, ended_at string"))
+    writers.write_sorted_csv(blank.select("started_at", "ended_at", "ride_id").repartition(3), str(tmp_path / "c"))
+    text = "".join(gzip.open(p, "rt").read() for p in sorted(Path(tmp_path / "c").glob("*.csv.gz")))
+    body = [line for line in text.splitlines() if not line.startswith("started_at")]
+    assert body == [r"\N,z,R3", "a,z,R1", "b,z,R2"]
+    assert set(ERA3) >= {"started_at", "ended_at", "ride_id"}
+
+
+def test_json_records_and_existing_output(spark, rides_of, tmp_path):
+    path = str(tmp_path / "j")
+    cube = agg.cube_display(agg.ride_cube(rides_of({}, {"gender": 2})))
+    writers.write_json_records(cube, path, order=agg.cube_order())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cube.schema.fields)
+    assert rows(tables.read_json_lines(spark, path, schema)) == rows(cube)
+    writers.write_json_records(cube.limit(0), path, overwrite=False)
+    assert tables.read_json_lines(spark, path, schema).count() == 2
+    writers.write_json_records(cube.limit(1), path, overwrite=True)
+    assert tables.read_json_lines(spark, path, schema).count() == 1
+
+
+def test_station_and_pair_json(spark, rides_of, tmp_path):
+    rides = rides_of({}, {}, {"end_station_id": "HB101"})
+    stations = st.station_table(rides)
+    writers.write_keyed_json(stations, str(tmp_path / "s"))
+    assert rows(tables.read_station_json(spark, str(tmp_path / "s"))) == rows(stations)
+    pairs = st.encode_pairs(st.station_pairs(rides), st.station_index(stations))
+    writers.write_pair_json(st.pair_maps(pairs), str(tmp_path / "p"))
+    assert "".join(p.read_text() for p in Path(tmp_path / "p").glob("part*")).split() == ['{"0":{"1":1,"2":2}}']
+    assert rows(tables.read_pair_json(spark, str(tmp_path / "p"))) == rows(pairs)
+
+
+def test_aggregate_and_sql_table(spark, rides_of, tmp_path):
+    out = agg.aggregate_rides(rides_of({}), "se", "c")
+    writers.write_table(out, str(tmp_path / "se_c"))
+    assert rows(tables.read_tables(spark, [str(tmp_path / "se_c")])) == rows(out)
+    out.createOrReplaceTempView("se_c_view")
+    assert rows(tables.read_sql_table(spark, "se_c_view")) == rows(out)
