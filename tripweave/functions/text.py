@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def starts_with_pattern(c: Column, pattern: str = NJ_PREFIX, negate: bool = Fals
     return ~hit if negate else hit
 
 
+def all_known(columns: Sequence[str]) -> Column:
+    """No column is null. Written out per column, as a scan can evaluate it that way."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns], F.lit(True))
+
+
 def include_exclude(c: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
     """Keep values matching any ``include`` pattern, or none of the ``exclude`` patterns, not both."""
     if include and exclude:

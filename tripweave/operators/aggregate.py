@@ -32,7 +32,7 @@ def aggregate_rides(
     names = [n for k in select_keys(keys, ride_keys()) for n, _ in k.columns]
     values = [known[m][1].alias(known[m][0]) for m in known if m in measures]
     sums = [F.sum(known[m][0]).alias(known[m][0]) for m in known if m in measures]
-    narrow = rides.select(*by, *key_cols, *values).dropna(subset=names) if names else rides.select(*by, *values)
+    narrow = rides.select(*by, *key_cols, *values).where(text.all_known(names))
     return narrow.groupBy(*by, *names).agg(*sums)
 
 
@@ -111,7 +111,7 @@ def category_percentages(rides: DataFrame, category: Column, values: Sequence[st
     keys = {"year": F.year("start_time"), "month": F.month("start_time")}
     if by_region:
         keys["region"] = F.col("start_region")
-    rows = rides.select(*[c.alias(n) for n, c in keys.items()], category.alias("_category")).dropna()
+    rows = rides.select(*[c.alias(n) for n, c in keys.items()], category.alias("_category")).where(text.all_known([*keys, "_category"]))
     wide = rows.groupBy(*keys).pivot("_category", list(values)).agg(F.count(F.lit(1)))
     total = sum((F.coalesce(F.col(v), F.lit(0)) for v in values), F.lit(0))
     return wide.withColumns({f"{v}_pct": F.round(F.col(v) / total * 100, 1) for v in values})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripweave.functions.text import all_known
 from tripweave.operators.aggregate import aggregate_rides
 from tripweave.operators.ranking import dense_index
 from tripweave.schema import Key, select_keys
@@ -42,7 +43,7 @@ def station_meta_hist(rides: DataFrame, keys: str) -> DataFrame:
     """How often stations appear, at either end of a ride, by the given letters; null keys are left out."""
     chosen = [(n, c) for k in select_keys(keys, _meta_keys()) for n, c in k.columns]
     names = [n for n, _ in chosen]
-    rows = _both_ends(rides).select(*[c.alias(n) for n, c in chosen]).dropna(subset=names)
+    rows = _both_ends(rides).select(*[c.alias(n) for n, c in chosen]).where(all_known(names))
     return rows.groupBy(*names).agg(F.count("*").alias("count"))
 
 

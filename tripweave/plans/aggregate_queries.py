@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tripweave.functions import codes, temporal, text
 from tripweave.operators import aggregate as agg
 from tripweave.operators import quality
-from tripweave.operators.stations import station_table
 from tripweave.plans.prelude import DAY, DURATION, HOUR, MONTH, RIDES_AND_SECONDS, WEEKDAY, YEAR, keyed, with_prelude
 from tripweave.plans.registry import query
 
@@ -104,7 +103,7 @@ def _(w):
     ),
 )
 def _(w):
-    return agg.reaggregate(agg.ride_cube(w.rides), ["region", "start_year"])
+    return agg.reaggregate(w.cube, ["region", "start_year"])
 
 
 @query(
@@ -139,7 +138,7 @@ def _(w):
     ),
 )
 def _(w):
-    return agg.cube_short(agg.cube_display(agg.ride_cube(w.rides)))
+    return agg.cube_short(agg.cube_display(w.cube))
 
 
 @query(
@@ -154,7 +153,7 @@ def _(w):
     ),
 )
 def _(w):
-    display = agg.cube_display(agg.ride_cube(w.rides))
+    display = agg.cube_display(w.cube)
     order = Window.partitionBy("year", "month", "region").orderBy(*agg.cube_order())
     return display.withColumn("position", F.row_number().over(order)).orderBy(*agg.cube_order())
 
@@ -302,7 +301,7 @@ STATION_NAME_SQL = """SELECT id, name FROM (
     ),
 )
 def _(w):
-    return agg.station_counts(w.rides, station_table(w.rides), "1995-01-01", "2001-08-31", nj=True, weekdays=True)
+    return agg.station_counts(w.rides, w.stations, "1995-01-01", "2001-08-31", nj=True, weekdays=True)
 
 
 @query(
@@ -317,7 +316,7 @@ def _(w):
     ),
 )
 def _(w):
-    return agg.station_counts(w.rides, station_table(w.rides), "1995-01-01", "2001-08-31", nj=False, weekdays=[0, 5])
+    return agg.station_counts(w.rides, w.stations, "1995-01-01", "2001-08-31", nj=False, weekdays=[0, 5])
 
 
 @query(
@@ -331,7 +330,7 @@ def _(w):
     ),
 )
 def _(w):
-    counts = agg.station_counts(w.rides, station_table(w.rides), "1995-01-01", "2001-08-31", keys=["day", "weekday"], nj=True)
+    counts = agg.station_counts(w.rides, w.stations, "1995-01-01", "2001-08-31", keys=["day", "weekday"], nj=True)
     return counts.withColumn("day_class", temporal.day_class("weekday"))
 
 

@@ -327,7 +327,7 @@ def _(w):
 @query("json_records", with_prelude(DISPLAY_SQL, cube=CUBE_SQL))
 def _(w):
     path = scratch_path(w.spark, "records")
-    cube = agg.cube_display(agg.ride_cube(w.rides))
+    cube = agg.cube_display(w.cube)
     writers.write_json_records(cube, path, order=agg.cube_order())
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cube.schema.fields)
     return tables.read_json_lines(w.spark, path, schema)
@@ -336,14 +336,14 @@ def _(w):
 @query("station_json", with_prelude("SELECT id, name, round(lat, 6) AS lat, round(lng, 6) AS lng, ends FROM stations", **STATION_TABLES))
 def _(w):
     path = scratch_path(w.spark, "stations")
-    writers.write_keyed_json(st.station_table(w.rides), path)
+    writers.write_keyed_json(w.stations, path)
     return tables.read_station_json(w.spark, path).withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
 
 
 @query("pair_json", with_prelude("SELECT * FROM encoded", **PAIR_TABLES))
 def _(w):
     path = scratch_path(w.spark, "pairs")
-    pairs = st.encode_pairs(st.station_pairs(w.rides), st.station_index(st.station_table(w.rides)))
+    pairs = st.encode_pairs(w.pairs, st.station_index(w.stations))
     writers.write_pair_json(st.pair_maps(pairs), path)
     return tables.read_pair_json(w.spark, path)
 
@@ -351,8 +351,8 @@ def _(w):
 @query("sql_decode_join", with_prelude("SELECT sid AS start_id, eid AS end_id, count FROM pairs", pairs=PAIRS_SQL))
 def _(w):
     """Encoded pairs and the index as SQL views, decoded by two nested left joins."""
-    index = st.station_index(st.station_table(w.rides))
-    st.encode_pairs(st.station_pairs(w.rides), index).createOrReplaceTempView("tripweave_pairs")
+    index = st.station_index(w.stations)
+    st.encode_pairs(w.pairs, index).createOrReplaceTempView("tripweave_pairs")
     index.createOrReplaceTempView("tripweave_index")
     return w.spark.sql(
         """SELECT t.start_id, i.id AS end_id, t.count

@@ -36,7 +36,7 @@ def rolled_sql(columns: list[str], n: int, mode: str, source: str) -> str:
 
 
 def _dash(w):
-    return ts.dashboard_rows(agg.cube_display(agg.ride_cube(w.rides)))
+    return ts.dashboard_rows(agg.cube_display(w.cube))
 
 
 def _total(w):

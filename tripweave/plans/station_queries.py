@@ -43,7 +43,7 @@ def _rounded(df, *columns):
 
 def _indexed(w):
     """Pairs and the station index they refer to."""
-    return st.station_pairs(w.rides), st.station_index(st.station_table(w.rides))
+    return w.pairs, st.station_index(w.stations)
 
 
 @query("station_meta_hist_in", with_prelude(HIST_IN_SQL, ends=ENDS_SQL))
@@ -106,9 +106,14 @@ def _(w):
     return _rounded(st.join_station_profiles(names, positions, arrivals), "lat", "lng")
 
 
+@query("station_pairs", with_prelude(PAIRS_SQL))
+def _(w):
+    return st.station_pairs(w.rides)
+
+
 @query("station_index", with_prelude("SELECT * FROM index", **STATION_TABLES, index=INDEX_SQL))
 def _(w):
-    return st.station_index(st.station_table(w.rides))
+    return st.station_index(w.stations)
 
 
 @query("station_pairs_idx", with_prelude("SELECT * FROM encoded", **PAIR_TABLES))
@@ -162,7 +167,7 @@ def _(w):
     ),
 )
 def _(w):
-    found = st.station_destinations(st.station_pairs(w.rides), st.station_table(w.rides), scale=20)
+    found = st.station_destinations(w.pairs, w.stations, scale=20)
     return _rounded(found, "src_lat", "src_lng", "dst_lat", "dst_lng", "weight")
 
 
@@ -176,7 +181,7 @@ def _(w):
 )
 def _(w):
     starts = agg.aggregate_rides(w.rides, "s", "c").select(F.col("start_station_id").alias("id"), F.col("count").alias("starts"))
-    joined = starts.join(st.station_table(w.rides).drop("ends"), "id")
+    joined = starts.join(w.stations.drop("ends"), "id")
     return _rounded(joined.withColumn("radius", st.circle_radius(F.col("starts"))), "lat", "lng", "radius").select("id", "name", "lat", "lng", "starts", "radius")
 
 
@@ -232,7 +237,7 @@ def _(w):
     ),
 )
 def _(w):
-    return ranking.first_per_group(st.station_pairs(w.rides), "sid", "count", ["eid"])
+    return ranking.first_per_group(w.pairs, "sid", "count", ["eid"])
 
 
 # Consecutive years stand for the previous and the current month of a station list.

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripweave.operators.aggregate import ride_cube
 from tripweave.operators.normalize import add_slice_columns, normalize
 from tripweave.operators.quality import drop_duplicate_rows
+from tripweave.operators.stations import station_pairs, station_table
 from tripweave.session import jit_sized_codegen, scratch_path, shared_root
-from tripweave.sinks.writers import write_month_table
+from tripweave.sinks.writers import write_month_table, write_table
 from tripweave.sources.fixture import raw_trips
 
 PROVENANCE = ["file"]
 
 
 class Workspace:
-    """Raw and normalised trips of one data folder in one session.
+    """Raw trips, the ride table and its stored aggregates for one data folder in one session.
 
-    Normalising ends in a full-row dedupe, the one wide shuffle of the pipeline. It runs once: the result is
-    written to the shared folder, partitioned by end month, and the queries prune columns and months from there.
-    Without a shared folder the table stays a lazy plan.
+    The pipeline stores what later stages share, each table once, in the shared folder, so a lost executor
+    costs a re-read and not a recomputation:
+
+    - ``rides``: normalising ends in a full-row dedupe, the one wide shuffle. The table is partitioned by end
+      month, and queries prune columns and months.
+    - ``cube``, ``stations``, ``pairs``: the aggregates that dashboards and station pages work on. Series and
+      pair queries read these instead of aggregating the rides again.
+
+    Without a shared folder everything stays a lazy plan.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def _stored(self, name: str, table: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
+        if shared_root(self.spark) is None:
+            return table
+        path = scratch_path(self.spark, name)
+        with jit_sized_codegen(self.spark):
+            write(table, path)
+        return self.spark.read.schema(table.schema).parquet(path)
+
     @cached_property
     def raw(self) -> DataFrame:
         return raw_trips(self.spark, self.sf_dir)
@@ -37,19 +54,20 @@ class Workspace:
         return normalize(self.raw, keep=PROVENANCE)
 
     @cached_property
-    def slices(self) -> DataFrame:
-        """Normalised distinct rows with start and end month, as a lazy plan."""
-        return add_slice_columns(drop_duplicate_rows(self.normalized))
+    def rides(self) -> DataFrame:
+        return self._stored("rides", add_slice_columns(drop_duplicate_rows(self.normalized)), write_month_table)
 
     @cached_property
-    def rides(self) -> DataFrame:
-        if shared_root(self.spark) is None:
-            return self.slices
-        path = scratch_path(self.spark, "rides")
-        # Rebalancing splits a hot month over several tasks and files and packs small ones together.
-        with jit_sized_codegen(self.spark):
-            write_month_table(self.slices, path)
-        return self.spark.read.schema(self.slices.schema).parquet(path)
+    def cube(self) -> DataFrame:
+        return self._stored("cube", ride_cube(self.rides), write_table)
+
+    @cached_property
+    def stations(self) -> DataFrame:
+        return self._stored("stations", station_table(self.rides), write_table)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return self._stored("pairs", station_pairs(self.rides), write_table)
 
 
 _OPEN: dict[tuple[str, str], Workspace] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.schema import TIME_KEY
-from tripweave.sources.headers import sort_columns
+from tripweave.sources.csv import sort_rows
 
 _MODES = {True: "overwrite", False: "ignore", None: "errorifexists"}
 
@@ -49,13 +49,14 @@ def write_table(df: DataFrame, path: str, overwrite: bool | None = None) -> None
 
 
 def write_sorted_csv(rows: DataFrame, path: str) -> None:
-    """Gzipped CSV in start, stop and id order, blank rows dropped.
+    """Gzipped CSV in start, stop and id order, blank rows dropped, equal keys in their old order.
 
-    The global order runs across part files: a range sort, no single-task collapse.
+    The global order runs across part files: a range sort, no single-task collapse. The old position is part of
+    the sort key, so rows with equal keys can be cut into several ranges as well.
     """
-    keys = sort_columns(rows.columns)
-    filled = rows.where(F.coalesce(*[F.col(f"`{c}`") for c in rows.columns]).isNotNull())
-    filled.orderBy(*[F.col(f"`{k}`") for k in keys]).write.option("header", True).option("nullValue", r"\N").option("compression", "gzip").csv(path)
+    sort_rows(rows.where(F.coalesce(*[F.col(f"`{c}`") for c in rows.columns]).isNotNull())).write.option("header", True).option(
+        "nullValue", r"\N"
+    ).option("compression", "gzip").csv(path)
 
 
 def write_json_records(df: DataFrame, path: str, overwrite: bool | None = None, order: Sequence | None = None) -> None:

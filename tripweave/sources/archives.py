@@ -22,7 +22,7 @@ from contextlib import ExitStack
 import pandas as pd
 import pyarrow as pa
 from pyarrow import csv as pacsv
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,11 @@ def list_members(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFra
     return archives.select("path").mapInPandas(scan, MEMBER_SCHEMA)
 
 
+def _archive_month() -> WindowSpec:
+    """A window over the listing keeps it to one pass; it holds the byte ranges of one month of one archive."""
+    return Window.partitionBy("archive", "src_ym")
+
+
 def choose_layout(members: DataFrame, name_type: int = 1) -> DataFrame:
     """Of a month that an archive holds in two layouts, keep one.
 
@@ -163,14 +168,13 @@ def choose_layout(members: DataFrame, name_type: int = 1) -> DataFrame:
     if name_type not in (1, 2, 11, 22):
         raise ValueError(f"name_type must be 1, 2, 11 or 22, not {name_type}")
     wanted = name_type % 10
-    has = members.where("layout > 0").groupBy("archive", "src_ym").agg(F.max(F.col("layout") == wanted).alias("_has"))
-    tagged = members.join(has, ["archive", "src_ym"], "left")
+    has_wanted = F.max(F.col("layout") == wanted).over(_archive_month())
+    tagged = members.withColumn("_has", has_wanted)
     if name_type > 2:
-        missing = (F.col("layout") > 0) & ~F.col("_has")
         message = F.concat_ws(" ", F.lit(f"no type {wanted} member for month"), F.col("src_ym").cast("string"), F.lit("in"), "archive")
+        missing = (F.col("layout") > 0) & ~F.col("_has")
         tagged = tagged.where(F.when(missing, F.raise_error(message)).otherwise(F.lit(True)))
-    keep: Column = F.col("_has").isNull() | ~F.col("_has") | (F.col("layout") == wanted) | (F.col("layout") == 0)
-    return tagged.where(keep).select(members.columns)
+    return tagged.where(F.col("layout").isin(0, wanted) | ~F.col("_has")).select(members.columns)
 
 
 def header_mismatches(members: DataFrame) -> DataFrame:
@@ -180,10 +184,10 @@ def header_mismatches(members: DataFrame) -> DataFrame:
 
 def check_headers(members: DataFrame) -> DataFrame:
     """The same members; the query fails if an archive month has more than one header."""
-    bad = header_mismatches(members).withColumn("_bad", F.lit(True))
-    tagged = members.join(bad, ["archive", "src_ym"], "left")
+    differ = F.min("header").over(_archive_month()) != F.max("header").over(_archive_month())
     message = F.concat_ws(" ", F.lit("headers differ within month"), F.col("src_ym").cast("string"), F.lit("of"), "archive")
-    return tagged.where(F.when(F.col("_bad"), F.raise_error(message)).otherwise(F.lit(True))).select(members.columns)
+    tagged = members.withColumn("_differ", differ)
+    return tagged.where(F.when(F.col("_differ"), F.raise_error(message)).otherwise(F.lit(True))).select(members.columns)
 
 
 class _RangeLines(io.RawIOBase):

@@ -50,7 +50,12 @@ def read_trip_eras(spark: SparkSession, eras: Sequence[str | Sequence[str]], pub
     return reduce(DataFrame.unionByName, frames)
 
 
+def sort_rows(rows: DataFrame) -> DataFrame:
+    """Raw rows of one header era in start, stop and id order, equal keys in their old order."""
+    keys = [F.col(f"`{c}`") for c in sort_columns(rows.columns)]
+    return rows.withColumn("_position", F.monotonically_increasing_id()).orderBy(*keys, "_position").drop("_position")
+
+
 def read_sorted_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Rows of one header era in start, stop and id order, without blank lines."""
-    rows = read_trip_csv(spark, paths).drop("file")
-    return rows.orderBy(*[F.col(f"`{c}`") for c in sort_columns(rows.columns)])
+    """Rows of one header era in sorted order, without blank lines."""
+    return sort_rows(read_trip_csv(spark, paths).drop("file"))
