@@ -19,7 +19,8 @@ def starts_with_pattern(c: Column, pattern: str = NJ_PREFIX, negate: bool = Fals
 
 def all_known(columns: Sequence[str]) -> Column:
     """No column is null. Written out per column, as a scan can evaluate it that way."""
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns], F.lit(True))
+    known = [F.col(c).isNotNull() for c in columns]
+    return reduce(lambda a, b: a & b, known) if known else F.lit(True)
 
 
 def include_exclude(c: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:

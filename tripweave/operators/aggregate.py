@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.functions import codes, temporal, text
-from tripweave.schema import ride_keys, ride_measures, select_keys
+from tripweave.schema import RIDE_KEYS, RIDE_MEASURES, measure_value, select_keys
 
 
 def aggregate_rides(
@@ -24,16 +24,15 @@ def aggregate_rides(
     A ride with a null in any key is left out. ``by`` adds plain columns, such as the storage month. Only the
     columns behind the letters are read, and both sums combine before the shuffle.
     """
-    known = ride_measures(duration_mode)
-    unknown = sorted(set(measures) - set(known))
+    unknown = sorted(set(measures) - set(RIDE_MEASURES))
     if unknown or not measures:
-        raise ValueError(f"measures must be letters of {sorted(known)}, not {measures!r}")
-    key_cols = [c.alias(n) for k in select_keys(keys, ride_keys()) for n, c in k.columns]
-    names = [n for k in select_keys(keys, ride_keys()) for n, _ in k.columns]
-    values = [known[m][1].alias(known[m][0]) for m in known if m in measures]
-    sums = [F.sum(known[m][0]).alias(known[m][0]) for m in known if m in measures]
-    narrow = rides.select(*by, *key_cols, *values).where(text.all_known(names))
-    return narrow.groupBy(*by, *names).agg(*sums)
+        raise ValueError(f"measures must be letters of {sorted(RIDE_MEASURES)}, not {measures!r}")
+    key_cols = [(n, make()) for k in select_keys(keys, RIDE_KEYS) for n, make in k.columns]
+    names = [n for n, _ in key_cols]
+    chosen = {m: n for m, n in RIDE_MEASURES.items() if m in measures}
+    values = [measure_value(m, duration_mode).alias(n) for m, n in chosen.items()]
+    narrow = rides.select(*by, *[c.alias(n) for n, c in key_cols], *values).where(text.all_known(names))
+    return narrow.groupBy(*by, *names).agg(*[F.sum(n).alias(n) for n in chosen.values()])
 
 
 def reaggregate(aggregate: DataFrame, keys: Sequence[str], measures: Sequence[str] = ("count", "duration")) -> DataFrame:

@@ -13,15 +13,18 @@ from tripweave.operators.ranking import dense_index
 from tripweave.schema import Key, select_keys
 
 
-def _meta_keys() -> list[Key]:
-    """Letters of a station histogram. Year and month are always those of the ride's start."""
-    return [
-        Key("y", "year", (("year", F.year("start_time")),)),
-        Key("m", "month", (("month", F.month("start_time")),)),
-        Key("i", "id", (("id", F.col("_station.id")),)),
-        Key("n", "name", (("name", F.col("_station.name")),)),
-        Key("l", "lat_lng", (("lat", F.col("_station.lat")), ("lng", F.col("_station.lng")))),
-    ]
+def _of_station(**columns: str) -> tuple:
+    return tuple((n, lambda f=f: F.col(f"_station.{f}")) for n, f in columns.items())
+
+
+# Letters of a station histogram. Year and month are always those of the ride's start.
+META_KEYS = [
+    Key("y", "year", (("year", lambda: F.year("start_time")),)),
+    Key("m", "month", (("month", lambda: F.month("start_time")),)),
+    Key("i", "id", _of_station(id="id")),
+    Key("n", "name", _of_station(name="name")),
+    Key("l", "lat_lng", _of_station(lat="lat", lng="lng")),
+]
 
 
 def _both_ends(rides: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def _both_ends(rides: DataFrame) -> DataFrame:
 
 def station_meta_hist(rides: DataFrame, keys: str) -> DataFrame:
     """How often stations appear, at either end of a ride, by the given letters; null keys are left out."""
-    chosen = [(n, c) for k in select_keys(keys, _meta_keys()) for n, c in k.columns]
+    chosen = [(n, make()) for k in select_keys(keys, META_KEYS) for n, make in k.columns]
     names = [n for n, _ in chosen]
     rows = _both_ends(rides).select(*[c.alias(n) for n, c in chosen]).where(all_known(names))
     return rows.groupBy(*names).agg(F.count("*").alias("count"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -44,44 +45,50 @@ SLICE_COLUMNS = ["src_ym", "start_ym", "end_ym"]
 
 @dataclass(frozen=True)
 class Key:
-    """One letter of a group-by specification and the columns it stands for."""
+    """One letter of a group-by specification and the columns it stands for.
+
+    Columns are made when they are used: a registry of finished columns would cost a call to the JVM each.
+    """
 
     letter: str
     name: str
-    columns: tuple[tuple[str, Column], ...]
+    columns: tuple[tuple[str, Callable[[], Column]], ...]
 
 
-def ride_keys() -> list[Key]:
-    """Group-by letters of a ride aggregate, in output column order.
+def _own(*names: str) -> tuple[tuple[str, Callable[[], Column]], ...]:
+    """Key columns that are ride columns."""
+    return tuple((n, lambda n=n: F.col(n)) for n in names)
 
-    Rides belong to the region and the calendar month they start in.
-    """
-    start = F.col("start_time")
-    return [
-        Key("r", "region", (("region", F.col("start_region")),)),
-        Key("y", "year", (("start_year", F.year(start)),)),
-        Key("m", "month", (("start_month", F.month(start)),)),
-        Key("d", "day", (("start_day", F.dayofmonth(start)),)),
-        Key("w", "weekday", (("start_weekday", F.weekday(start)),)),
-        Key("h", "hour", (("start_hour", F.hour(start)),)),
-        Key("g", "gender", (("gender", F.col("gender")),)),
-        Key("t", "user_type", (("user_type", F.col("user_type")),)),
-        Key("b", "rideable_type", (("rideable_type", F.col("rideable_type")),)),
-        Key("s", "start_station", (("start_station_id", F.col("start_station_id")),)),
-        Key("e", "end_station", (("end_station_id", F.col("end_station_id")),)),
-        Key("n", "start_name", (("start_station_name", F.col("start_station_name")),)),
-        Key("N", "end_name", (("end_station_name", F.col("end_station_name")),)),
-        Key("l", "start_position", (("start_lat", F.col("start_lat")), ("start_lng", F.col("start_lng")))),
-        Key("L", "end_position", (("end_lat", F.col("end_lat")), ("end_lng", F.col("end_lng")))),
-    ]
-
-
-#: Measures of a ride aggregate: letter -> (column, per-ride value).
-def ride_measures(duration_mode: str = "component") -> dict[str, tuple[str, Column]]:
-    return {
-        "c": ("count", F.lit(1).cast("long")),
-        "d": ("duration", temporal.duration_seconds("start_time", "stop_time", duration_mode)),
-    }
+
+# Group-by letters of a ride aggregate, in output column order. Rides belong to the region and the calendar
+# month they start in.
+RIDE_KEYS = [
+    Key("r", "region", (("region", lambda: F.col("start_region")),)),
+    Key("y", "year", (("start_year", lambda: F.year("start_time")),)),
+    Key("m", "month", (("start_month", lambda: F.month("start_time")),)),
+    Key("d", "day", (("start_day", lambda: F.dayofmonth("start_time")),)),
+    Key("w", "weekday", (("start_weekday", lambda: F.weekday("start_time")),)),
+    Key("h", "hour", (("start_hour", lambda: F.hour("start_time")),)),
+    Key("g", "gender", _own("gender")),
+    Key("t", "user_type", _own("user_type")),
+    Key("b", "rideable_type", _own("rideable_type")),
+    Key("s", "start_station", _own("start_station_id")),
+    Key("e", "end_station", _own("end_station_id")),
+    Key("n", "start_name", _own("start_station_name")),
+    Key("N", "end_name", _own("end_station_name")),
+    Key("l", "start_position", _own("start_lat", "start_lng")),
+    Key("L", "end_position", _own("end_lat", "end_lng")),
+]
+
+#: Measures of a ride aggregate: letter -> column name.
+RIDE_MEASURES = {"c": "count", "d": "duration"}
+
+
+def measure_value(letter: str, duration_mode: str = "component") -> Column:
+    """What one ride adds to a measure."""
+    if letter == "c":
+        return F.lit(1).cast("long")
+    return temporal.duration_seconds("start_time", "stop_time", duration_mode)
 
 
 def select_keys(letters: str, registry: list[Key]) -> list[Key]:
@@ -95,12 +102,12 @@ def select_keys(letters: str, registry: list[Key]) -> list[Key]:
 
 def key_columns(letters: str) -> list[str]:
     """Output column names of a ride aggregate for ``letters``."""
-    return [name for k in select_keys(letters, ride_keys()) for name, _ in k.columns]
+    return [name for k in select_keys(letters, RIDE_KEYS) for name, _ in k.columns]
 
 
 def aggregate_label(letters: str, measures: str) -> str:
     """Storage name of an aggregate, such as ``ymrgtb_cd``."""
     # Label order of the letters.
     order = "ymdwhrgtbsenNlL"
-    select_keys(letters, ride_keys())
+    select_keys(letters, RIDE_KEYS)
     return "".join(c for c in order if c in letters) + "_" + "".join(c for c in "cd" if c in measures)
