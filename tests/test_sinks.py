@@ -44,6 +44,16 @@ def test_source_month_rewrite_removes_stale_slices(spark, rides_of, tmp_path):
     assert tables.tag_file(spark.read.parquet(base)).where("file like '%src_ym=202001%'").count() == 1
 
 
+def test_replaced_source_months_leave_others(spark, rides_of, tmp_path):
+    base = str(tmp_path / "t")
+    first = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})).withColumn("src_ym", F.lit(202001))
+    both = first.unionByName(first.withColumn("src_ym", F.lit(202002)))
+    writers.replace_source_months(both, base, str(tmp_path / "s1"))
+    assert len(parts(base)) == 4
+    writers.replace_source_months(first.where("end_ym = 202002"), base, str(tmp_path / "s2"))
+    assert parts(base) == ["src_ym=202001/start_ym=202001/end_ym=202002", "src_ym=202002/start_ym=202001/end_ym=202001", "src_ym=202002/start_ym=202001/end_ym=202002"]
+
+
 def test_end_month_overwrite_leaves_other_months(spark, rides_of, tmp_path):
     path = str(tmp_path / "t")
     writers.write_month_table(add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})), path)

@@ -324,6 +324,18 @@ def _(w):
     return tables.read_tables(w.spark, path).select(*w.rides.columns)
 
 
+@query(
+    "source_month_refresh",
+    with_prelude("SELECT src_ym, start_ym, end_ym, CAST(count(*) AS BIGINT) AS n FROM slices WHERE start_ym = end_ym GROUP BY 1, 2, 3", **SLICES),
+)
+def _(w):
+    """All slices, then a rerun without rides across a month end, whose slices have to go."""
+    base = scratch_path(w.spark, "slices")
+    writers.replace_source_months(_sliced(w), base, f"{base}-staged")
+    writers.replace_source_months(_sliced(w).where(F.col("start_ym") == F.col("end_ym")), base, f"{base}-staged-again")
+    return tables.read_tables(w.spark, base).groupBy("src_ym", "start_ym", "end_ym").agg(F.count("*").alias("n"))
+
+
 @query("json_records", with_prelude(DISPLAY_SQL, cube=CUBE_SQL))
 def _(w):
     path = scratch_path(w.spark, "records")

@@ -36,6 +36,30 @@ def write_source_month(rides: DataFrame, base: str, src_ym: int) -> None:
     partitioned.write.mode("overwrite").partitionBy("start_ym", "end_ym").parquet(f"{base}/src_ym={src_ym}")
 
 
+def replace_source_months(rides: DataFrame, base: str, staging: str) -> None:
+    """Replace every source month present in ``rides`` with one job.
+
+    All slices are written to ``staging`` first; then each source month's folder takes the place of the old one.
+    The swap only touches folder names, one per source month, and a failed write leaves ``base`` as it was.
+    """
+    keys = ["src_ym", "start_ym", "end_ym"]
+    sorted_rows = rides.hint("rebalance", *keys).sortWithinPartitions(*keys, *TIME_KEY)
+    sorted_rows.write.mode("overwrite").partitionBy(*keys).parquet(staging)
+    spark = rides.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(base))
+    for status in fs.listStatus(path(staging)):
+        name = status.getPath().getName()
+        if not name.startswith("src_ym="):
+            continue
+        target = path(f"{base}/{name}")
+        if fs.exists(target):
+            fs.delete(target, True)
+        if not fs.rename(status.getPath(), target):
+            raise OSError(f"could not move {status.getPath()} to {target}")
+
+
 def write_end_months(rides: DataFrame, path: str) -> None:
     """Replace only the end months present in ``rides``, for incremental runs."""
     rides.hint("rebalance", "end_ym").sortWithinPartitions("end_ym", *TIME_KEY).write.mode("overwrite").option(
