@@ -240,30 +240,30 @@ def _(w):
     return ranking.first_per_group(w.pairs, "sid", "count", ["eid"])
 
 
-# Consecutive years stand for the previous and the current month of a station list.
-_OLD_IDS = "SELECT start_station_id AS id FROM rides WHERE year(start_time) = 1995 AND start_station_id IS NOT NULL"
-_NEW_IDS = "SELECT end_station_id AS id FROM rides WHERE year(start_time) = 2001 AND end_station_id IS NOT NULL"
+# Station lists of all months, next to those of the month before: old keys are moved one month ahead.
+_NEW_IDS = "SELECT CAST(date_trunc('month', start_time) AS DATE) AS month, start_station_id AS id FROM rides WHERE start_station_id IS NOT NULL"
+_OLD_IDS = "SELECT CAST(date_trunc('month', start_time) + INTERVAL 1 MONTH AS DATE) AS month, start_station_id AS id FROM rides WHERE start_station_id IS NOT NULL"
 
 
-def _two_lists(w):
-    old = w.rides.where(F.year("start_time") == 1995).select(F.col("start_station_id").alias("id"))
-    new = w.rides.where(F.year("start_time") == 2001).select(F.col("end_station_id").alias("id"))
-    return old.dropna(), new.dropna()
+def _month_lists(w):
+    month = F.trunc(F.col("start_time").cast("date"), "month")
+    new = w.rides.where(F.col("start_station_id").isNotNull()).select(month.alias("month"), F.col("start_station_id").alias("id"))
+    return new.withColumn("month", F.add_months("month", 1)), new
 
 
 @query("station_added", with_prelude(f"{_NEW_IDS} EXCEPT {_OLD_IDS}"))
 def _(w):
-    return compare.added_keys(*_two_lists(w), ["id"])
+    return compare.added_keys(*_month_lists(w), ["month", "id"])
 
 
 @query("station_lost", with_prelude(f"{_OLD_IDS} EXCEPT {_NEW_IDS}"))
 def _(w):
-    return compare.lost_keys(*_two_lists(w), ["id"])
+    return compare.lost_keys(*_month_lists(w), ["month", "id"])
 
 
 @query("station_kept", with_prelude(f"{_OLD_IDS} INTERSECT {_NEW_IDS}"))
 def _(w):
-    return compare.common_keys(*_two_lists(w), ["id"])
+    return compare.common_keys(*_month_lists(w), ["month", "id"])
 
 
 @query(

@@ -70,12 +70,23 @@ class Workspace:
         return self._stored("pairs", station_pairs(self.rides), write_table)
 
 
-_OPEN: dict[tuple[str, str], Workspace] = {}
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and modification time of the base tables, so that changed tables get a workspace of their own."""
+    found = []
+    for table in ("lineitem", "orders"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+_OPEN: dict[tuple, Workspace] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """The workspace of a folder, shared by all queries of the application."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    folder = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, folder, _version(spark, folder))
     if key not in _OPEN:
-        _OPEN[key] = Workspace(spark, sf_dir)
+        _OPEN[key] = Workspace(spark, folder)
     return _OPEN[key]
