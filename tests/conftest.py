@@ -11,9 +11,9 @@ from tripweave.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     os.environ.setdefault("TRIPWEAVE_DRIVER_MEMORY", "6g")
-    session = build_session("tests", master="local[8]", shuffle_partitions=4)
+    session = build_session("tests", master="local[8]", shuffle_partitions=4, settings={"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -101,3 +101,8 @@ def test_aggregate_and_sql_table(spark, rides_of, tmp_path):
     assert rows(tables.read_tables(spark, [str(tmp_path / "se_c")])) == rows(out)
     out.createOrReplaceTempView("se_c_view")
     assert rows(tables.read_sql_table(spark, "se_c_view")) == rows(out)
+    writers.write_sql_table(out, "se_c_table")
+    assert rows(tables.read_sql_table(spark, "se_c_table")) == rows(out)
+    writers.write_sql_table(out.limit(0), "se_c_table", overwrite=True)
+    assert tables.read_sql_table(spark, "se_c_table").count() == 0
+    spark.sql("DROP TABLE se_c_table")

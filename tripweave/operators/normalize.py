@@ -12,17 +12,19 @@ from tripweave.functions import codes, regions, temporal
 from tripweave.schema import RIDE_COLUMNS, RIDE_TYPES
 from tripweave.sources.headers import harmonize_columns
 
-# Timestamp spellings of the published files, tried after ISO.
-TIME_FORMATS = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm"]
+# Fixed value: the other spelling of dates in the published files, month first.
+MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4}) "
 
 
 def parse_time(c: Column, dtype: T.DataType) -> Column:
-    """Zone-less timestamp from text of any published spelling, or from a timestamp column."""
+    """Zone-less timestamp from text of any published spelling, or from a timestamp column; null if it is neither.
+
+    Month-first dates are turned round as text, so no spelling passes through the session time zone.
+    """
     if not isinstance(dtype, T.StringType):
         return c.cast("timestamp_ntz")
-    iso = c.try_cast("timestamp_ntz")
-    others = [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS]
-    return F.coalesce(iso, *others)
+    iso = F.when(c.contains("/"), F.regexp_replace(c, MONTH_FIRST, "$3-$1-$2 ")).otherwise(c)
+    return iso.try_cast("timestamp_ntz")
 
 
 def normalize(

@@ -31,7 +31,9 @@ def jit_sized_codegen(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def build_session(app_name: str = "tripweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app_name: str = "tripweave", master: str | None = None, shuffle_partitions: int | None = None, settings: dict[str, str] | None = None
+) -> SparkSession:
     """A session for tests, benchmarks and small runs; a cluster brings its own."""
     builder = (
         SparkSession.builder.appName(app_name)
@@ -48,6 +50,8 @@ def build_session(app_name: str = "tripweave", master: str | None = None, shuffl
             builder = builder.config("spark.driver.memory", os.environ.get("TRIPWEAVE_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (settings or {}).items():
+        builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
