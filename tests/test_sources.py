@@ -165,6 +165,12 @@ def test_byte_ranges_cover_each_line_once(size, ending):
         assert got.decode().split() == lines[1:]
 
 
+def test_mounted_paths():
+    assert archives.mounted_path("/a/b.zip") == archives.mounted_path("file:/a/b.zip") == archives.mounted_path("file:///a/b.zip") == "/a/b.zip"
+    with pytest.raises(ValueError):
+        archives.mounted_path("s3a://bucket/b.zip")
+
+
 def test_manifest(spark, tmp_path):
     a = tmp_path / "a.zip"
     a.write_text("1")

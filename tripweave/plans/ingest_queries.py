@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
-
 from pyspark.sql import functions as F
 
 from tripweave.functions import codes, regions, temporal, text
@@ -310,7 +308,7 @@ def _(w):
 )
 def _(w):
     """Monthly zip archives, members cut into byte ranges, read on the executors."""
-    folder = urlparse(scratch_path(w.spark, "archives")).path
+    folder = archives.mounted_path(scratch_path(w.spark, "archives"))
     with jit_sized_codegen(w.spark):
         write_monthly_archives(w.raw, folder).write.format("noop").mode("overwrite").save()
     rows = archives.read_trip_archives(w.spark, folder, range_bytes=1 << 16)

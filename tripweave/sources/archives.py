@@ -67,6 +67,14 @@ ROW_SCHEMA = T.StructType(
 )
 
 
+def mounted_path(path: str) -> str:
+    """Plain file name of a path on a mounted file system; other schemes cannot be opened by a task."""
+    scheme, _, rest = path.partition(":") if re.match(r"^[a-z][a-z0-9+.-]*:/", path) else ("file", "", path)
+    if scheme != "file":
+        raise ValueError(f"archives must lie on a file system mounted on every executor, not {path}")
+    return re.sub(r"^/+", "/", rest)
+
+
 def split_header(line: str) -> list[str]:
     """Fields of a header line."""
     return next(csv.reader([line]))
@@ -141,7 +149,7 @@ def list_members(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFra
         for batch in batches:
             for path in batch["path"]:
                 rows = []
-                local = re.sub(r"^file:/*", "/", path)
+                local = mounted_path(path)
                 publisher = "JC" if local.rsplit("/", 1)[-1].startswith("JC-") else "NYC"
                 for member, layout, ym, size in _members(local):
                     with ExitStack() as stack:
