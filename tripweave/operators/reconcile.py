@@ -139,8 +139,9 @@ def backfill_statistics(filled: DataFrame, columns: Sequence[str] = tuple(BACKFI
     for c in columns:
         sums += [F.count_if(missing(f"{c}_before", c)).alias(f"b_{c}"), F.count_if(missing(c, c)).alias(f"a_{c}")]
     one = filled.agg(*sums)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b_{c}").alias("missing_before"), F.col(f"a_{c}").alias("missing_after")) for c in columns])
-    flat = one.select(F.inline(rows))
+    counts = [(F.col(f"b_{c}").alias("missing_before"), F.col(f"a_{c}").alias("missing_after")) for c in columns]
+    rows = [F.struct(F.lit(c).alias("column"), before, after) for c, (before, after) in zip(columns, counts, strict=True)]
+    flat = one.select(F.inline(F.array(*rows)))
     n_filled = F.col("missing_before") - F.col("missing_after")
     ratio = F.when(F.col("missing_before") > 0, n_filled / F.col("missing_before")).otherwise(F.lit(0.0))
     return flat.withColumns({"filled": n_filled, "ratio": ratio})

@@ -160,10 +160,8 @@ def station_destinations(pairs: DataFrame, stations: DataFrame, scale: float = 1
         pairs = pairs.where(F.col("sid") == origin)
     busiest = F.max("count").over(Window.partitionBy("sid"))
     ranked = pairs.withColumn("max_count", busiest)
-    src = stations.select(
-        F.col("id").alias("sid"), F.col("name").alias("src_name"), F.col("lat").alias("src_lat"), F.col("lng").alias("src_lng"), F.col("ends").alias("src_ends")
-    )
-    dst = stations.select(F.col("id").alias("eid"), F.col("name").alias("dst_name"), F.col("lat").alias("dst_lat"), F.col("lng").alias("dst_lng"))
+    src = stations.select(F.col("id").alias("sid"), *[F.col(c).alias(f"src_{c}") for c in ("name", "lat", "lng", "ends")])
+    dst = stations.select(F.col("id").alias("eid"), *[F.col(c).alias(f"dst_{c}") for c in ("name", "lat", "lng")])
     weight = F.greatest(F.lit(0.7), F.col("count") / F.col("max_count") * F.sqrt("src_ends") / F.lit(float(scale)))
     return ranked.join(src, "sid").join(dst, "eid").withColumn("weight", weight)
 

@@ -195,9 +195,11 @@ def _(w):
 
 
 # A file per month and region; its size stands for the contents. The newer listing counts both snapshots.
+_FILES_SQL = """SELECT CAST(start_ym AS VARCHAR) || '-' || start_region AS path, CAST(count(*) AS VARCHAR) AS etag FROM rides
+    WHERE start_region IS NOT NULL AND {where} GROUP BY 1"""
 _FILES = {
-    "old_files": "SELECT CAST(start_ym AS VARCHAR) || '-' || start_region AS path, CAST(count(*) AS VARCHAR) AS etag FROM rides WHERE file = 'F' AND start_region IS NOT NULL AND start_ym < 200107 GROUP BY 1",
-    "new_files": "SELECT CAST(start_ym AS VARCHAR) || '-' || start_region AS path, CAST(count(*) AS VARCHAR) AS etag FROM rides WHERE start_region IS NOT NULL AND start_ym > 199501 GROUP BY 1",
+    "old_files": _FILES_SQL.format(where="file = 'F' AND start_ym < 200107"),
+    "new_files": _FILES_SQL.format(where="start_ym > 199501"),
 }
 
 
@@ -263,10 +265,19 @@ def _(w):
     return normalize(trip_csv.read_trip_csv(w.spark, path), keep=["snapshot"])
 
 
-_ENDS = {f"{side}_{a}": f"{side} {b}" for side in ("start", "end") for a, b in (("station_id", "station id"), ("station_name", "station name"), ("lat", "station latitude"), ("lng", "station longitude"))}
 # Headers of the first two eras.
-FIRST_ERA = {"started_at": "starttime", "ended_at": "stoptime", **_ENDS, "bikeid": "bikeid", "user_type": "usertype", "birth year": "birth year", "gender": "gender"}
-SECOND_ERA = {c: {"bikeid": "Bike ID", "user_type": "User Type", "started_at": "Start Time", "ended_at": "Stop Time"}.get(c, h.title().replace(" Id", " ID")) for c, h in FIRST_ERA.items()}
+_END_HEADERS = {"station_id": "station id", "station_name": "station name", "lat": "station latitude", "lng": "station longitude"}
+FIRST_ERA = {
+    "started_at": "starttime",
+    "ended_at": "stoptime",
+    **{f"{side}_{c}": f"{side} {h}" for side in ("start", "end") for c, h in _END_HEADERS.items()},
+    "bikeid": "bikeid",
+    "user_type": "usertype",
+    "birth year": "birth year",
+    "gender": "gender",
+}
+_SECOND_NAMES = {"started_at": "Start Time", "ended_at": "Stop Time", "bikeid": "Bike ID", "user_type": "User Type"}
+SECOND_ERA = {c: _SECOND_NAMES.get(c, h.title().replace(" Id", " ID")) for c, h in FIRST_ERA.items()}
 
 
 @query(
@@ -304,7 +315,10 @@ def _(w):
 
 @query(
     "archive_scan",
-    with_prelude(f"SELECT {_RIDE}, CAST(year(start_time) * 100 + month(start_time) AS INT) AS src_ym FROM (SELECT * REPLACE (0 AS gender, NULL::INT AS birth_year, NULL::INT AS bike_id) FROM normalized)"),
+    with_prelude(
+        f"""SELECT {_RIDE}, CAST(year(start_time) * 100 + month(start_time) AS INT) AS src_ym
+        FROM (SELECT * REPLACE (0 AS gender, NULL::INT AS birth_year, NULL::INT AS bike_id) FROM normalized)"""
+    ),
 )
 def _(w):
     """Monthly zip archives, members cut into byte ranges, read on the executors."""

@@ -56,16 +56,17 @@ REPUBLISHED_SQL = f"""SELECT * REPLACE (
 _REST = [c for c in RIDE_COLUMNS if c not in TIME_KEY] + ["start_ym", "end_ym"]
 _ORDER = ", ".join(["file DESC"] + [f"{c} DESC NULLS LAST" for c in _REST])
 _DONOR_ORDER = ", ".join(["file DESC"] + [f"{c} DESC NULLS LAST" for c in BACKFILL_COLUMNS])
-_INFO = "(birth_year IS NOT NULL OR coalesce(gender, 0) <> 0 OR bike_id IS NOT NULL)"
+_INFO = "({0}birth_year IS NOT NULL OR coalesce({0}gender, 0) <> 0 OR {0}bike_id IS NOT NULL)"
+_FIRST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start_time, stop_time ORDER BY {order}) AS rn
+    FROM republished WHERE {where}) WHERE rn = 1"""
+_KEPT = ",\n".join(
+    f"CASE WHEN {_INFO.format('l.')} OR d.start_time IS NULL THEN l.{c} ELSE d.{c} END AS {c}" for c in BACKFILL_COLUMNS
+)
 MERGED_TABLES = {
     "republished": REPUBLISHED_SQL,
-    "last_row": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start_time, stop_time ORDER BY {_ORDER}) AS rn FROM republished) WHERE rn = 1",
-    "donor": f"""SELECT start_time, stop_time, birth_year, gender, bike_id FROM (
-        SELECT *, row_number() OVER (PARTITION BY start_time, stop_time ORDER BY {_DONOR_ORDER}) AS rn FROM republished WHERE {_INFO}) WHERE rn = 1""",
-    "merged": f"""SELECT l.* EXCLUDE (rn) REPLACE (
-          CASE WHEN {_INFO.replace("birth_year", "l.birth_year").replace("gender", "l.gender").replace("bike_id", "l.bike_id")} OR d.start_time IS NULL THEN l.birth_year ELSE d.birth_year END AS birth_year,
-          CASE WHEN {_INFO.replace("birth_year", "l.birth_year").replace("gender", "l.gender").replace("bike_id", "l.bike_id")} OR d.start_time IS NULL THEN l.gender ELSE d.gender END AS gender,
-          CASE WHEN {_INFO.replace("birth_year", "l.birth_year").replace("gender", "l.gender").replace("bike_id", "l.bike_id")} OR d.start_time IS NULL THEN l.bike_id ELSE d.bike_id END AS bike_id)
+    "last_row": _FIRST.format(order=_ORDER, where="true"),
+    "donor": _FIRST.format(order=_DONOR_ORDER, where=_INFO.format("")),
+    "merged": f"""SELECT l.* EXCLUDE (rn) REPLACE ({_KEPT})
         FROM last_row l LEFT JOIN donor d ON l.start_time = d.start_time AND l.stop_time = d.stop_time""",
 }
 
@@ -74,7 +75,8 @@ def _republished(w):
     lost = (F.col("file") == "O") & (F.col("user_type") == "Customer")
     blank = {"birth_year": F.lit(None), "gender": F.lit(0), "bike_id": F.lit(None)}
     columns = [*RIDE_COLUMNS, "start_ym", "end_ym", "file"]
-    return w.rides.withColumns({c: F.when(F.coalesce(lost, F.lit(False)), v).otherwise(F.col(c)).cast("int") for c, v in blank.items()}).select(*columns)
+    lost = F.coalesce(lost, F.lit(False))
+    return w.rides.withColumns({c: F.when(lost, v).otherwise(F.col(c)).cast("int") for c, v in blank.items()}).select(*columns)
 
 
 @query("merge_dupes", with_prelude("SELECT * FROM merged", **MERGED_TABLES))
@@ -278,15 +280,20 @@ def _(w):
     return reconcile.backfill_statistics(reconcile.backfill(*_publications(w), keep_before=True))
 
 
+_REPAIRED = {
+    "birth_year": "coalesce(m.birth_year, o.birth_year) AS birth_year",
+    "gender": "CASE WHEN coalesce(m.gender, 0) = 0 THEN coalesce(o.gender, 0) ELSE m.gender END AS gender",
+    "bike_id": "coalesce(m.bike_id, o.bike_id) AS bike_id",
+}
+
+
 @query(
     "consolidate_rides",
     with_prelude(
         f"""SELECT DISTINCT * FROM (
           SELECT {_RIDE}, start_ym, end_ym FROM republished WHERE end_ym NOT BETWEEN 199701 AND 199912
           UNION ALL
-          SELECT {", ".join({"birth_year": "coalesce(m.birth_year, o.birth_year) AS birth_year",
-                             "gender": "CASE WHEN coalesce(m.gender, 0) = 0 THEN coalesce(o.gender, 0) ELSE m.gender END AS gender",
-                             "bike_id": "coalesce(m.bike_id, o.bike_id) AS bike_id"}.get(c, "m." + c) for c in RIDE_COLUMNS)}, m.start_ym, m.end_ym
+          SELECT {", ".join(_REPAIRED.get(c, "m." + c) for c in RIDE_COLUMNS)}, m.start_ym, m.end_ym
           FROM merged m LEFT JOIN uniq o ON m.start_time = o.start_time AND m.stop_time = o.stop_time
           WHERE m.end_ym BETWEEN 199701 AND 199912)""",
         **MERGED_TABLES,

@@ -26,11 +26,12 @@ def pivot_sql(stack: str, values: list[str], value: str = "rides", cast: str = "
     return f"SELECT m, {columns} FROM dash GROUP BY 1"
 
 
-def rolled_sql(columns: list[str], n: int, mode: str, source: str) -> str:
+def rolled_sql(columns: list[str], n: int, mode: str, source: str, digits: int | None = 6) -> str:
     def mean(c: str) -> str:
         frame = f"OVER (ORDER BY m ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         defined = f'lag("{c}", {n}) OVER (ORDER BY m) IS NOT NULL' if mode == "lagged" else f'count("{c}") {frame} = {n}'
-        return f'CASE WHEN {defined} THEN round(coalesce(sum("{c}") {frame}, 0) / {n}, 6) END AS "{c}"'
+        value = f'coalesce(sum("{c}") {frame}, 0) / {n}'
+        return f'CASE WHEN {defined} THEN {value if digits is None else f"round({value}, {digits})"} END AS "{c}"'
 
     return f"SELECT m, {', '.join(mean(c) for c in columns)} FROM {source}"
 
@@ -131,7 +132,12 @@ def _growth(df):
 
 @query(
     "annualized_growth",
-    with_prelude(_GROWTH_SQL.format(value="rides", source="rolled"), **TABLES, total=TOTAL_SQL, rolled=rolled_sql(["rides"], 12, "lagged", "total").replace("round(", "(").replace(", 6) END", ") END")),
+    with_prelude(
+        _GROWTH_SQL.format(value="rides", source="rolled"),
+        **TABLES,
+        total=TOTAL_SQL,
+        rolled=rolled_sql(["rides"], 12, "lagged", "total", digits=None),
+    ),
 )
 def _(w):
     return _growth(ts.rolling_mean(_total(w), ["rides"], 12))

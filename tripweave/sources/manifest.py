@@ -15,7 +15,8 @@ def file_manifest(spark: SparkSession, path: str, include=(), exclude=()) -> Dat
     The etag stands for size and modification time.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = files.select("path", F.col("length").alias("size"), F.md5(F.concat_ws("|", F.col("length"), F.unix_micros("modificationTime"))).alias("etag"))
+    etag = F.md5(F.concat_ws("|", F.col("length"), F.unix_micros("modificationTime")))
+    listed = files.select("path", F.col("length").alias("size"), etag.alias("etag"))
     return listed.where(include_exclude(F.col("path"), include, exclude))
 
 

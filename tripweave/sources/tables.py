@@ -32,7 +32,7 @@ def read_end_month(spark: SparkSession, base: str, end_ym: int) -> DataFrame:
 
 def tag_slice(rows: DataFrame, name: str = "file") -> DataFrame:
     """``src_ym/start_ym_end_ym`` of each row, the name of the slice it is stored in."""
-    label = F.concat(F.col("src_ym").cast("string"), F.lit("/"), F.col("start_ym").cast("string"), F.lit("_"), F.col("end_ym").cast("string"))
+    label = F.concat_ws("/", F.col("src_ym").cast("string"), F.concat_ws("_", F.col("start_ym").cast("string"), F.col("end_ym").cast("string")))
     return rows.withColumn(name, label)
 
 
@@ -64,7 +64,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_sql_table(spark: SparkSession, table: str, jdbc_url: str | None = None, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16) -> DataFrame:
+def read_sql_table(
+    spark: SparkSession,
+    table: str,
+    jdbc_url: str | None = None,
+    partition_column: str | None = None,
+    bounds: tuple[int, int] | None = None,
+    partitions: int = 16,
+) -> DataFrame:
     """A catalog table, or a database table over JDBC, read in parallel ranges if a partition column is given."""
     if jdbc_url is None:
         return spark.read.table(table)
