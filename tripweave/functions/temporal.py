@@ -33,8 +33,11 @@ def duration_seconds(start: ColumnOrName, stop: ColumnOrName, mode: str = "compo
 
 
 def year_month(ts: ColumnOrName) -> Column:
-    """``yyyyMM`` text of a timestamp."""
-    return F.date_format(_col(ts), "yyyyMM")
+    """``yyyyMM`` text of a timestamp.
+
+    Put together from calendar parts: formatting would take a zone-less timestamp through the session time zone.
+    """
+    return F.concat(F.year(_col(ts)).cast("string"), F.lpad(F.month(_col(ts)).cast("string"), 2, "0"))
 
 
 def year_month_int(ts: ColumnOrName) -> Column:
@@ -49,7 +52,7 @@ def month_label(year: ColumnOrName, month: ColumnOrName) -> Column:
 
 def month_label_of(ts: ColumnOrName) -> Column:
     """``YYYY-MM`` text of a timestamp."""
-    return F.date_format(_col(ts), "yyyy-MM")
+    return month_label(F.year(_col(ts)), F.month(_col(ts)))
 
 
 def slice_label(start: ColumnOrName, stop: ColumnOrName) -> Column:

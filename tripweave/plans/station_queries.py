@@ -269,13 +269,13 @@ def _(w):
 @query(
     "pair_day_added",
     with_prelude(
-        """SELECT start_station_id, end_station_id, month FROM k WHERE file = 'O' EXCEPT SELECT start_station_id, end_station_id, month FROM k WHERE file = 'F'""",
-        k="SELECT start_station_id, end_station_id, strftime(start_time, '%Y-%m-%d') AS month, file FROM rides",
+        """SELECT start_station_id, end_station_id, day FROM k WHERE file = 'O' EXCEPT SELECT start_station_id, end_station_id, day FROM k WHERE file = 'F'""",
+        k="SELECT start_station_id, end_station_id, strftime(start_time, '%Y-%m-%d') AS day, file FROM rides",
     ),
 )
 def _(w):
-    k = w.rides.select("start_station_id", "end_station_id", F.date_format("start_time", "yyyy-MM-dd").alias("month"), "file")
-    keys = ["start_station_id", "end_station_id", "month"]
+    k = w.rides.select("start_station_id", "end_station_id", F.col("start_time").cast("date").cast("string").alias("day"), "file")
+    keys = ["start_station_id", "end_station_id", "day"]
     return compare.added_keys(k.where("file = 'F'"), k.where("file = 'O'"), keys)
 
 

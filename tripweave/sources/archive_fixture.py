@@ -32,13 +32,7 @@ HEADERS = {
 
 def as_text(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Raw columns as the text a published file would hold, under its headers."""
-    types = dict(raw.dtypes)
-
-    def text(c: str):
-        value = F.col(f"`{c}`")
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss") if types[c] == "timestamp_ntz" else value.cast("string")
-
-    return raw.select(*[text(c).alias(h) for c, h in columns.items()])
+    return raw.select(*[F.col(f"`{c}`").cast("string").alias(h) for c, h in columns.items()])
 
 
 def write_monthly_archives(raw: DataFrame, folder: str, buckets: int = 2) -> DataFrame:
