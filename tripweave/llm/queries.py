@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm.common import table
 from tripweave.llm.packing import pack
+from tripweave.llm.simhash import near_duplicates
 
 #: The tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,5 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing,)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: four words, four bits."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op7_simhash)}
 SQL: dict[str, str] = {}
