@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import table
+from tripweave.llm.mixing import mix
 from tripweave.llm.packing import pack
+from tripweave.llm.quality import score_quality
+from tripweave.llm.secrets import BASE, find_secrets, joined
 from tripweave.llm.simhash import near_duplicates
 
 #: The tokenizer file of the packing query; a parameter of the operator.
@@ -22,10 +25,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mix whose targets are the sources' sizes to the power 0.7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs, alpha=0.7)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a source is an owner, a document a repository of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = find_secrets(docs, owner_col="source", repo_col="doc_id")
+    base = F.filter("secrets", lambda x: x["kind"].isin(*BASE))
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    live = F.size(F.filter("secrets", lambda x: x["live"])).cast("long").alias("n_live")
+    return found.select("doc.doc_id", *map(of, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), live)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: four words, four bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op7_simhash)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of four fifths of the ids."""
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc.doc_id", "held_out", "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_mixing, op6_secrets, op7_simhash, op10_quality)}
 SQL: dict[str, str] = {}

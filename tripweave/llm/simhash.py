@@ -182,9 +182,10 @@ def groups(prints: DataFrame, radius: int = 4, id_col: str = "doc_id") -> DataFr
     """``fp``, ``component_id``: the smallest id over all documents that links reach from a fingerprint. ``prints`` should be stored."""
     distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
     reach = stored(components(links(distinct, radius)), "reach").withColumnRenamed("node", "fp")
-    joined = distinct.join(reach, "fp", "left")
-    least = joined.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    tied = distinct.join(reach, "fp")
+    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    alone = distinct.join(reach, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return alone.unionAll(reach.join(least, "root").select("fp", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
