@@ -33,7 +33,7 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Record batches cut so that the texts (last column, null: empty) of one stay under ``max_chars`` or are one row."""
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]

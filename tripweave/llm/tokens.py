@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import array
 import itertools
+import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
 import regex
 
-#: Characters whose normal form, case and class do not depend on the Unicode version at hand. Other texts go through the
-#: tokenizer as a whole.
-_PLAIN = regex.compile(r"[\t-\r\x20-\x7e¡-įı-ɏ]*")
+#: Characters whose normal form, case and class do not depend on the Unicode version at hand, and of which just the blank
+#: and the tab to the carriage return are white space. Other texts go through the tokenizer as a whole.
+_PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-įı-ɏ]*")
 
-#: The pre-tokenizer pattern written in the vocabulary file.
+#: The pattern of pieces written in the vocabulary file.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-_SPACE = regex.compile(r"[\t-\r\x20]")
+_SPACE = re.compile(r"[\t-\r\x20]")
 
 
 def _segments(text: str, size: int) -> Iterator[str]:
@@ -32,20 +33,30 @@ def _segments(text: str, size: int) -> Iterator[str]:
     yield text[begin:] if begin else text
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is visible, else the next one from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """A tokenizer file with a bounded memory of word pieces.
+    """A tokenizer file with a bounded memory of words and their pieces.
 
-    Words repeat; each piece is encoded once and then looked up, which is several times as fast as encoding whole
-    texts. Only for vocabularies that lower-case, drop white space and cut at the pattern above.
+    Words repeat; each is cut into pieces and encoded once and then looked up, which is several times as fast as encoding
+    whole texts. For vocabularies with the pattern above that lower-case and drop white space.
     """
 
-    def __init__(self, path: str, memory: int = 300_000, segment: int = 250_000):
+    def __init__(self, path: str, memory: int = 400_000, segment: int = 250_000):
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merge = self.model.model.tokenize
         self.memory, self.segment = memory, segment
-        self.known: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -54,21 +65,35 @@ class Encoder:
             a.byteswap()
         return a.tobytes()
 
-    def _pieces(self, words: list[list[str]]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.memory:
-            known.clear()
-        new = list(set(itertools.chain.from_iterable(words)).difference(known))
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = self._packed(e.ids)
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = self._packed([t.id for t in self.merge(letters)])
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._piece(word)
+        if word[-1] in ".," and word[:-1].isalpha():
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        return b"".join(map(self._piece, _PIECES.findall(word)))
+
+    def _by_word(self, texts: list[list[str]]) -> list[bytes]:
+        words = self.words
+        if len(words) > self.memory or len(self.pieces) > self.memory:
+            words.clear()
+            self.pieces.clear()
+        for w in set(itertools.chain.from_iterable(texts)).difference(words):
+            words[w] = self._word(w)
+        return [b"".join(map(words.__getitem__, t)) for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; empty for an empty text."""
         parts = [(i, s) for i, t in enumerate(texts) for s in _segments(t, self.segment)]
         plain = [bool(_PLAIN.fullmatch(s)) for _, s in parts]
         out: list[list[bytes]] = [[] for _ in texts]
-        found = iter(self._pieces([_PIECES.findall(s.lower()) for (_, s), p in zip(parts, plain, strict=True) if p]))
+        found = iter(self._by_word([s.lower().split() for (_, s), p in zip(parts, plain, strict=True) if p]))
         for (i, s), p in zip(parts, plain, strict=True):
             out[i].append(next(found) if p else self._packed(self.model.encode(s, add_special_tokens=False).ids))
         return [b"".join(x) if len(x) != 1 else x[0] for x in out]
