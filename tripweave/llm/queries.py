@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import table
+from tripweave.llm.context_tree import score_texts
 from tripweave.llm.mixing import mix
 from tripweave.llm.packing import pack
 from tripweave.llm.quality import score_quality
@@ -25,6 +26,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under context-tree weighting, learned from six of seven documents."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in a mix whose targets are the sources' sizes to the power 0.7."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -55,5 +61,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_mixing, op6_secrets, op7_simhash, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_scoring, op4_mixing, op6_secrets, op7_simhash, op10_quality)}
 SQL: dict[str, str] = {}
