@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tripweave.llm.common import table
 from tripweave.llm.context_tree import score_texts
+from tripweave.llm.graph_search import nearest
 from tripweave.llm.mixing import mix
 from tripweave.llm.packing import pack
 from tripweave.llm.quality import score_quality
+from tripweave.llm.quantisation import near_duplicate_vectors
 from tripweave.llm.secrets import BASE, find_secrets, joined
 from tripweave.llm.simhash import near_duplicates
 
@@ -55,11 +57,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every vector, cosine 0.95."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of four fifths of the ids."""
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_scoring, op4_mixing, op6_secrets, op7_simhash, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_scoring, op4_mixing, op6_secrets, op7_simhash, op8_neighbours, op9_vectors, op10_quality)}
 SQL: dict[str, str] = {}
