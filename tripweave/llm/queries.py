@@ -17,6 +17,7 @@ from tripweave.llm.quality import score_quality
 from tripweave.llm.quantisation import near_duplicate_vectors
 from tripweave.llm.secrets import BASE, find_secrets, joined
 from tripweave.llm.simhash import near_duplicates
+from tripweave.llm.toxicity import score_toxicity
 
 #: The tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +40,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, alpha=0.7)
 
 
+#: The chain's categories: toxic at all, in prose of good quality, in text of bad quality.
+CATEGORIES = {"toxic": "toxic = 1", "toxic_prose": "toxic = 1 and quality = 1", "toxic_junk": "toxic = 1 and quality = 0"}
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document, learned from the labels of four fifths of the ids."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), CATEGORIES)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; a source is an owner, a document a repository of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -74,5 +84,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_scoring, op4_mixing, op6_secrets, op7_simhash, op8_neighbours, op9_vectors, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_scoring, op4_mixing, op5_toxicity, op6_secrets, op7_simhash, op8_neighbours, op9_vectors, op10_quality)}
 SQL: dict[str, str] = {}
