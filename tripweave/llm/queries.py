@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tripweave.llm.common import table
 from tripweave.llm.context_tree import score_texts
 from tripweave.llm.graph_search import nearest
+from tripweave.llm.licences import scan_licences
 from tripweave.llm.mixing import mix
 from tripweave.llm.packing import pack
 from tripweave.llm.quality import score_quality
@@ -29,6 +30,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all paragraphs with a cue."""
+    return scan_licences(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of every document under context-tree weighting, learned from six of seven documents."""
     return score_texts(table(spark, sf_dir, "documents"))
@@ -84,5 +90,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_scoring, op4_mixing, op5_toxicity, op6_secrets, op7_simhash, op8_neighbours, op9_vectors, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licences, op3_scoring, op4_mixing, op5_toxicity, op6_secrets, op7_simhash, op8_neighbours, op9_vectors, op10_quality)}
 SQL: dict[str, str] = {}
