@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tripweave.operators import aggregate as agg
+from tripweave.operators.normalize import add_slice_columns
 from tripweave.schema import aggregate_label, key_columns
 
 
@@ -88,13 +89,15 @@ def test_dockings(rides_of):
 def test_station_counts(spark, rides_of):
     rides = rides_of({}, {}, {"end_station_id": "HB101"}, {"end_station_id": "Odd"})
     stations = spark.createDataFrame([("JC001", "Grove"), ("HB101", "Hob"), ("4001.01", "A")], "id string, name string")
-    january = ("2020-01-01", "2020-01-31")
+    january = ("2020-01-01", "2020-02-01")  # the default ride ends on the first of February
     out = agg.station_counts(rides, stations, *january, nj=True)
-    assert rows(out) == [("HB101", "Hob", 1, 1 / 31), ("JC001", "Grove", 2, 2 / 31)]
+    assert rows(out) == [("HB101", "Hob", 1, 1 / 32), ("JC001", "Grove", 2, 2 / 32)]
     weekend = agg.station_counts(rides, stations, *january, nj=True, weekdays=False)
-    assert rows(weekend) == [("HB101", "Hob", 1, 1 / 8), ("JC001", "Grove", 2, 2 / 8)]
+    assert rows(weekend) == [("HB101", "Hob", 1, 1 / 9), ("JC001", "Grove", 2, 2 / 9)]
     assert rows(agg.station_counts(rides, stations, *january, nj=False, weekdays=[4])) == [("4001.01", "A", 4, 4 / 5)]
     assert rows(agg.station_counts(rides, stations, *january, keys=["day"], nj=False)) == [("4001.01", "A", 31, 4)]
+    # Dockings outside the period count neither above nor below the line.
+    assert rows(agg.station_counts(rides, stations, "2020-02-01", "2020-02-02")) == [("HB101", "Hob", 1, 0.5), ("JC001", "Grove", 2, 1.0)]
     with pytest.raises(ValueError):
         agg.station_counts(rides, stations, *january, keys=["day"], daily_average=True)
 
@@ -111,12 +114,17 @@ def test_same_station_share(rides_of):
     assert rows(agg.same_station_share(rides)) == [("2020-01", 1, 4, 0.25)]
 
 
-def test_append_new_months(spark, rides_of):
-    rides = rides_of({}, {"start_time": "2020-02-01 00:00:00"}, {"start_time": "2020-03-05 00:00:00"})
+def test_append_new_months(rides_of):
+    """A ride from January into February is stored with February: it adds to January's key."""
+    february = {"start_time": "2020-02-01 00:00:00", "stop_time": "2020-02-01 00:10:00"}
+    january = {"stop_time": "2020-01-31 23:59:00"}
+    rides = add_slice_columns(rides_of({}, january, january, february, {"start_time": "2020-03-05 00:00:00", "stop_time": "2020-03-05 00:05:00"}))
     build = lambda r: agg.aggregate_rides(r, "ym", "c")
-    stored = spark.createDataFrame([(2020, 1, 99), (2020, 2, 98)], "start_year int, start_month int, count long")
-    assert rows(agg.append_new_months(stored, rides, build)) == [(2020, 1, 99), (2020, 2, 98), (2020, 3, 1)]
-    assert rows(agg.append_new_months(stored.limit(0), rides, build)) == rows(build(rides))
+    whole = rows(build(rides))
+    assert whole == [(2020, 1, 3), (2020, 2, 1), (2020, 3, 1)]
+    for through in (201912, 202001, 202002, 202003):
+        stored = build(rides.where(f"end_ym <= {through}"))
+        assert rows(agg.append_new_months(stored, rides, build, through)) == whole
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -62,8 +62,9 @@ def test_comparisons(spark):
     assert rows(compare.common_keys(old, new, ["k"])) == [("a",), (None,)]
     assert rows(compare.set_statistics(old, new, ["k"])) == [(4, 3, 1, 1, 2)]
     assert rows(compare.set_statistics(old.limit(0), new.limit(0), ["k"])) == [(0, 0, 0, 0, 0)]
-    assert rows(compare.mismatches(old, new, ["k"], ["v"])) == [(None, 1, 1, 0, 5)]
-    assert rows(compare.snapshot_diff(old, new, ["k"], ["v"]).select("k", "v_old", "v_new")) == [("a", 3, 3), ("b", 3, None), ("c", None, 1), (None, 0, 5)]
+    # The old side has "a" twice: it has no one value there.
+    assert rows(compare.mismatches(old, new, ["k"], ["v"])) == [("a", 2, 1, None, 3), (None, 1, 1, 0, 5)]
+    assert rows(compare.snapshot_diff(old, new, ["k"], ["v"]).select("k", "v_old", "v_new")) == [("a", None, 3), ("b", 3, None), ("c", None, 1), (None, 0, 5)]
 
 
 def filed(rides_of, *changes):
@@ -87,7 +88,10 @@ def test_merge_keeps_the_later_row(rides_of):
 
 def test_merge_of_more_than_two(rides_of):
     three = filed(rides_of, {"ride_id": "a"}, {"ride_id": "b"}, {"ride_id": "c"})
-    assert merged(three) == [("c", 1980, 1, 7)]
+    assert sorted(merged(three)) == [("a", 1980, 1, 7), ("b", 1980, 1, 7), ("c", 1980, 1, 7)]
+    # Copies of one ride in three files are one ride; rows without a key are no group.
+    assert merged(three.withColumn("ride_id", F.lit("same"))) == [("same", 1980, 1, 7)]
+    assert len(merged(three.withColumn("stop_time", F.lit(None).cast("timestamp_ntz")))) == 3
     assert [r.n_rows for r in reconcile.merge_violations(three).collect()] == [3]
     with pytest.raises(Exception, match="more than two rides"):
         merged(three, strict=True)
@@ -136,5 +140,28 @@ def test_consolidate(rides_of):
     assert reconcile.exclude_slices(copies, []).count() == 5
 
 
+def test_consolidate_loses_only_copies(rides_of):
+    """Rows in = rows out + the merged pair's other row + the exact copies."""
+    slices = add_slice_columns(
+        rides_of(
+            {"ride_id": "unread", "stop_time": None},
+            *[{"ride_id": f"triple-{i}", "start_time": "2020-01-05 00:00:00", "stop_time": "2020-01-05 00:01:00"} for i in range(3)],
+            {"ride_id": "pair-a", "start_time": "2020-01-06 00:00:00", "stop_time": "2020-01-06 00:01:00"},
+            {"ride_id": "pair-b", "start_time": "2020-01-06 00:00:00", "stop_time": "2020-01-06 00:01:00"},
+            {"ride_id": "late", "start_time": "2023-01-06 00:00:00", "stop_time": "2023-01-06 00:01:00"},
+            {"ride_id": "late", "start_time": "2023-01-06 00:00:00", "stop_time": "2023-01-06 00:01:00"},
+        )
+    ).withColumn("file", F.col("ride_id"))
+    older = add_slice_columns(rides_of({"ride_id": "v0"}))
+    kept = ["late", "pair-b", "triple-0", "triple-1", "triple-2", "unread"]
+    assert sorted(r.ride_id for r in reconcile.consolidate(slices, older).collect()) == kept
+    assert reconcile.consolidate(slices, older, check_unique=True).count() == len(kept)
+    with pytest.raises(Exception, match="more than two rides"):
+        reconcile.consolidate(slices, older, strict=True).collect()
+    same_id = slices.withColumn("ride_id", F.when(F.col("ride_id").startswith("triple"), "t").otherwise(F.col("ride_id"))).withColumn("birth_year", F.pmod(F.hash("file"), F.lit(1000)))
+    with pytest.raises(AssertionError, match="1 keys with 3 rows"):
+        reconcile.consolidate(same_id, older, check_unique=True)
+
+
 def test_time_key_is_the_snapshot_key():
     assert TIME_KEY == ["start_time", "stop_time"]

@@ -4,11 +4,14 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from __spark_entry__ import queries as registered
 from tests.oracle_check import connect, differences
+from tripweave.plans import all_queries as queries
+from tripweave.plans import all_sql
 
 SF_DIR = "/root/testdata/sf0.001"
-TWINS = oracle_sql()
+TWINS = all_sql()
 
 #: Pairing everything with everything, and Python in the row path.
 FORBIDDEN = re.compile(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas")
@@ -40,3 +43,8 @@ def test_one_scan_for_the_station_table(spark):
     plan = queries()["station_modes"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert "Join" not in plan
+
+
+def test_all_queries_are_registered():
+    assert set(queries()) <= set(registered())
+    assert set(TWINS) <= set(oracle_sql()) <= set(registered())

@@ -30,28 +30,62 @@ def test_month_table_prunes_by_end_month(spark, rides_of, tmp_path):
         writers.write_month_table(rides, path)
 
 
+def slices(spark, base) -> list[tuple]:
+    return rows(tables.read_slices(spark, base).groupBy("src_ym", "start_ym", "end_ym").count())
+
+
 def test_source_month_rewrite_removes_stale_slices(spark, rides_of, tmp_path):
     base = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        tables.read_slices(spark, base)
     first = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})).withColumn("src_ym", F.lit(202001))
     other = first.withColumn("src_ym", F.lit(202002))
     for ym in (202001, 202002):
         writers.write_source_month(first.unionByName(other), base, ym)
-    assert len(parts(base)) == 4
+    assert slices(spark, base) == [(y, 202001, e, 1) for y in (202001, 202002) for e in (202001, 202002)]
     writers.write_source_month(first.where("end_ym = 202002"), base, 202001)
-    assert parts(base) == ["src_ym=202001/start_ym=202001/end_ym=202002", "src_ym=202002/start_ym=202001/end_ym=202001", "src_ym=202002/start_ym=202001/end_ym=202002"]
+    assert slices(spark, base) == [(202001, 202001, 202002, 1), (202002, 202001, 202001, 1), (202002, 202001, 202002, 1)]
     month = tables.read_end_month(spark, base, 202002)
     assert sorted(r.file for r in month.collect()) == ["202001/202001_202002", "202002/202001_202002"]
-    assert tables.tag_file(spark.read.parquet(base)).where("file like '%src_ym=202001%'").count() == 1
+    assert "PartitionFilters: [isnotnull(end_ym" in month._jdf.queryExecution().executedPlan().toString()
+    assert tables.tag_file(tables.read_slices(spark, base)).where("file like '%src_ym=202001%'").count() == 1
+    # A rerun that has no rides at all.
+    writers.write_source_month(first.limit(0), base, 202002)
+    assert slices(spark, base) == [(202001, 202001, 202002, 1)]
 
 
 def test_replaced_source_months_leave_others(spark, rides_of, tmp_path):
     base = str(tmp_path / "t")
     first = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})).withColumn("src_ym", F.lit(202001))
     both = first.unionByName(first.withColumn("src_ym", F.lit(202002)))
-    writers.replace_source_months(both, base, str(tmp_path / "s1"))
-    assert len(parts(base)) == 4
-    writers.replace_source_months(first.where("end_ym = 202002"), base, str(tmp_path / "s2"))
-    assert parts(base) == ["src_ym=202001/start_ym=202001/end_ym=202002", "src_ym=202002/start_ym=202001/end_ym=202001", "src_ym=202002/start_ym=202001/end_ym=202002"]
+    writers.replace_source_months(both, base)
+    assert len(slices(spark, base)) == 4
+    writers.replace_source_months(first.where("end_ym = 202002"), base)
+    kept = [(202001, 202001, 202002, 1), (202002, 202001, 202001, 1), (202002, 202001, 202002, 1)]
+    assert slices(spark, base) == kept
+    files = len(parts(tmp_path / "t" / "runs"))
+    writers.remove_old_runs(spark, base)
+    assert slices(spark, base) == kept
+    assert len(parts(tmp_path / "t" / "runs")) == 3 < files
+
+
+def test_a_run_that_dies_leaves_the_old_slices(spark, rides_of, tmp_path, monkeypatch):
+    base = str(tmp_path / "t")
+    first = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})).withColumn("src_ym", F.lit(202001))
+    writers.replace_source_months(first, base)
+    before = slices(spark, base)
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    # After the slices are written and before the index is: nothing has changed for readers.
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(writers, "newest_index", dies)
+        writers.replace_source_months(first.where("end_ym = 202002"), base)
+    assert slices(spark, base) == before
+    # An index without its commit mark is none.
+    (tmp_path / "t" / "index" / f"{2:012d}").mkdir()
+    assert slices(spark, base) == before
 
 
 def test_end_month_overwrite_leaves_other_months(spark, rides_of, tmp_path):

@@ -95,6 +95,7 @@ def test_hot_group_is_combined_before_the_shuffle(spark, skewed, name):
 
 def test_results_stay_whole(skewed):
     assert quality.drop_duplicate_rows(skewed.drop("file")).count() == 2 * N // 3 + 1
+    # The hot group is larger than a pair: its rows differ in nothing but the file and are one ride.
     assert reconcile.merge_duplicates(skewed).count() == 2 * N // 3 + 1
     assert agg.aggregate_rides(skewed, "se", "c").agg(F.sum("count")).first()[0] == N
     hot = quality.key_violations(skewed).orderBy(F.desc("n_rows")).first()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,9 +165,9 @@ def station_counts(
     weekdays: bool | Collection[int] | None = None,
     daily_average: bool | None = None,
 ) -> DataFrame:
-    """Dockings per station and ``keys`` with the station name and, unless grouped by date, a daily average.
+    """Dockings from ``first`` to ``last`` per station and ``keys`` with the station name and, unless grouped by date, a daily average.
 
-    The average is over the dates from ``first`` to ``last`` that pass the weekday filter. ``nj`` keeps (True)
+    The average is over the dates of the period that pass the weekday filter. ``nj`` keeps (True)
     or drops (False) New Jersey stations. Counts are aggregated before the stations are joined.
     """
     dated = bool({"day", "weekday"} & set(keys))
@@ -175,7 +175,9 @@ def station_counts(
         daily_average = not dated
     if daily_average and dated:
         raise ValueError("a daily average needs counts that are not grouped by day or weekday")
-    events = dockings(rides).where(F.col("station_id").isNotNull() & weekday_filter(F.col("weekday"), weekdays))
+    until = (date.fromisoformat(last) + timedelta(days=1)).isoformat()
+    in_period = (F.col("time") >= F.lit(first).cast("timestamp_ntz")) & (F.col("time") < F.lit(until).cast("timestamp_ntz"))
+    events = dockings(rides).where(F.col("station_id").isNotNull() & in_period & weekday_filter(F.col("weekday"), weekdays))
     if nj is not None:
         events = events.where(text.starts_with_pattern(F.col("station_id"), negate=not nj))
     counts = events.groupBy("station_id", *keys).agg(F.count("*").alias("n"))
@@ -205,19 +207,11 @@ def top_k(df: DataFrame, by: str, k: int, ties: Sequence[str]) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(k)
 
 
-def append_new_months(
-    stored: DataFrame,
-    rides: DataFrame,
-    build: Callable[[DataFrame], DataFrame],
-    year: str = "start_year",
-    month: str = "start_month",
-) -> DataFrame:
-    """Stored monthly aggregate plus ``build(rides of later months)``; stored months are not recomputed.
+def append_new_months(stored: DataFrame, rides: DataFrame, build: Callable[[DataFrame], DataFrame], through: int, measures: Sequence[str] = ("count", "duration")) -> DataFrame:
+    """An aggregate of the end months up to ``through`` (and of rides without one), brought up to date with the later end months.
 
-    The end of the last stored month enters the plan as a scalar subquery and is compared with the start time
-    itself, so the predicate reaches the scan's row-group statistics.
+    Rides are stored by end month and aggregated by their start, so a ride across the end of month ``through`` falls into keys
+    that the stored part has already: both parts are summed per key. Only later months are read.
     """
-    month_start = F.make_date(F.col(year), F.col(month), F.lit(1))
-    after = stored.agg(F.add_months(F.max(month_start), 1).cast("timestamp_ntz").alias("after")).scalar()
-    newer = rides.where(after.isNull() | (F.col("start_time") >= after))
-    return stored.unionByName(build(newer))
+    newer = build(rides.where(F.col("end_ym") > through))
+    return reaggregate(stored.unionByName(newer), [c for c in stored.columns if c not in measures], measures)

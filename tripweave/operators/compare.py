@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _SIDE = "_is_new"
 
@@ -73,22 +72,21 @@ def set_statistics(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
     """Per key: row counts, status and both sides' attributes as ``<a>_old`` and ``<a>_new``.
 
-    Numbers are summed and other types take their maximum, so a key that is unique on a side shows its value.
+    A side that repeats a key has no one value: its attributes are null there, and its row count says why.
     """
     both = tagged_union(old, new, [*keys, *attributes])
-    types = {f.name: f.dataType for f in both.schema.fields}
     measures = []
     for a in attributes:
-        combine = F.sum if isinstance(types[a], T.NumericType) else F.max
-        measures += [combine(_on(side, F.col(a))).alias(f"{a}_{tag}") for side, tag in ((False, "old"), (True, "new"))]
+        for side, tag in ((False, "old"), (True, "new")):
+            measures.append(F.when(_rows(side) == 1, F.max(_on(side, F.col(a)))).alias(f"{a}_{tag}"))
     counted = both.groupBy(*keys).agg(_rows(False).alias("n_old"), _rows(True).alias("n_new"), *measures)
     return counted.withColumn("status", _status(F.col("n_old"), F.col("n_new")))
 
 
 def mismatches(old: DataFrame, new: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Keys present on both sides whose measures differ (a null differs from a value)."""
+    """Keys present on both sides whose measures differ (a null differs from a value), or that a side repeats."""
     diff = snapshot_diff(old, new, keys, measures).where(F.col("status") == "both")
-    differs = F.lit(False)
+    differs = (F.col("n_old") > 1) | (F.col("n_new") > 1)
     for m in measures:
         differs = differs | ~F.col(f"{m}_old").eqNullSafe(F.col(f"{m}_new"))
     return diff.where(differs).drop("status")

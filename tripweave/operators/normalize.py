@@ -81,6 +81,28 @@ def normalize(
     return named.withColumns({"start_region": start, "end_region": end}).select(*RIDE_COLUMNS, *keep)
 
 
+def cast_failures(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Per ride column, how many source values are there but cannot be read as the column's type (one row each, one pass).
+
+    ``normalize`` makes such values null; texts and codes of closed domains are not counted.
+    """
+    src = harmonize_columns(df, list(keep))
+    types = {f.name: f.dataType for f in src.schema.fields}
+    lost = []
+    for name, dtype in RIDE_TYPES.items():
+        if name not in types or not isinstance(types[name], T.StringType) or isinstance(dtype, T.StringType) or name == "gender":
+            continue
+        if name in ("start_time", "stop_time"):
+            value = parse_time(F.col(name), types[name])
+        else:
+            value = codes.whole_number(F.col(name)) if name in ("birth_year", "bike_id") else F.col(name).try_cast(dtype.simpleString())
+        lost.append(F.count_if(F.col(name).isNotNull() & value.isNull()).alias(name))
+    if not lost:
+        return df.sparkSession.createDataFrame([], "column string, n_failed long")
+    one = src.agg(*lost)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_failed")) for c in one.columns])))
+
+
 def add_slice_columns(rides: DataFrame) -> DataFrame:
     """Start and end month as ints, the partition columns of stored slices."""
     return rides.withColumns(

@@ -17,8 +17,9 @@ def drop_duplicate_rows(df: DataFrame, provenance: Sequence[str] = ()) -> DataFr
     if not provenance:
         return df.dropDuplicates()
     kept = [c for c in df.columns if c not in provenance]
-    smallest = F.min(F.struct(*provenance)).alias("_provenance")
-    return df.groupBy(*kept).agg(smallest).select(*kept, "_provenance.*").select(*df.columns)
+    smallest = F.min(provenance[0]).alias(provenance[0]) if len(provenance) == 1 else F.min(F.struct(*provenance)).alias("_provenance")
+    grouped = df.groupBy(*kept).agg(smallest)
+    return grouped.select(*df.columns) if len(provenance) == 1 else grouped.select(*kept, "_provenance.*").select(*df.columns)
 
 
 def ride_key(df: DataFrame) -> list[Column]:
@@ -39,10 +40,10 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], at_least: int = 2) -> Data
 
 
 def assert_unique(df: DataFrame, keys: Sequence[Column | str] | None = None, what: str = "rows") -> None:
-    """Action: fail with the histogram of group sizes if any key repeats."""
-    sizes = key_violations(df, keys).groupBy("n_rows").count().orderBy("n_rows").limit(20).collect()
+    """Action: fail with the histogram of group sizes if any key repeats; the message names the 20 smallest sizes and says if there are more."""
+    sizes = key_violations(df, keys).groupBy("n_rows").count().orderBy("n_rows").limit(21).collect()
     if sizes:
-        text = ", ".join(f"{r['count']} keys with {r['n_rows']} rows" for r in sizes)
+        text = ", ".join(f"{r['count']} keys with {r['n_rows']} rows" for r in sizes[:20]) + (", and more rows" if len(sizes) > 20 else "")
         raise AssertionError(f"{what}: repeated keys: {text}")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.functions import codes
-from tripweave.operators.quality import drop_duplicate_rows
+from tripweave.operators.quality import assert_unique, drop_duplicate_rows
 from tripweave.schema import BACKFILL_COLUMNS, RIDE_COLUMNS, SLICE_COLUMNS, TIME_KEY
 
 # Fixed value: a slice whose one row repeats a ride of the next month with a misspelt station name.
@@ -17,6 +17,10 @@ KNOWN_BAD_SLICES = [(201306, 201307, 201307)]
 BACKFILL_MONTHS = (202001, 202101)
 
 
+#: Keys of two timestamps and a count that are broadcast at most, about 20 MB.
+BROADCAST_KEYS = 500_000
+
+
 def exclude_slices(df: DataFrame, bad: Sequence[tuple] = tuple(KNOWN_BAD_SLICES), columns: Sequence[str] = tuple(SLICE_COLUMNS)) -> DataFrame:
     """Drop known-bad slices.
 
@@ -49,21 +53,31 @@ def merge_duplicates(
     keys: Sequence[str] = tuple(TIME_KEY),
     strict: bool = False,
 ) -> DataFrame:
-    """One row per key: the row of the last file, with the backfill columns of the last row that has any.
+    """Pairs of rows with one key become the row of the last file, with the backfill columns of the last row that has any.
+
+    All ``columns`` come from one row. Keys with more than two rows are no pair: ``strict`` fails the query on them, otherwise
+    their rows stay, exact copies in several files once; ``merge_violations`` lists them. A row without a key stays as it is.
 
-    All ``columns`` come from one row. ``strict`` fails the query on a key with more than two rows;
-    ``merge_violations`` lists them. A grouped maximum of the row struct does the work, so copies are merged
-    before the shuffle and no task ever holds a group.
+    Repeated keys are few as a rule: they are counted on the narrow key first, an action, and only their rows are grouped. Up to
+    ``BROADCAST_KEYS`` of them are broadcast, so that no other row is shuffled; more are joined by the key.
     """
+    n = F.count("*").alias("_n")
+    repeated = df.select(*keys).dropna().groupBy(*keys).agg(n).where(F.col("_n") > 1)
+    if strict:
+        repeated = repeated.where(F.when(F.col("_n") > 2, F.raise_error(F.lit("more than two rides share start and stop"))).otherwise(F.lit(True)))
+    if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    alone = df.join(repeated, list(keys), "left_anti")
+    shared = df.join(repeated, list(keys)).select(*df.columns, "_n")
+    kept = [c for c in df.columns if c != order]
+    larger = shared.where(F.col("_n") > 2).groupBy(*kept).agg(F.max(order).alias(order)).select(*df.columns)
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(order, *[c for c in rest if c != order])
     donor = F.when(_has_info(F.col, columns), F.struct(order, *columns))
-    grouped = df.groupBy(*keys).agg(F.max(row).alias("_last"), F.max(donor).alias("_donor"), F.count("*").alias("_n"))
-    if strict:
-        grouped = grouped.where(F.when(F.col("_n") > 2, F.raise_error(F.lit("more than two rides share start and stop"))).otherwise(F.lit(True)))
+    pairs = shared.where(F.col("_n") == 2).groupBy(*keys).agg(F.max(row).alias("_last"), F.max(donor).alias("_donor"))
     uses_donor = ~_has_info(lambda c: F.col(f"_last.{c}"), columns) & F.col("_donor").isNotNull()
     merged = [F.when(uses_donor, F.col(f"_donor.{c}")).otherwise(F.col(f"_last.{c}")).alias(c) if c in columns else F.col(f"_last.{c}") for c in rest]
-    return grouped.select(*keys, *merged).select(*df.columns)
+    return alone.unionByName(pairs.select(*keys, *merged).select(*df.columns)).unionByName(larger)
 
 
 def merge_violations(df: DataFrame, keys: Sequence[str] = tuple(TIME_KEY)) -> DataFrame:
@@ -112,9 +126,8 @@ def backfill(
 ) -> DataFrame:
     """Fill attributes that ``new`` lost from the ride of ``old`` with the same start and stop.
 
-    A null takes the old value; gender 0 counts as null and stays 0 without a match. ``new`` must hold one row
-    per key (``merge_duplicates``); the old side is reduced to one, so no row multiplies. Both sides are
-    partitioned by the key once, and their aggregates leave them so for the join.
+    A null takes the old value; gender 0 counts as null and stays 0 without a match. The old side has one row per key
+    (``strict`` fails if it repeats one, otherwise the largest values count), so no row multiplies.
     """
     joined = new.join(_old_values(old, columns, keys, strict), list(keys), "left")
     filled = {}
@@ -152,18 +165,27 @@ def consolidate(
     older: DataFrame | None = None,
     file: str = "file",
     months: tuple[int, int] = BACKFILL_MONTHS,
+    strict: bool = False,
+    check_unique: bool = False,
 ) -> DataFrame:
     """Normalised slices of all source months -> one table of rides, partitionable by end month.
 
-    Months in ``months`` are merged per start and stop and backfilled from ``older``; all others only lose
-    exact copies. Provenance does not take part in the dedupe, so copies published in two files are one ride.
+    Months in ``months`` are merged per start and stop and backfilled from ``older``; all others, and rides without an
+    end month, only lose exact copies. Provenance does not take part in the dedupe, so copies published in two files are one ride.
+    ``strict`` fails on more than two rides with one start and stop, else they all stay. ``check_unique`` fails, by an action of
+    its own, if a ride key (start, stop, ride or bike id) repeats in the result.
     """
     wanted = [*RIDE_COLUMNS, "start_ym", "end_ym"]
     rows = exclude_slices(slices) if "src_ym" in slices.columns else slices
-    if older is not None:
-        in_range = F.col("end_ym").between(*months)
-        merged = merge_duplicates(rows.where(in_range).select(*wanted, file), order=file)
+    if older is None:
+        out = drop_duplicate_rows(rows.select(*wanted))
+    else:
+        in_range = F.coalesce(F.col("end_ym").between(*months), F.lit(False))
+        merged = merge_duplicates(rows.where(in_range).select(*wanted, file), order=file, strict=strict)
         old_rows = older.where(in_range) if "end_ym" in older.columns else older
-        repaired = backfill(merged, old_rows).select(*wanted)
-        rows = rows.where(~in_range).select(*wanted).unionByName(repaired)
-    return drop_duplicate_rows(rows.select(*wanted))
+        # The months of the two parts differ, so each loses its copies on its own.
+        repaired = drop_duplicate_rows(backfill(merged, old_rows).select(*wanted))
+        out = drop_duplicate_rows(rows.where(~in_range).select(*wanted)).unionByName(repaired)
+    if check_unique:
+        assert_unique(out, what="consolidated rides")
+    return out

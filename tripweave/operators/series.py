@@ -153,7 +153,7 @@ def annualized_growth(df: DataFrame, value: str, month: str = "m", partition: Se
     )
     looked = placed.where((F.col("num_mos") > 0) & ((F.col("num_mos") % 12 == 0) | (F.col("num_mos") == F.col("_n") - 1)))
     years = F.col("num_mos") / 12
-    ratio = F.col("last_v") / F.col("first_v")
+    ratio = F.try_divide("last_v", "first_v")
     return looked.select(
         *partition,
         "num_mos",

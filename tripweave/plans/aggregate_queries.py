@@ -295,7 +295,7 @@ STATION_NAME_SQL = """SELECT id, name FROM (
         """SELECT station_id, name AS station_name, CAST(count(*) AS BIGINT) AS n,
           count(*) / (SELECT count(*) FROM range(DATE '1995-01-01', DATE '2001-09-01', INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6) AS avg
         FROM dockings JOIN names ON station_id = id
-        WHERE isodow(time) < 6 AND regexp_matches(station_id, '^(?:JC|HB)') GROUP BY 1, 2""",
+        WHERE time >= DATE '1995-01-01' AND time < DATE '2001-09-01' AND isodow(time) < 6 AND regexp_matches(station_id, '^(?:JC|HB)') GROUP BY 1, 2""",
         dockings=DOCKINGS_SQL,
         names=STATION_NAME_SQL,
     ),
@@ -304,13 +304,27 @@ def _(w):
     return agg.station_counts(w.rides, w.stations, "1995-01-01", "2001-08-31", nj=True, weekdays=True)
 
 
+@query(
+    "station_month_avg",
+    with_prelude(
+        """SELECT station_id, name AS station_name, CAST(count(*) AS BIGINT) AS n, count(*) / 31 AS avg FROM dockings JOIN names ON station_id = id
+        WHERE time >= TIMESTAMP '1996-01-01 00:00:00' AND time < TIMESTAMP '1996-02-01 00:00:00' GROUP BY 1, 2""",
+        dockings=DOCKINGS_SQL,
+        names=STATION_NAME_SQL,
+    ),
+)
+def _(w):
+    """One month strictly inside the data."""
+    return agg.station_counts(w.rides, w.stations, "1996-01-01", "1996-01-31")
+
+
 @query(
     "station_daily_avg_outside_nj",
     with_prelude(
         """SELECT station_id, name AS station_name, CAST(count(*) AS BIGINT) AS n,
           count(*) / (SELECT count(*) FROM range(DATE '1995-01-01', DATE '2001-09-01', INTERVAL 1 DAY) r(d) WHERE isodow(d) IN (1, 6)) AS avg
         FROM dockings JOIN names ON station_id = id
-        WHERE isodow(time) IN (1, 6) AND NOT regexp_matches(station_id, '^(?:JC|HB)') GROUP BY 1, 2""",
+        WHERE time >= DATE '1995-01-01' AND time < DATE '2001-09-01' AND isodow(time) IN (1, 6) AND NOT regexp_matches(station_id, '^(?:JC|HB)') GROUP BY 1, 2""",
         dockings=DOCKINGS_SQL,
         names=STATION_NAME_SQL,
     ),
@@ -324,7 +338,8 @@ def _(w):
     with_prelude(
         """SELECT station_id, name AS station_name, CAST(day(time) AS INT) AS day, CAST(isodow(time) - 1 AS INT) AS weekday,
           CAST(count(*) AS BIGINT) AS n, CASE WHEN isodow(time) < 6 THEN 'Weekday' ELSE 'Weekend' END AS day_class
-        FROM dockings JOIN names ON station_id = id WHERE regexp_matches(station_id, '^(?:JC|HB)') GROUP BY 1, 2, 3, 4, 6""",
+        FROM dockings JOIN names ON station_id = id WHERE time >= DATE '1995-01-01' AND time < DATE '2001-09-01'
+          AND regexp_matches(station_id, '^(?:JC|HB)') GROUP BY 1, 2, 3, 4, 6""",
         dockings=DOCKINGS_SQL,
         names=STATION_NAME_SQL,
     ),
@@ -409,5 +424,5 @@ def _(w):
     def build(rides):
         return agg.aggregate_rides(rides, "ymrgw", "c")
 
-    stored = build(w.rides.where(temporal.year_month_int("start_time") < 199901))
-    return agg.append_new_months(stored, w.rides, build)
+    stored = build(w.rides.where(F.col("end_ym") <= 199812))
+    return agg.append_new_months(stored, w.rides, build, through=199812)

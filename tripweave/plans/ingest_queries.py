@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tripweave.functions import codes, regions, temporal, text
 from tripweave.operators import aggregate as agg
 from tripweave.operators import quality, reconcile
 from tripweave.operators import stations as st
-from tripweave.operators.normalize import add_slice_columns, normalize
+from tripweave.operators.normalize import add_slice_columns, cast_failures, normalize
 from tripweave.plans.aggregate_queries import CUBE_SQL, DISPLAY_SQL
 from tripweave.plans.prelude import keyed, region_sql, with_prelude
 from tripweave.plans.registry import query
@@ -265,19 +267,39 @@ def _(w):
     return normalize(trip_csv.read_trip_csv(w.spark, path), keep=["snapshot"])
 
 
-# Headers of the first two eras.
-_END_HEADERS = {"station_id": "station id", "station_name": "station name", "lat": "station latitude", "lng": "station longitude"}
+# Headers of the first two eras, by raw column.
 FIRST_ERA = {
     "started_at": "starttime",
     "ended_at": "stoptime",
-    **{f"{side}_{c}": f"{side} {h}" for side in ("start", "end") for c, h in _END_HEADERS.items()},
+    "start_station_id": "start station id",
+    "start_station_name": "start station name",
+    "start_lat": "start station latitude",
+    "start_lng": "start station longitude",
+    "end_station_id": "end station id",
+    "end_station_name": "end station name",
+    "end_lat": "end station latitude",
+    "end_lng": "end station longitude",
     "bikeid": "bikeid",
     "user_type": "usertype",
     "birth year": "birth year",
     "gender": "gender",
 }
-_SECOND_NAMES = {"started_at": "Start Time", "ended_at": "Stop Time", "bikeid": "Bike ID", "user_type": "User Type"}
-SECOND_ERA = {c: _SECOND_NAMES.get(c, h.title().replace(" Id", " ID")) for c, h in FIRST_ERA.items()}
+SECOND_ERA = {
+    "started_at": "Start Time",
+    "ended_at": "Stop Time",
+    "start_station_id": "Start Station ID",
+    "start_station_name": "Start Station Name",
+    "start_lat": "Start Station Latitude",
+    "start_lng": "Start Station Longitude",
+    "end_station_id": "End Station ID",
+    "end_station_name": "End Station Name",
+    "end_lat": "End Station Latitude",
+    "end_lng": "End Station Longitude",
+    "bikeid": "Bike ID",
+    "user_type": "User Type",
+    "birth year": "Birth Year",
+    "gender": "Gender",
+}
 
 
 @query(
@@ -303,14 +325,17 @@ def _(w):
     "csv_sorted_rewrite",
     with_prelude(
         """SELECT strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(ended_at, '%Y-%m-%d %H:%M:%S') AS ended_at, ride_id,
-        start_station_id, end_station_id, rideable_type FROM raw"""
+        start_station_id, start_station_name, end_station_id, end_station_name, rideable_type, member_casual,
+        start_lat, start_lng, end_lat, end_lng FROM raw"""
     ),
 )
 def _(w):
+    """All columns; the writer compares the number of rows that can be read back."""
     rows = as_text(w.raw, {c: c for c in HEADERS})
     path = scratch_path(w.spark, "sorted")
     writers.write_sorted_csv(rows, path)
-    return trip_csv.read_trip_csv(w.spark, path).select("started_at", "ended_at", "ride_id", "start_station_id", "end_station_id", "rideable_type")
+    places = [F.col(c).cast("double").alias(c) for c in ("start_lat", "start_lng", "end_lat", "end_lng")]
+    return trip_csv.read_trip_csv(w.spark, path).select(*[c for c in HEADERS if c[-4:] not in ("_lat", "_lng")], *places)
 
 
 @query(
@@ -343,9 +368,47 @@ def _(w):
 def _(w):
     """All slices, then a rerun without rides across a month end, whose slices have to go."""
     base = scratch_path(w.spark, "slices")
-    writers.replace_source_months(_sliced(w), base, f"{base}-staged")
-    writers.replace_source_months(_sliced(w).where(F.col("start_ym") == F.col("end_ym")), base, f"{base}-staged-again")
-    return tables.read_tables(w.spark, base).groupBy("src_ym", "start_ym", "end_ym").agg(F.count("*").alias("n"))
+    writers.replace_source_months(_sliced(w), base)
+    writers.replace_source_months(_sliced(w).where(F.col("start_ym") == F.col("end_ym")), base)
+    return tables.read_slices(w.spark, base).groupBy("src_ym", "start_ym", "end_ym").agg(F.count("*").alias("n"))
+
+
+@query(
+    "end_month_read",
+    with_prelude(
+        f"""SELECT {_RIDE}, src_ym, CAST(src_ym AS VARCHAR) || '/' || CAST(start_ym AS VARCHAR) || '_' || CAST(end_ym AS VARCHAR) AS slice
+        FROM slices WHERE end_ym = 199801""",
+        **SLICES,
+    ),
+)
+def _(w):
+    """The slices of all source months that end in one month, read from the stored folder."""
+    base = scratch_path(w.spark, "slices")
+    writers.replace_source_months(_sliced(w), base)
+    return tables.read_end_month(w.spark, base, 199801).withColumnRenamed("file", "slice").select(*RIDE_COLUMNS, "src_ym", "slice")
+
+
+@query("sql_table", with_prelude("SELECT sid, eid, count FROM pairs", pairs=PAIRS_SQL))
+def _(w):
+    """Pair counts as a table of the catalog, written and read by name."""
+    name = f"tripweave_pairs_{uuid.uuid4().hex[:8]}"
+    writers.write_sql_table(w.pairs, name, path=scratch_path(w.spark, name))
+    return tables.read_sql_table(w.spark, name)
+
+
+@query(
+    "cast_failures",
+    with_prelude(
+        """SELECT * FROM (VALUES ('start_time', 0::BIGINT), ('stop_time', (SELECT CAST(count(*) FILTER (ks % 5 = 0) AS BIGINT) FROM src)),
+        ('start_lat', 0), ('start_lng', 0), ('end_lat', (SELECT CAST(count(*) FILTER (ks % 7 = 0) AS BIGINT) FROM src)), ('end_lng', 0)) t("column", n_failed)"""
+    ),
+)
+def _(w):
+    """Text columns with some stop times and latitudes that cannot be read."""
+    rows = as_text(w.raw, {c: c for c in HEADERS})
+    number = F.regexp_extract("start_station_name", r"^Station (\d+)", 1).cast("int")
+    broken = {"ended_at": F.when(number % 5 == 0, "soon").otherwise(F.col("ended_at")), "end_lat": F.when(number % 7 == 0, "north").otherwise(F.col("end_lat"))}
+    return cast_failures(rows.withColumns(broken))
 
 
 @query("json_records", with_prelude(DISPLAY_SQL, cube=CUBE_SQL))
@@ -387,9 +450,8 @@ def _(w):
 
 @query("union_all_months", with_prelude(keyed({"end_ym": "end_ym", "start_station_id": "start_station_id"})))
 def _(w):
-    """Aggregates of the two files stacked and merged."""
-    parts = [agg.aggregate_rides(w.rides.where(F.col("file") == f), "s", "c", by=["end_ym"]) for f in ("F", "O")]
-    return agg.reaggregate(tables.union_all(parts), ["end_ym", "start_station_id"])
+    """Aggregates of each file, merged; whatever files there are."""
+    return agg.reaggregate(agg.aggregate_rides(w.rides, "s", "c", by=["end_ym", "file"]), ["end_ym", "start_station_id"])
 
 
 @query("station_index_of_pairs", with_prelude(INDEX_SQL, **STATION_TABLES))

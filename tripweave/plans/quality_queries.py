@@ -14,6 +14,10 @@ from tripweave.schema import BACKFILL_COLUMNS, RIDE_COLUMNS, TIME_KEY
 
 _RIDE = ", ".join(RIDE_COLUMNS)
 
+REPEATED_SQL = """SELECT * FROM rides
+    UNION ALL SELECT * REPLACE (ride_id || '-b' AS ride_id) FROM rides WHERE bike_id % 7 = 0
+    UNION ALL SELECT * REPLACE (ride_id || '-c' AS ride_id) FROM rides WHERE bike_id % 7 = 0"""
+
 
 def _file(w, name):
     return w.rides.where(F.col("file") == name)
@@ -39,44 +43,64 @@ def _(w):
     "key_violation_sizes",
     with_prelude(
         "SELECT n AS n_rows, CAST(count(*) AS BIGINT) AS n_keys FROM k GROUP BY 1",
-        k="SELECT start_time, stop_time, bike_id, CAST(count(*) AS BIGINT) AS n FROM rides GROUP BY 1, 2, 3 HAVING count(*) > 1",
+        repeated=REPEATED_SQL,
+        k="SELECT start_time, stop_time, bike_id, CAST(count(*) AS BIGINT) AS n FROM repeated GROUP BY 1, 2, 3 HAVING count(*) > 1",
     ),
 )
 def _(w):
-    repeated = quality.key_violations(w.rides, ["start_time", "stop_time", "bike_id"])
+    repeated = quality.key_violations(_repeated(w), ["start_time", "stop_time", "bike_id"])
     return repeated.groupBy("n_rows").agg(F.count("*").alias("n_keys"))
 
 
-# The newer file has lost the attributes of casual rides.
+# The newer file has lost the attributes of casual rides; some rides have no readable stop time.
 _LOST = "file = 'O' AND user_type = 'Customer'"
 REPUBLISHED_SQL = f"""SELECT * REPLACE (
+    CASE WHEN bike_id % 9 = 1 THEN NULL ELSE stop_time END AS stop_time,
+    CASE WHEN bike_id % 9 = 1 THEN NULL ELSE end_ym END AS end_ym,
     CASE WHEN {_LOST} THEN NULL ELSE birth_year END AS birth_year,
     CASE WHEN {_LOST} THEN 0 ELSE gender END AS gender,
-    CASE WHEN {_LOST} THEN NULL ELSE bike_id END AS bike_id) FROM rides"""
+    CASE WHEN {_LOST} THEN NULL ELSE bike_id END AS bike_id) FROM repeated"""
 _REST = [c for c in RIDE_COLUMNS if c not in TIME_KEY] + ["start_ym", "end_ym"]
 _ORDER = ", ".join(["file DESC"] + [f"{c} DESC NULLS LAST" for c in _REST])
 _DONOR_ORDER = ", ".join(["file DESC"] + [f"{c} DESC NULLS LAST" for c in BACKFILL_COLUMNS])
 _INFO = "({0}birth_year IS NOT NULL OR coalesce({0}gender, 0) <> 0 OR {0}bike_id IS NOT NULL)"
 _FIRST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start_time, stop_time ORDER BY {order}) AS rn
-    FROM republished WHERE {where}) WHERE rn = 1"""
+    FROM keyed WHERE n = 2 AND {where}) WHERE rn = 1"""
+_ALL = ", ".join([*TIME_KEY, *_REST])
 _KEPT = ",\n".join(
     f"CASE WHEN {_INFO.format('l.')} OR d.start_time IS NULL THEN l.{c} ELSE d.{c} END AS {c}" for c in BACKFILL_COLUMNS
 )
+# A pair becomes one ride; a ride alone, without a key or in a larger group stays, exact copies in a larger group once.
 MERGED_TABLES = {
+    "repeated": REPEATED_SQL,
     "republished": REPUBLISHED_SQL,
+    "keyed": """SELECT *, CASE WHEN start_time IS NULL OR stop_time IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY start_time, stop_time) END AS n
+        FROM republished""",
     "last_row": _FIRST.format(order=_ORDER, where="true"),
     "donor": _FIRST.format(order=_DONOR_ORDER, where=_INFO.format("")),
-    "merged": f"""SELECT l.* EXCLUDE (rn) REPLACE ({_KEPT})
-        FROM last_row l LEFT JOIN donor d ON l.start_time = d.start_time AND l.stop_time = d.stop_time""",
+    "merged": f"""SELECT l.* EXCLUDE (rn, n) REPLACE ({_KEPT})
+        FROM last_row l LEFT JOIN donor d ON l.start_time = d.start_time AND l.stop_time = d.stop_time
+        UNION ALL BY NAME SELECT * EXCLUDE (n) FROM keyed WHERE n = 1
+        UNION ALL BY NAME SELECT {_ALL}, max(file) AS file FROM keyed WHERE n > 2 GROUP BY ALL""",
 }
 
 
+def _repeated(w):
+    """The rides, those of some bikes three times under different ids."""
+    again = w.rides.where(F.col("bike_id") % 7 == 0)
+    more = [again.withColumn("ride_id", F.concat("ride_id", F.lit(suffix))) for suffix in ("-b", "-c")]
+    return w.rides.unionByName(more[0]).unionByName(more[1])
+
+
 def _republished(w):
     lost = (F.col("file") == "O") & (F.col("user_type") == "Customer")
     blank = {"birth_year": F.lit(None), "gender": F.lit(0), "bike_id": F.lit(None)}
     columns = [*RIDE_COLUMNS, "start_ym", "end_ym", "file"]
     lost = F.coalesce(lost, F.lit(False))
-    return w.rides.withColumns({c: F.when(lost, v).otherwise(F.col(c)).cast("int") for c, v in blank.items()}).select(*columns)
+    unread = F.coalesce(F.col("bike_id") % 9 == 1, F.lit(False))
+    values = {c: F.when(lost, v).otherwise(F.col(c)).cast("int") for c, v in blank.items()}
+    values |= {c: F.when(~unread, F.col(c)) for c in ("stop_time", "end_ym")}
+    return _repeated(w).withColumns(values).select(*columns)
 
 
 @query("merge_dupes", with_prelude("SELECT * FROM merged", **MERGED_TABLES))
@@ -86,10 +110,10 @@ def _(w):
 
 @query(
     "merge_violations",
-    with_prelude("SELECT start_time, stop_time, CAST(count(*) AS BIGINT) AS n_rows FROM rides GROUP BY 1, 2 HAVING count(*) > 2"),
+    with_prelude("SELECT start_time, stop_time, CAST(count(*) AS BIGINT) AS n_rows FROM repeated GROUP BY 1, 2 HAVING count(*) > 2", repeated=REPEATED_SQL),
 )
 def _(w):
-    return reconcile.merge_violations(w.rides)
+    return reconcile.merge_violations(_repeated(w))
 
 
 @query(
@@ -167,8 +191,10 @@ def _(w):
     "snapshot_diff",
     with_prelude(
         """SELECT start_time, stop_time, CAST(count(*) FILTER (file = 'F') AS BIGINT) AS n_old, CAST(count(*) FILTER (file = 'O') AS BIGINT) AS n_new,
-        CAST(sum(bike_id) FILTER (file = 'F') AS BIGINT) AS bike_id_old, CAST(sum(bike_id) FILTER (file = 'O') AS BIGINT) AS bike_id_new,
-        max(start_station_id) FILTER (file = 'F') AS start_station_id_old, max(start_station_id) FILTER (file = 'O') AS start_station_id_new,
+        CASE WHEN count(*) FILTER (file = 'F') = 1 THEN any_value(bike_id) FILTER (file = 'F') END AS bike_id_old,
+        CASE WHEN count(*) FILTER (file = 'O') = 1 THEN any_value(bike_id) FILTER (file = 'O') END AS bike_id_new,
+        CASE WHEN count(*) FILTER (file = 'F') = 1 THEN any_value(start_station_id) FILTER (file = 'F') END AS start_station_id_old,
+        CASE WHEN count(*) FILTER (file = 'O') = 1 THEN any_value(start_station_id) FILTER (file = 'O') END AS start_station_id_new,
         CASE WHEN count(*) FILTER (file = 'F') = 0 THEN 'added' WHEN count(*) FILTER (file = 'O') = 0 THEN 'lost' ELSE 'both' END AS status
         FROM rides GROUP BY 1, 2"""
     ),
@@ -291,7 +317,7 @@ _REPAIRED = {
     "consolidate_rides",
     with_prelude(
         f"""SELECT DISTINCT * FROM (
-          SELECT {_RIDE}, start_ym, end_ym FROM republished WHERE end_ym NOT BETWEEN 199701 AND 199912
+          SELECT {_RIDE}, start_ym, end_ym FROM republished WHERE end_ym IS NULL OR end_ym < 199701 OR end_ym > 199912
           UNION ALL
           SELECT {", ".join(_REPAIRED.get(c, "m." + c) for c in RIDE_COLUMNS)}, m.start_ym, m.end_ym
           FROM merged m LEFT JOIN uniq o ON m.start_time = o.start_time AND m.stop_time = o.stop_time

@@ -143,6 +143,22 @@ def _(w):
     return _growth(ts.rolling_mean(_total(w), ["rides"], 12))
 
 
+@query(
+    "growth_from_zero",
+    with_prelude(
+        _GROWTH_SQL.format(value="rides", source="opened").replace("last_v / v", "last_v / nullif(v, 0)"),
+        **TABLES,
+        total=TOTAL_SQL,
+        opened="SELECT m, CASE WHEN m = (SELECT min(m) FROM total) THEN 0 ELSE rides END AS rides FROM total",
+    ),
+)
+def _(w):
+    """A series that starts at 0 has no growth since then; the others stand."""
+    total = _total(w)
+    first = total.agg(F.min("m").alias("m")).scalar()
+    return _growth(total.withColumn("rides", F.when(F.col("m") == first, F.lit(0)).otherwise(F.col("rides"))))
+
+
 FACETS_SQL = """SELECT * FROM dash WHERE region IN ('JC', 'HOB') AND user_type IN ('Annual', 'Daily')
     AND gender IN ('Men', 'Women') AND rideable_type IN ('Classic', 'Unknown')"""
 

@@ -11,7 +11,7 @@ from tripweave.operators.aggregate import ride_cube
 from tripweave.operators.normalize import add_slice_columns, normalize
 from tripweave.operators.quality import drop_duplicate_rows
 from tripweave.operators.stations import station_pairs, station_table
-from tripweave.session import jit_sized_codegen, scratch_path, shared_root
+from tripweave.session import jit_sized_codegen, scratch_path
 from tripweave.sinks.writers import write_month_table, write_table
 from tripweave.sources.fixture import raw_trips
 
@@ -29,7 +29,7 @@ class Workspace:
     - ``cube``, ``stations``, ``pairs``: the aggregates that dashboards and station pages work on. Series and
       pair queries read these instead of aggregating the rides again.
 
-    Without a shared folder everything stays a lazy plan.
+    The setting ``spark.tripweave.lazyTables=true`` keeps them lazy plans instead, on any master.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -37,7 +37,7 @@ class Workspace:
         self.sf_dir = sf_dir.rstrip("/")
 
     def _stored(self, name: str, table: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
-        if shared_root(self.spark) is None:
+        if self.spark.conf.get("spark.tripweave.lazyTables", "false") == "true":
             return table
         path = scratch_path(self.spark, name)
         with jit_sized_codegen(self.spark):

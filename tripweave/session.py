@@ -56,28 +56,32 @@ def build_session(
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """Driver and executors in one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
-def shared_root(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, unique to this application, or None if the cluster names none.
+def shared_root(spark: SparkSession) -> str:
+    """Folder every executor can reach, unique to this application; it is deleted when the application's JVM ends.
 
     It lies under ``spark.checkpoint.dir``. Only on a local master, where driver and executors are one
-    machine, is a fresh temporary folder used when that setting is absent.
+    machine, is a fresh temporary folder used when that setting is absent; a cluster has to name one.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not is_local(spark):
-            return None
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = base or tempfile.mkdtemp(prefix="tripweave-")
-        _ROOTS[app] = f"{base.rstrip('/')}/tripweave-{app}-{uuid.uuid4().hex[:8]}"
+        root = f"{base.rstrip('/')}/tripweave-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS[app] = root
     return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has written to yet."""
-    root = shared_root(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return f"{root}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"

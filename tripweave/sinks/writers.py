@@ -5,13 +5,15 @@ Spark's commit protocol keeps a failed write from showing; nothing here funnels
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.schema import TIME_KEY
 from tripweave.sources.csv import sort_rows
+from tripweave.sources.tables import newest_index, run_folder
 
 _MODES = {True: "overwrite", False: "ignore", None: "errorifexists"}
 
@@ -26,38 +28,49 @@ def write_month_table(rides: DataFrame, path: str, overwrite: bool | None = None
 
 
 def write_source_month(rides: DataFrame, base: str, src_ym: int) -> None:
-    """Replace one source month's slices by (start month, end month).
-
-    The source month's folder is overwritten as a whole, so slices that a rerun no longer produces go away;
-    a dynamic partition overwrite would leave them. Other source months are not touched.
-    """
-    rows = rides.where(F.col("src_ym") == src_ym).drop("src_ym")
-    partitioned = rows.hint("rebalance", "start_ym", "end_ym").sortWithinPartitions("start_ym", "end_ym", *TIME_KEY)
-    partitioned.write.mode("overwrite").partitionBy("start_ym", "end_ym").parquet(f"{base}/src_ym={src_ym}")
+    """Replace one source month's slices; slices that a rerun no longer produces go away, other source months stay."""
+    replace_source_months(rides.where(F.col("src_ym") == src_ym), base, [src_ym])
 
 
-def replace_source_months(rides: DataFrame, base: str, staging: str) -> None:
-    """Replace every source month present in ``rides`` with one job.
+def replace_source_months(rides: DataFrame, base: str, months: Sequence[int] = ()) -> None:
+    """Replace every source month present in ``rides``, and those in ``months`` even if they have no rides any more, with one job.
 
-    All slices are written to ``staging`` first; then each source month's folder takes the place of the old one.
-    The swap only touches folder names, one per source month, and a failed write leaves ``base`` as it was.
+    A run's slices are written to a folder of their own; then an index that says which run each source month is read from is
+    written as one small table, and readers take the newest index that was committed. Until that commit they see the old
+    slices, all of them, after it the new ones; nothing is moved or deleted in between. ``remove_old_runs`` frees the space. One
+    writer at a time.
     """
+    spark, run = rides.sparkSession, uuid.uuid4().hex
     keys = ["src_ym", "start_ym", "end_ym"]
     sorted_rows = rides.hint("rebalance", *keys).sortWithinPartitions(*keys, *TIME_KEY)
-    sorted_rows.write.mode("overwrite").partitionBy(*keys).parquet(staging)
-    spark = rides.sparkSession
+    sorted_rows.write.partitionBy(*keys).parquet(run_folder(base, run))
+    # Partition columns are known from folder names; the files are not read.
+    written = spark.read.schema(rides.schema).parquet(run_folder(base, run)).select("src_ym").distinct()
+    new = written.select(F.col("src_ym").cast("int").alias("src_ym"), F.lit(run).alias("run"))
+    version, old = newest_index(spark, base)
+    if old is not None:
+        replaced = new.select("src_ym").unionByName(spark.createDataFrame([(int(m),) for m in months], "src_ym int"))
+        new = old.join(replaced, "src_ym", "left_anti").unionByName(new)
+    new.coalesce(1).write.parquet(f"{base}/index/{version + 1:012d}")
+
+
+def remove_old_runs(spark: SparkSession, base: str) -> None:
+    """Delete the slices that the newest index does not name, and older indexes; not while readers of an older index are at work."""
+    version, index = newest_index(spark, base)
+    if index is None:
+        return
+    current = {(r.run, r.src_ym) for r in index.collect()}  # one row per source month
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path(base))
-    for status in fs.listStatus(path(staging)):
-        name = status.getPath().getName()
-        if not name.startswith("src_ym="):
-            continue
-        target = path(f"{base}/{name}")
-        if fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(status.getPath(), target):
-            raise OSError(f"could not move {status.getPath()} to {target}")
+    for run in fs.listStatus(path(f"{base}/runs")):
+        months = [m.getPath() for m in fs.listStatus(run.getPath()) if m.getPath().getName().startswith("src_ym=")]
+        name = run.getPath().getName().removeprefix("run=")
+        old = [m for m in months if (name, int(m.getName().removeprefix("src_ym="))) not in current]
+        for m in [run.getPath()] if len(old) == len(months) else old:
+            fs.delete(m, True)
+    for i in fs.listStatus(path(f"{base}/index")):
+        if i.getPath().getName() < f"{version:012d}":
+            fs.delete(i.getPath(), True)
 
 
 def write_end_months(rides: DataFrame, path: str) -> None:
@@ -76,11 +89,16 @@ def write_sorted_csv(rows: DataFrame, path: str) -> None:
     """Gzipped CSV in start, stop and id order, blank rows dropped, equal keys in their old order.
 
     The global order runs across part files: a range sort, no single-task collapse. The old position is part of
-    the sort key, so rows with equal keys can be cut into several ranges as well.
+    the sort key, so rows with equal keys can be cut into several ranges as well. The rows that went in are counted as they are
+    written and compared with what can be read back.
     """
-    sort_rows(rows.where(F.coalesce(*[F.col(f"`{c}`") for c in rows.columns]).isNotNull())).write.option("header", True).option(
-        "nullValue", r"\N"
-    ).option("compression", "gzip").csv(path)
+    counted = Observation()
+    wanted = rows.where(F.coalesce(*[F.col(f"`{c}`") for c in rows.columns]).isNotNull())
+    out = sort_rows(wanted).observe(counted, F.count(F.lit(1)).alias("n"))
+    out.write.option("header", True).option("nullValue", r"\N").option("compression", "gzip").csv(path)
+    back = rows.sparkSession.read.option("header", True).schema(rows.schema).csv(path).count()
+    if back != counted.get["n"]:
+        raise OSError(f"{path}: {back} rows can be read back of {counted.get['n']} written")
 
 
 def write_json_records(df: DataFrame, path: str, overwrite: bool | None = None, order: Sequence | None = None) -> None:
@@ -101,9 +119,10 @@ def write_pair_json(maps: DataFrame, path: str, overwrite: bool | None = None) -
     maps.select(line.alias("value")).write.mode(_MODES[overwrite]).text(path)
 
 
-def write_sql_table(df: DataFrame, table: str, jdbc_url: str | None = None, overwrite: bool | None = None) -> None:
-    """A catalog table, or a database table over JDBC."""
+def write_sql_table(df: DataFrame, table: str, jdbc_url: str | None = None, overwrite: bool | None = None, path: str | None = None) -> None:
+    """A catalog table, in the warehouse or in a folder of its own, or a database table over JDBC."""
     if jdbc_url is None:
-        df.write.mode(_MODES[overwrite]).saveAsTable(table)
+        writer = df.write.mode(_MODES[overwrite])
+        (writer.option("path", path) if path else writer).saveAsTable(table)
     else:
         df.write.mode(_MODES[overwrite]).format("jdbc").option("url", jdbc_url).option("dbtable", table).save()

@@ -12,12 +12,16 @@ from tripweave.operators.compare import tagged_union
 def file_manifest(spark: SparkSession, path: str, include=(), exclude=()) -> DataFrame:
     """``path, size, etag`` of the files under a folder; contents are not read.
 
-    The etag stands for size and modification time.
+    The etag stands for size and modification time. Patterns are matched against the path below the folder, so names of
+    parent folders play no part.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     etag = F.md5(F.concat_ws("|", F.col("length"), F.unix_micros("modificationTime")))
     listed = files.select("path", F.col("length").alias("size"), etag.alias("etag"))
-    return listed.where(include_exclude(F.col("path"), include, exclude))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    below = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1))).otherwise(F.substring_index("path", "/", -1))
+    return listed.where(include_exclude(below, include, exclude))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -21,13 +21,40 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def run_folder(base: str, run: str) -> str:
+    """Where one run's slices are stored."""
+    return f"{base}/runs/run={run}"
+
+
+def newest_index(spark: SparkSession, base: str) -> tuple[int, DataFrame | None]:
+    """Number and rows (``src_ym, run``) of the newest committed index of a slice table; (0, None) if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(f"{base}/index")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return 0, None
+    names = sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True)
+    for name in names:
+        if fs.exists(path(f"{base}/index/{name}/_SUCCESS")):
+            return int(name), spark.read.schema("src_ym int, run string").parquet(f"{base}/index/{name}")
+    return 0, None
+
+
+def read_slices(spark: SparkSession, base: str) -> DataFrame:
+    """The current slices of all source months, with ``src_ym``, ``start_ym`` and ``end_ym``."""
+    _, index = newest_index(spark, base)
+    paths = [f"{run_folder(base, r.run)}/src_ym={r.src_ym}" for r in index.collect()] if index is not None else []  # one per source month
+    if not paths:
+        raise FileNotFoundError(f"{base} has no committed slices")
+    return spark.read.option("basePath", f"{base}/runs").parquet(*paths).drop("run")
+
+
 def read_end_month(spark: SparkSession, base: str, end_ym: int) -> DataFrame:
     """All slices, of whatever source month, whose rides end in ``end_ym``, tagged with their slice.
 
     The month is a partition column, so other months' files are not opened.
     """
-    rows = spark.read.parquet(base).where(F.col("end_ym") == end_ym)
-    return tag_slice(rows)
+    return tag_slice(read_slices(spark, base).where(F.col("end_ym") == end_ym))
 
 
 def tag_slice(rows: DataFrame, name: str = "file") -> DataFrame:
