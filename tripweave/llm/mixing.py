@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -57,7 +58,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
 
     ``weights`` has the target of each source; without it, a source's target is its row count to the power ``alpha``. Sources
     without a weight raise. Every row appears once: a source that has run out leaves its slots empty, which keeps the others
-    in proportion. Rows of a source come in a random order that is fixed by the input files. Null sources are a source
+    in proportion. Rows of a source come in a random order that follows from their content. Null sources are a source
     of their own; repeated rows are rows of their own; an empty table gives no rows. A table with a column of a new name raises.
 
     No row goes through Python. Rows are numbered within (source, salt) and shifted by the counts of earlier salts, so a source
@@ -85,8 +86,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     plan = spark.createDataFrame(rows, "_source string, _turn long, _slot long, _share long, weight double")
 
     salts = max(1, -(-sum(counts.values()) // bucket))
-    numbered = docs.select("*", _key(source_col).alias("_source"), F.monotonically_increasing_id().alias("_id")).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
-    inside = Window.partitionBy("_source", "_salt").orderBy(F.xxhash64("_id", F.lit(1)), "_id")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    # By content, not by position: both uses below see the same salts whatever the input's partitions are.
+    content = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)))
+    numbered = docs.select(whole, _key(source_col).alias("_source"), content.alias("_id")).withColumn("_salt", F.pmod("_id", F.lit(salts)))
+    inside = Window.partitionBy("_source", "_salt").orderBy(F.xxhash64("_id"), "_id")
     before = Window.partitionBy("_source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = numbered.groupBy("_source", "_salt").agg(F.count("*").alias("_n")).select("_source", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     placed = (
@@ -100,7 +104,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     turns = placed.join(share, "_source").withColumn("_turn", F.col("block") % F.col("_share"))
     timed = turns.join(F.broadcast(plan.drop("_share")), ["_source", "_turn"])
     slot = F.floor(F.col("block") / F.col("_share")) * period + F.col("_slot")
-    return timed.select(*(F.col(f"`{c}`") for c in docs.columns), "weight", "block", slot.alias("slot"), "place")
+    return timed.select("_doc.*", "weight", "block", slot.alias("slot"), "place")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
