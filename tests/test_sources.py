@@ -128,9 +128,9 @@ def test_archive_name_types(spark, archive_dir):
         chosen(3)
 
 
-@pytest.mark.parametrize("range_bytes", [7, 64, 150, 1 << 20])
-def test_archive_rows(spark, archive_dir, range_bytes):
-    raw = archives.read_trip_archives(spark, archive_dir, range_bytes=range_bytes, parallelism=3)
+@pytest.mark.parametrize("chunk_bytes", [7, 150, 1 << 20])
+def test_archive_rows(spark, archive_dir, chunk_bytes):
+    raw = archives.read_trip_archives(spark, f"file://{archive_dir}", chunk_bytes=chunk_bytes)
     out = normalize(raw, publisher=F.col("publisher"), keep=["src_ym", "publisher"]).orderBy("src_ym", "start_time").collect()
     assert [(r.src_ym, r.ride_id, r.bike_id, r.rideable_type, r.gender, r.end_region) for r in out] == [
         (201401, None, 12341, "unknown", 1, "NYC"),
@@ -145,6 +145,12 @@ def test_archive_rows(spark, archive_dir, range_bytes):
     assert some.count() == 2
 
 
+def test_a_wanted_month_that_no_archive_has(spark, archive_dir):
+    assert archives.read_trip_archives(spark, archive_dir, months=(201401, 201403), require=True).count() == 3
+    with pytest.raises(FileNotFoundError, match="201403, 201404"):
+        archives.read_trip_archives(spark, archive_dir, months=(201401, 201405), require=True)
+
+
 def test_archive_header_mismatch(spark, tmp_path):
     (tmp_path / "202405-trips.zip").write_bytes(zipped({"202405-a.csv": csv_text(ERA3, LINE3.format(1)), "202405-b.csv": csv_text(ERA1, LINE1.format(1))}))
     assert [(r.src_ym, r.n_headers) for r in archives.header_mismatches(listed(spark, str(tmp_path))).collect()] == [(202405, 2)]
@@ -154,21 +160,37 @@ def test_archive_header_mismatch(spark, tmp_path):
 
 @pytest.mark.parametrize("ending", ["\n", "\r\n"])
 @pytest.mark.parametrize("size", range(1, 40, 3))
-def test_byte_ranges_cover_each_line_once(size, ending):
+def test_chunks_hold_each_line_once(size, ending):
     lines = ["h" * 9, *[str(i) * (i % 7 + 1) for i in range(25)]]
     data = ending.join(lines).encode()
     for text in (data, data + ending.encode()):
-        got = b""
-        for start in range(0, len(text), size):
-            part = io.BufferedReader(archives._RangeLines(io.BytesIO(text), start, min(len(text), start + size)))
-            got += part.read()
-        assert got.decode().split() == lines[1:]
-
-
-def test_mounted_paths():
-    assert archives.mounted_path("/a/b.zip") == archives.mounted_path("file:/a/b.zip") == archives.mounted_path("file:///a/b.zip") == "/a/b.zip"
-    with pytest.raises(ValueError):
-        archives.mounted_path("s3a://bucket/b.zip")
+        chunks = list(archives.line_chunks(io.BytesIO(text), size))
+        assert b"".join(chunks).decode().split() == lines[1:]
+        assert all(c.endswith(b"\n") for c in chunks[:-1])
+        assert all(len(c) >= size for c in chunks[:-1])
+
+
+def test_files_of_any_store(tmp_path):
+    (tmp_path / "b.zip").write_bytes(b"12345")
+    for address in (f"{tmp_path}/b.zip", f"file:{tmp_path}/b.zip", f"file://{tmp_path}/b.zip"):
+        with archives.open_file(address) as f:
+            f.seek(3)
+            assert f.read() == b"45"
+
+
+def test_a_nested_member_is_unpacked_once(tmp_path, monkeypatch):
+    inner = zipped({f"202409-trips_{i}.csv": csv_text(ERA3, LINE3.format(i)) for i in range(3)})
+    (tmp_path / "202409-trips.zip").write_bytes(zipped({"a.csv.zip": inner}))
+    copies = []
+    copy = archives.shutil.copyfileobj
+    monkeypatch.setattr(archives.shutil, "copyfileobj", lambda *a: copies.append(1) or copy(*a))
+    opened = archives._Opened()
+    found = [m[0] for m in archives._members(str(tmp_path / "202409-trips.zip"), opened)]
+    for member in found:
+        with opened.member(str(tmp_path / "202409-trips.zip"), member) as stream:
+            assert stream.readline()
+    opened.close()
+    assert len(found) == 3 and len(copies) == 1
 
 
 def test_manifest(spark, tmp_path):

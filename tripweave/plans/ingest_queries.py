@@ -346,11 +346,11 @@ def _(w):
     ),
 )
 def _(w):
-    """Monthly zip archives, members cut into byte ranges, read on the executors."""
-    folder = archives.mounted_path(scratch_path(w.spark, "archives"))
+    """Monthly zip archives, plain and nested, members cut into chunks, read on the executors."""
+    folder = scratch_path(w.spark, "archives")
     with jit_sized_codegen(w.spark):
         write_monthly_archives(w.raw, folder).write.format("noop").mode("overwrite").save()
-    rows = archives.read_trip_archives(w.spark, folder, range_bytes=1 << 16)
+    rows = archives.read_trip_archives(w.spark, folder, chunk_bytes=1 << 16)
     return normalize(rows, publisher=F.col("publisher"), keep=["src_ym", "publisher"]).drop("publisher")
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
-import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ def as_text(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
 def write_monthly_archives(raw: DataFrame, folder: str, buckets: int = 2) -> DataFrame:
     """One archive per start month and bucket, ``buckets`` tasks sharing a month; gives the paths as it writes.
 
-    Rows stream into the archive, so a task holds one line at a time, and a repeated task writes the same file.
+    Rows stream into the archive, so a task holds one line at a time, and a repeated task writes the same file. Every other archive
+    holds its CSV inside an archive of its own.
     """
     names = list(HEADERS)
     text = as_text(raw.select(*[f"`{c}`" for c in names]), HEADERS)
@@ -46,20 +48,30 @@ def write_monthly_archives(raw: DataFrame, folder: str, buckets: int = 2) -> Dat
     placed = text.select(month.alias("_ym"), F.pmod(F.xxhash64("ride_id"), F.lit(buckets)).cast("int").alias("_bucket"), *names)
     sorted_rows = placed.repartition("_ym", "_bucket").sortWithinPartitions("_ym", "_bucket", *names)
 
+    store, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        store.create_dir(root, recursive=True)
         rows = (tuple(r.values()) for batch in batches for r in batch.to_pylist())
         for (ym, bucket), group in groupby(rows, key=lambda r: r[:2]):
-            path = f"{folder}/{ym}-trips-{bucket}.zip"
-            partial = f"{path}.{os.getpid()}.partial"
-            with zipfile.ZipFile(partial, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{ym}-trips_{bucket}.csv", "w") as member:
-                out = csv.writer(lines := io.TextIOWrapper(member, "utf-8", newline=""), lineterminator="\n")
-                out.writerow(names)
-                out.writerows(r[2:] for r in group)
-                lines.flush()
-                lines.detach()
-            os.replace(partial, path)
-            yield pa.RecordBatch.from_pydict({"path": [path]})
+            name = f"{ym}-trips_{bucket}.csv"
+            partial = f"{root}/.{ym}-{bucket}-{uuid.uuid4().hex}"
+            with store.open_output_stream(partial) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                if bucket % 2:
+                    with z.open(f"{name}.zip", "w") as inner, zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as y:
+                        _write_csv(y, name, names, group)
+                else:
+                    _write_csv(z, name, names, group)
+            store.move(partial, f"{root}/{ym}-trips-{bucket}.zip")
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{ym}-trips-{bucket}.zip"]})
 
     return sorted_rows.mapInArrow(write, "path string")
 
+
+def _write_csv(files: zipfile.ZipFile, name: str, header: list[str], rows: Iterator[tuple]) -> None:
+    with files.open(name, "w") as member:
+        out = csv.writer(lines := io.TextIOWrapper(member, "utf-8", newline=""), lineterminator="\n")
+        out.writerow(header)
+        out.writerows(r[2:] for r in rows)
+        lines.flush()
+        lines.detach()

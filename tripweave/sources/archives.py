@@ -1,12 +1,9 @@
-"""Zip archives of trip files, listed and read on the executors.
+"""Zip archives of trip files, listed and read on the executors, from any store that Arrow can open.
 
-Listing and reading are two maps over ordinary DataFrames. The listing opens archives in parallel and emits
-one row per byte range of a CSV member; after a repartition each range is read by its own task, streaming
-Arrow batches out of the decompressor. A member that holds a third of all bytes is cut into ranges like any
-other: its tasks skip to their range, which costs decompression only, and parse only their own lines. No task
-holds an archive or a member in memory, and nothing passes through the driver.
-
-Paths are opened with Python's ``open``: archives have to lie on a file system mounted on every executor.
+Listing and reading are maps over ordinary DataFrames. The listing opens archives in parallel and emits one row per CSV
+member. A member can only be decompressed from its start, so one task streams it, once, and cuts it into chunks of whole
+lines; the chunks are dealt out evenly and parsed by all tasks, so a member that holds a third of all bytes keeps one task
+busy with decompression only. No task holds a member in memory, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +12,8 @@ import calendar
 import csv
 import io
 import re
+import shutil
+import tempfile
 import zipfile
 from collections.abc import Iterator
 from contextlib import ExitStack
@@ -22,6 +21,7 @@ from contextlib import ExitStack
 import pandas as pd
 import pyarrow as pa
 from pyarrow import csv as pacsv
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,13 @@ from tripweave.schema import RIDE_COLUMNS
 from tripweave.sources.csv import NULL_MARKER, NULL_TEXTS
 from tripweave.sources.headers import canonical_name, unexpected_headers
 
-RANGE_BYTES = 256 * 1024 * 1024
+#: Bytes of a chunk, before decompression ends; what one read task streams, and what one parse task gets, about.
+CHUNK_BYTES = 8 << 20
+READ_BYTES, PARSE_BYTES = 1 << 30, 128 << 20
+
+#: A nested archive up to this size is unpacked in memory, a larger one to the task's temporary folder while it is read.
+NESTED_BYTES = 256 << 20
+
 # A nested archive is addressed as ``outer member!inner member``.
 NESTED = "!"
 
@@ -52,8 +58,6 @@ MEMBER_SCHEMA = T.StructType(
         T.StructField("header", T.StringType()),
         T.StructField("unexpected", T.ArrayType(T.StringType())),
         T.StructField("size", T.LongType()),
-        T.StructField("range_start", T.LongType()),
-        T.StructField("range_end", T.LongType()),
     ]
 )
 ROW_SCHEMA = T.StructType(
@@ -67,12 +71,12 @@ ROW_SCHEMA = T.StructType(
 )
 
 
-def mounted_path(path: str) -> str:
-    """Plain file name of a path on a mounted file system; other schemes cannot be opened by a task."""
-    scheme, _, rest = path.partition(":") if re.match(r"^[a-z][a-z0-9+.-]*:/", path) else ("file", "", path)
-    if scheme != "file":
-        raise ValueError(f"archives must lie on a file system mounted on every executor, not {path}")
-    return re.sub(r"^/+", "/", rest)
+def open_file(path: str) -> pa.NativeFile:
+    """A seekable file of any store Arrow knows: plain paths and file:, s3: (also s3a:), gs:, hdfs: and abfs: addresses."""
+    if not re.match(r"^[a-z][a-z0-9+.-]*:/", path):
+        return pafs.LocalFileSystem().open_input_file(path)
+    store, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
+    return store.open_input_file(name)
 
 
 def split_header(line: str) -> list[str]:
@@ -80,12 +84,36 @@ def split_header(line: str) -> list[str]:
     return next(csv.reader([line]))
 
 
-def _open_member(stack: ExitStack, archive: str, member: str) -> io.BufferedIOBase:
-    """Stream of a member; nested archives are read through their enclosing stream."""
-    stream = stack.enter_context(open(archive, "rb"))
-    for part in member.split(NESTED):
-        stream = stack.enter_context(stack.enter_context(zipfile.ZipFile(stream)).open(part))
-    return stream
+class _Opened:
+    """The archive, and the archive inside it, that a task reads from; both stay open while their members follow one another."""
+
+    def __init__(self):
+        self._stack, self._names, self._zip = ExitStack(), (None, None), None
+
+    def _enter(self, archive: str, nested: str | None) -> zipfile.ZipFile:
+        if self._names != (archive, nested):
+            self.close()
+            found = self._stack.enter_context(zipfile.ZipFile(self._stack.enter_context(open_file(archive))))
+            if nested is not None:
+                copy = self._stack.enter_context(tempfile.SpooledTemporaryFile(max_size=NESTED_BYTES))
+                with found.open(nested) as inner:
+                    shutil.copyfileobj(inner, copy, 1 << 20)
+                copy.seek(0)
+                found = self._stack.enter_context(zipfile.ZipFile(copy))
+            self._names, self._zip = (archive, nested), found
+        return self._zip
+
+    def archive(self, path: str, nested: str | None = None) -> zipfile.ZipFile:
+        return self._enter(path, nested)
+
+    def member(self, archive: str, member: str) -> io.BufferedIOBase:
+        """Stream of a member, from its start."""
+        nested, mark, name = member.partition(NESTED)
+        return self._enter(archive, nested if mark else None).open(name if mark else member)
+
+    def close(self) -> None:
+        self._stack.close()
+        self._stack, self._names, self._zip = ExitStack(), (None, None), None
 
 
 def member_layout(member: str) -> int:
@@ -111,57 +139,61 @@ def _member_month(*names: str) -> int:
     return next((int(m[1] + m[2]) for m in found if m), 0)
 
 
-def _members(archive: str) -> Iterator[tuple[str, int, int, int]]:
-    """(member, layout, month, size) of the CSVs of an archive.
+def _members(archive: str, opened: _Opened) -> Iterator[tuple[str, int, int, int, str]]:
+    """(member, layout, month, size, header) of the CSVs of an archive.
 
     Whole-year archives hold plain CSVs in one of two layouts up to 2019 and one archive per month after.
     Monthly archives hold plain CSVs or, if there are none, archives of CSVs. Members whose path starts with an
     underscore are resource forks.
     """
     year = _archive_year(archive)
-    with ExitStack() as stack:
-        outer = stack.enter_context(zipfile.ZipFile(stack.enter_context(open(archive, "rb"))))
-        infos = [i for i in outer.infolist() if not i.filename.startswith("_")]
-        plain = [i for i in infos if i.filename.endswith(".csv")]
-        nested = [i for i in infos if i.filename.endswith(".zip") and not i.filename.rsplit("/", 1)[-1].startswith("_")]
-        if year is not None:
-            plain = [] if year >= 2020 else [i for i in plain if member_layout(i.filename)]
-        for info in plain:
-            layout = member_layout(info.filename) if year is not None else 0
-            yield info.filename, layout, _member_month(info.filename, archive), info.file_size
-        if plain:
-            return
-        for info in nested:
-            with outer.open(info) as stream, zipfile.ZipFile(stream) as inner:
-                for part in inner.infolist():
-                    if part.filename.endswith(".csv") and not part.filename.startswith("_"):
-                        ym = _member_month(part.filename, info.filename, archive)
-                        yield f"{info.filename}{NESTED}{part.filename}", 0, ym, part.file_size
-
-
-def list_members(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Byte ranges of the CSV members of ``archives`` (a frame with a ``path`` column).
-
-    Each row tells the member's month, publisher (from the file name), header line and layout.
-    """
+
+    def header(files: zipfile.ZipFile, name: str) -> str:
+        with files.open(name) as stream:
+            return stream.readline().decode("utf-8-sig").strip()
+
+    outer = opened.archive(archive)
+    infos = [i for i in outer.infolist() if not i.filename.startswith("_")]
+    plain = [i for i in infos if i.filename.endswith(".csv")]
+    nested = [i.filename for i in infos if i.filename.endswith(".zip") and not i.filename.rsplit("/", 1)[-1].startswith("_")]
+    if year is not None:
+        plain = [] if year >= 2020 else [i for i in plain if member_layout(i.filename)]
+    for info in plain:
+        layout = member_layout(info.filename) if year is not None else 0
+        yield info.filename, layout, _member_month(info.filename, archive), info.file_size, header(outer, info.filename)
+    if plain:
+        return
+    for name in nested:
+        inner = opened.archive(archive, name)
+        for part in inner.infolist():
+            if part.filename.endswith(".csv") and not part.filename.startswith("_"):
+                yield f"{name}{NESTED}{part.filename}", 0, _member_month(part.filename, name, archive), part.file_size, header(inner, part.filename)
+
+
+def list_members(archives: DataFrame) -> DataFrame:
+    """The CSV members of ``archives`` (a frame with a ``path`` column): month, publisher (from the file name), header line, layout and size."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = _Opened()
         for batch in batches:
             for path in batch["path"]:
-                rows = []
-                local = mounted_path(path)
-                publisher = "JC" if local.rsplit("/", 1)[-1].startswith("JC-") else "NYC"
-                for member, layout, ym, size in _members(local):
-                    with ExitStack() as stack:
-                        header = _open_member(stack, local, member).readline().decode("utf-8-sig").strip()
-                    odd = unexpected_headers(split_header(header))
-                    for start in range(0, max(size, 1), range_bytes):
-                        rows.append((local, member, layout, ym, publisher, header, odd, size, start, min(size, start + range_bytes)))
+                publisher = "JC" if path.rsplit("/", 1)[-1].startswith("JC-") else "NYC"
+                rows = [(path, member, layout, ym, publisher, header, unexpected_headers(split_header(header)), size) for member, layout, ym, size, header in _members(path, opened)]
                 yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.fieldNames())
+        opened.close()
 
     return archives.select("path").mapInPandas(scan, MEMBER_SCHEMA)
 
 
+def check_months(members: DataFrame, months: tuple[int, int], publisher: str | None = None) -> None:
+    """Action: fail if no archive holds a source month of the half-open range; ``publisher`` looks at that one's archives only."""
+    rows = members if publisher is None else members.where(F.col("publisher") == publisher)
+    found = {r.src_ym for r in rows.select("src_ym").distinct().collect()}
+    wanted = [y * 100 + m for y in range(months[0] // 100, months[1] // 100 + 1) for m in range(1, 13) if months[0] <= y * 100 + m < months[1]]
+    if missing := [ym for ym in wanted if ym not in found]:
+        raise FileNotFoundError(f"no archive has a member for {', '.join(map(str, missing))}")
+
+
 def _archive_month() -> WindowSpec:
     """A window over the listing keeps it to one pass; it holds the byte ranges of one month of one archive."""
     return Window.partitionBy("archive", "src_ym")
@@ -198,54 +230,16 @@ def check_headers(members: DataFrame) -> DataFrame:
     return tagged.where(F.when(F.col("_differ"), F.raise_error(message)).otherwise(F.lit(True))).select(members.columns)
 
 
-class _RangeLines(io.RawIOBase):
-    """The whole lines of a stream that begin within a byte range, as a readable stream without the header.
+def line_chunks(stream: io.BufferedIOBase, size: int) -> Iterator[bytes]:
+    """The lines of a stream after its first, in pieces of at least ``size`` bytes (the last may be shorter) that end with a line."""
+    stream.readline()
+    while block := stream.read(size):
+        if not block.endswith(b"\n"):
+            block += stream.readline()
+        yield block
 
-    A range that does not start the member leaves its first, partial line to the range before it.
-    """
 
-    def __init__(self, stream, start: int, end: int):
-        self._stream, self._pos, self._end, self._buffer = stream, 0, end, b""
-        if start > 0:
-            # Stop one byte early: a line that begins exactly at ``start`` belongs to this range.
-            self._skip(start - 1)
-        self._next_line()
-
-    def _skip(self, n: int) -> None:
-        while n > 0:
-            chunk = self._stream.read(min(n, 1 << 20))
-            if not chunk:
-                return
-            n -= len(chunk)
-            self._pos += len(chunk)
-
-    def _next_line(self) -> bytes:
-        line = self._stream.readline()
-        self._pos += len(line)
-        return line
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, target) -> int:
-        while not self._buffer:
-            if self._pos >= self._end:
-                return 0
-            room = self._end - self._pos
-            block = self._stream.read(min(room, 1 << 20))
-            if not block:
-                return 0
-            self._pos += len(block)
-            if self._pos >= self._end and not block.endswith(b"\n"):
-                block += self._next_line()
-            self._buffer = block
-        n = min(len(target), len(self._buffer))
-        target[:n] = self._buffer[:n]
-        self._buffer = self._buffer[n:]
-        return n
-
-
-def _read_range(archive: str, member: str, header: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+def _parse(chunk: bytes, header: str) -> Iterator[pa.RecordBatch]:
     names = split_header(header)
     convert = pacsv.ConvertOptions(
         column_types={n: pa.string() for n in names},
@@ -253,27 +247,34 @@ def _read_range(archive: str, member: str, header: str, start: int, end: int) ->
         strings_can_be_null=True,
         quoted_strings_can_be_null=True,
     )
-    with ExitStack() as stack:
-        lines = io.BufferedReader(_RangeLines(_open_member(stack, archive, member), start, end), 1 << 20)
-        if not lines.peek(1):
-            return
-        yield from pacsv.open_csv(lines, read_options=pacsv.ReadOptions(column_names=names), convert_options=convert)
+    if chunk.strip():
+        yield from pacsv.open_csv(pa.BufferReader(chunk), read_options=pacsv.ReadOptions(column_names=names), convert_options=convert)
 
 
-def read_members(members: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """Rows of the listed byte ranges as text columns with canonical names, plus provenance.
+def read_members(members: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of the listed members as text columns with canonical names, plus provenance.
 
-    ``parallelism`` is the number of read tasks; an explicit number keeps the adaptive planner from packing the
-    tiny listing into one task.
+    Every member is decompressed once, members of one nested archive by the same task. The numbers of read and parse tasks follow
+    from the listed bytes, for which the listing is run once more.
     """
-    spark = members.sparkSession
-    tasks = parallelism or spark.sparkContext.defaultParallelism * 4
+    total, count = members.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    readers = max(1, min(count, -(-total // READ_BYTES) + members.sparkSession.sparkContext.defaultParallelism))
+    parsers = max(1, -(-total // PARSE_BYTES))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _Opened()
+        for batch in batches:
+            for m in batch.to_pylist():
+                with opened.member(m["archive"], m["member"]) as stream:
+                    for chunk in line_chunks(stream, chunk_bytes):
+                        yield pa.RecordBatch.from_pydict({**{c: [m[c]] for c in batch.schema.names}, "chunk": [chunk]}, schema=batch.schema.append(pa.field("chunk", pa.binary())))
+        opened.close()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(f.name, pa.int32() if f.name == "src_ym" else pa.string()) for f in ROW_SCHEMA.fields])
         for batch in batches:
             for m in batch.to_pylist():
-                for rows in _read_range(m["archive"], m["member"], m["header"], m["range_start"], m["range_end"]):
+                for rows in _parse(m["chunk"], m["header"]):
                     found = {canonical_name(n): rows.column(i) for i, n in enumerate(rows.schema.names) if canonical_name(n)}
                     constant = {c: m[c] for c in PROVENANCE_FIELDS}
                     # Eras without these columns mean the default, eras with them may still have nulls.
@@ -286,8 +287,10 @@ def read_members(members: DataFrame, parallelism: int | None = None) -> DataFram
                             columns.append(found[field.name] if field.name in found else pa.nulls(rows.num_rows, field.type))
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    listed = members.select("archive", "member", "src_ym", "publisher", "header", "range_start", "range_end")
-    return listed.repartition(tasks).mapInArrow(scan, ROW_SCHEMA)
+    listed = members.select("archive", "member", "src_ym", "publisher", "header")
+    together = listed.repartition(readers, "archive", F.substring_index("member", NESTED, 1)).sortWithinPartitions("archive", "member")
+    chunks = together.mapInArrow(cut, T.StructType([*listed.schema.fields, T.StructField("chunk", T.BinaryType())]))
+    return chunks.repartition(parsers).mapInArrow(parse, ROW_SCHEMA)
 
 
 def read_trip_archives(
@@ -295,20 +298,22 @@ def read_trip_archives(
     path: str,
     name_type: int = 1,
     months: tuple[int, int] | None = None,
-    range_bytes: int = RANGE_BYTES,
-    parallelism: int | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+    require: bool = False,
 ) -> DataFrame:
     """Raw trip rows of all zip archives under ``path`` (a folder or glob).
 
-    ``months`` is a half-open range of source months. Feed the result to ``normalize`` with the ``publisher``
-    column and ``keep=["src_ym", ...]``. Member/casual and user type are both present as columns here, so
+    ``months`` is a half-open range of source months; ``require`` fails if one of them is in no archive. Feed the result to ``normalize``
+    with the ``publisher`` column and ``keep=["src_ym", ...]``. Member/casual and user type are both present as columns here, so
     they are folded into one.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    members = choose_layout(list_members(found.select("path"), range_bytes), name_type)
+    members = choose_layout(list_members(found.select("path")), name_type)
     if months:
         members = members.where((F.col("src_ym") >= months[0]) & (F.col("src_ym") < months[1]))
-    rows = read_members(check_headers(members), parallelism)
+        if require:
+            check_months(members, months)
+    rows = read_members(check_headers(members), chunk_bytes)
     return fold_raw_columns(rows)
 
 
