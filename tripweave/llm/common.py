@@ -28,6 +28,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A narrow, stored frame marked for broadcast if it has at most ``rows`` rows; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fold(id_col: str, folds: int) -> Column:
     """Remainder of the CRC-32 of the id's text; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

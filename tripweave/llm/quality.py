@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import fold, stored
+from tripweave.llm.common import fold
 
 STATISTICS = (
     "chars", "words", "word_length", "distinct_words", "repeated_words", "symbols", "bars", "marks", "capitals", "digits",
@@ -186,13 +186,15 @@ class RuleEnsemble:
         return 1 / (1 + np.exp(-total))
 
 
-def train(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 10_000) -> RuleEnsemble:
-    """Fit on at most ``sample`` labelled rows, those whose ids have the smallest hashes; the rest of the corpus is only scored.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 10_000) -> RuleEnsemble:
+    """Fit on at most ``sample`` labelled documents, those whose ids have the smallest hashes; the rest of the corpus is only scored.
 
-    ``measured`` has ``doc`` and the statistics. Null ids and null labels are left out; of several labels of an id the largest counts.
+    Null ids and null labels are left out; of several labels of an id the largest counts. The chosen ids, a bounded number, are broadcast.
     """
-    known = labels.filter(f"{id_col} is not null and {label_col} is not null").groupBy(id_col).agg(F.max(label_col).cast("double").alias("_y"))
-    rows = measured.join(known, F.col(f"doc.`{id_col}`") == known[id_col]).select(*STATISTICS, "_y", F.xxhash64(known[id_col]).alias("_h"))
+    known = labels.filter(f"{id_col} is not null and {label_col} is not null").groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).cast("double").alias("_y"))
+    chosen = known.join(docs.select(F.col(id_col).alias("_i")).distinct(), "_i", "left_semi").orderBy(F.xxhash64("_i"), "_i").limit(sample)
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_i")
+    rows = statistics(texts, "_text", ("_i", "_y")).select(*STATISTICS, F.col("doc._y").alias("_y"), F.xxhash64("doc._i").alias("_h"))
     found = rows.orderBy("_h", *STATISTICS).limit(sample).toArrow()
     return RuleEnsemble.fit(np.stack([found.column(s).to_numpy() for s in STATISTICS], axis=1), found.column("_y").to_numpy())
 
@@ -206,8 +208,7 @@ def score_quality(
     A null or empty text is scored by statistics of 0. Repeated rows are scored alike, each on its own; only statistics of the text
     are inputs. An empty table gives no rows.
     """
-    measured = stored(statistics(docs, text_col, keep), "statistics")
-    known = labels.filter(fold(id_col, folds) != held_out)
-    model = train(measured, known, id_col, label_col, sample)
+    model = train(docs, labels.filter(fold(id_col, folds) != held_out), id_col, text_col, label_col, sample)
+    measured = statistics(docs, text_col, keep)
     remainder = F.crc32(F.col(f"doc.`{id_col}`").cast("string").cast("binary")) % folds
     return measured.select("doc", F.coalesce(remainder == held_out, F.lit(False)).alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -112,8 +112,8 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "do
     kinds are listed either way, further kinds if live. Null and empty texts have none; repeated rows count once for ownership; an empty
     table gives no rows.
     """
-    scanned = stored(scan(docs, text_col), "scanned")
-    hits = scanned.filter(F.size("found") > 0)
+    # Few texts have candidates: only those are stored; the others pass by in a scan of their own.
+    hits = stored(scan(docs, text_col).filter(F.size("found") > 0), "hits")
     owned = ownership(hits, F.col(f"doc.`{owner_col}`"), F.col(f"doc.`{repo_col}`"))
     spans = hits.select("row", F.posexplode("found").alias("at", "f")).select("row", "at", "f.*").join(owned, "value")
     live = F.col("varied") & (F.col("owners") < example_owners)
@@ -126,7 +126,7 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "do
     )
     none = F.array().cast(listed.schema["secrets"].dataType)
     with_hits = hits.select("row", "doc").join(listed, "row", "left").select("doc", F.coalesce("secrets", none).alias("secrets"))
-    return with_hits.unionByName(scanned.filter(F.size("found") == 0).select("doc", none.alias("secrets")))
+    return with_hits.unionByName(scan(docs, text_col).filter(F.size("found") == 0).select("doc", none.alias("secrets")))
 
 
 def joined(spans: Column) -> Column:

@@ -13,12 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, stored, text_batches, with_row_number
+from tripweave.llm.common import arrow_schema, broadcast_if_small, stored, text_batches
 from tripweave.llm.components import Forest, components
 
 #: Fingerprints compared at once, and those of a branch that is compared without further cuts.
@@ -51,21 +50,17 @@ def fingerprint(text: str, words: int = 4, seed: int = 42, block: int = 1 << 16)
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``row`` (a number of its own for every row), the id, the ``keep`` columns and ``fp`` (the fingerprint's bits as a signed long)."""
-    columns = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col]
-    schema = T.StructType([T.StructField("row", T.LongType()), *(docs.schema[c] for c in columns), *([docs.schema[text_col]] if text_col in keep else []), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, ``text_hash`` (of the whole text) and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
         for batch, texts in text_batches(batches):
             fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            kept = batch.columns if text_col in keep else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([with_row_number(part, seen, len(fp)), *(c.cast(f.type) for c, f in zip(kept, list(arrow)[1:-1], strict=True)), pa.array(fp)], schema=arrow)
-            seen += len(fp)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow[0].type), batch.column(1), pa.array(fp)], schema=arrow)
 
-    return docs.select(*columns, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, schema)
 
 
 class Cuts:
@@ -200,17 +195,31 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id stays, one of them if it is repeated.
+    """The documents without near copies: of each component the one with the smallest id stays; a repeated row stays once.
 
-    All columns are kept. Rows with a null id come after the others.
+    All columns are kept. A null id comes after the others; of equal ids with different texts the smaller text hash stays, of
+    rows that differ in neither the smallest by all columns. Texts are read again and not stored: only the (id, text hash) of
+    what goes is joined, broadcast if it is small.
     """
-    prints = stored(fingerprints(docs, words, id_col, text_col, keep=tuple(docs.columns)), "prints")
-    narrow = prints.select("row", id_col, "fp")
-    distinct = stored(narrow.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("row").alias("r"))).alias("first")), "fingerprints")
-    reach = stored(components(links(distinct, radius)), "reach")
-    # A fingerprint without links keeps its first row, a component the first of its fingerprints' first rows.
-    tied = distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left")
-    alone = tied.filter("root is null").select("first.r")
-    together = tied.filter("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first.r")
-    kept = alone.unionAll(together).withColumnRenamed("r", "row")
-    return prints.join(kept, "row", "left_semi").select(*docs.columns)
+    prints = stored(fingerprints(docs, words, id_col, text_col).select(F.col(id_col).alias("i"), F.col("text_hash").alias("h"), "fp"), "prints")
+    first = F.min(F.struct(F.col("i").isNull().alias("z"), "i", "h")).alias("first")
+    distinct = stored(prints.groupBy("fp").agg(first), "fingerprints")
+    reach = stored(components(links(distinct, radius)), "reach").withColumnRenamed("node", "fp")
+    # A fingerprint without links keeps its first document, a component the first of its fingerprints' first documents.
+    alone = distinct.join(reach, "fp", "left_anti").select("first.i", "first.h")
+    together = distinct.join(reach, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.i", "first.h")
+    kept = alone.unionAll(together).withColumn("kept", F.lit(True))
+    told = prints.groupBy("i", "h").agg(F.count("*").alias("n")).alias("p").join(kept.alias("k"), F.expr("p.i <=> k.i and p.h = k.h"), "left")
+    # Everything but the documents that stay as they are.
+    told = stored(told.select("p.i", "p.h", "n", F.coalesce("kept", F.lit(False)).alias("kept")).filter("not kept or n > 1"), "told")
+
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+
+    def same(other: DataFrame, how: str) -> DataFrame:
+        return named.alias("a").join(broadcast_if_small(other).alias("b"), F.expr("a.i <=> b.i and a.h = b.h"), how)
+
+    out = same(told, "left_anti").select("d.*")
+    repeated = told.filter("kept")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(same(repeated, "left_semi").groupBy("i", "h").agg(F.min("d").alias("d")).select("d.*"))
