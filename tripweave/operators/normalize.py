@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tripweave.functions import codes, regions, temporal
 from tripweave.schema import RIDE_COLUMNS, RIDE_TYPES
-from tripweave.sources.headers import harmonize_columns
+from tripweave.sources.headers import harmonize_columns, unexpected_headers
 
 # Fixed value: the other spelling of dates in the published files, month first.
 MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4}) "
@@ -103,6 +103,15 @@ def cast_failures(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_failed")) for c in one.columns])))
 
 
+def unexpected_values(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Columns that no header era knows and ``normalize`` therefore leaves out, with the number of values they hold."""
+    odd = unexpected_headers([c for c in df.columns if c not in set(keep)])
+    if not odd:
+        return df.sparkSession.createDataFrame([], "column string, n_values long")
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(odd)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_values")) for i, c in enumerate(odd)])))
+
+
 def add_slice_columns(rides: DataFrame) -> DataFrame:
     """Start and end month as ints, the partition columns of stored slices."""
     return rides.withColumns(

@@ -10,7 +10,7 @@ from tripweave.functions import codes, regions, temporal, text
 from tripweave.operators import aggregate as agg
 from tripweave.operators import quality, reconcile
 from tripweave.operators import stations as st
-from tripweave.operators.normalize import add_slice_columns, cast_failures, normalize
+from tripweave.operators.normalize import add_slice_columns, cast_failures, normalize, unexpected_values
 from tripweave.plans.aggregate_queries import CUBE_SQL, DISPLAY_SQL
 from tripweave.plans.prelude import keyed, region_sql, with_prelude
 from tripweave.plans.registry import query
@@ -396,6 +396,28 @@ def _(w):
     return tables.read_sql_table(w.spark, name)
 
 
+@query(
+    "unexpected_fields",
+    with_prelude(
+        """SELECT * FROM (VALUES ('speed', (SELECT CAST(count(*) FILTER (gender = 1) AS BIGINT) FROM raw)), ('notes', (SELECT CAST(count(*) AS BIGINT) FROM raw)))
+        t("column", n_values)"""
+    ),
+)
+def _(w):
+    """Raw rows with two columns that no era has."""
+    more = w.raw.withColumns({"speed": F.when(F.col("gender") == 1, 1), "notes": F.lit("-")})
+    return unexpected_values(more, keep=["file"])
+
+
+@query("file_manifest", with_prelude("SELECT DISTINCT 'end_ym=' || CAST(end_ym AS VARCHAR) AS folder FROM rides WHERE end_ym BETWEEN 199801 AND 199809"))
+def _(w):
+    """Files of some months of the stored table; the patterns look at what lies below the table's folder."""
+    path = scratch_path(w.spark, "end_ym=1998-listing")
+    writers.write_month_table(w.rides, path)
+    listed = manifest.file_manifest(w.spark, path, include=["^end_ym=19980"])
+    return listed.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+
+
 @query(
     "cast_failures",
     with_prelude(
@@ -430,7 +452,7 @@ def _(w):
 @query("pair_json", with_prelude("SELECT * FROM encoded", **PAIR_TABLES))
 def _(w):
     path = scratch_path(w.spark, "pairs")
-    pairs = st.encode_pairs(w.pairs, st.station_index(w.stations))
+    pairs = st.encode_pairs(w.pairs, w.index)
     writers.write_pair_json(st.pair_maps(pairs), path)
     return tables.read_pair_json(w.spark, path)
 
@@ -438,7 +460,7 @@ def _(w):
 @query("sql_decode_join", with_prelude("SELECT sid AS start_id, eid AS end_id, count FROM pairs", pairs=PAIRS_SQL))
 def _(w):
     """Encoded pairs and the index as SQL views, decoded by two nested left joins."""
-    index = st.station_index(w.stations)
+    index = w.index
     st.encode_pairs(w.pairs, index).createOrReplaceTempView("tripweave_pairs")
     index.createOrReplaceTempView("tripweave_index")
     return w.spark.sql(

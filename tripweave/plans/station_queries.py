@@ -43,7 +43,7 @@ def _rounded(df, *columns):
 
 def _indexed(w):
     """Pairs and the station index they refer to."""
-    return w.pairs, st.station_index(w.stations)
+    return w.pairs, w.index
 
 
 @query("station_meta_hist_in", with_prelude(HIST_IN_SQL, ends=ENDS_SQL))

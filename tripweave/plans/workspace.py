@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tripweave.operators.aggregate import ride_cube
 from tripweave.operators.normalize import add_slice_columns, normalize
 from tripweave.operators.quality import drop_duplicate_rows
-from tripweave.operators.stations import station_pairs, station_table
+from tripweave.operators.stations import station_index, station_pairs, station_table
 from tripweave.session import jit_sized_codegen, scratch_path
 from tripweave.sinks.writers import write_month_table, write_table
 from tripweave.sources.fixture import raw_trips
@@ -26,7 +26,7 @@ class Workspace:
 
     - ``rides``: normalising ends in a full-row dedupe, the one wide shuffle. The table is partitioned by end
       month, and queries prune columns and months.
-    - ``cube``, ``stations``, ``pairs``: the aggregates that dashboards and station pages work on. Series and
+    - ``cube``, ``stations``, ``index``, ``pairs``: the aggregates that dashboards and station pages work on. Series and
       pair queries read these instead of aggregating the rides again.
 
     The setting ``spark.tripweave.lazyTables=true`` keeps them lazy plans instead, on any master.
@@ -65,6 +65,11 @@ class Workspace:
     def stations(self) -> DataFrame:
         return self._stored("stations", station_table(self.rides), write_table)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """Dense position of every station."""
+        return self._stored("index", station_index(self.stations), write_table)
+
     @cached_property
     def pairs(self) -> DataFrame:
         return self._stored("pairs", station_pairs(self.rides), write_table)
