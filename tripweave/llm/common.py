@@ -28,6 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` of a frame of ``total`` rows, chosen by hashes of ``key``; the same rows for the same table.
+
+    A hash threshold thins a large frame before the few left are put in order, so no task sorts more than about the sample.
+    """
+    if total > 2 * rows:
+        df = df.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40)) < int(1.2 * rows / total * (1 << 40)))
+    return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A narrow, stored frame marked for broadcast if it has at most ``rows`` rows; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

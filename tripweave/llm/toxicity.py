@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, fold, text_batches
+from tripweave.llm.common import arrow_schema, fold, hashed_sample, stored, text_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -42,7 +41,7 @@ def _near_copy_key(text: str) -> int:
     return min((zlib.crc32(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))), default=0)
 
 
-def _fit(rows: np.ndarray, words: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, penalty: float, steps: int = 200) -> np.ndarray:
+def _fit(rows: np.ndarray, words: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, penalty: float, steps: int = 400) -> np.ndarray:
     """Logistic regression over word indicators, dense columns and an intercept (last), with an L2 penalty, by accelerated gradient steps."""
     n, k = dense.shape
     share = np.bincount(words, minlength=width) / max(1, n)
@@ -86,32 +85,13 @@ class Chain:
         return both[:, 0], both[:, 1]
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, categories: list[str], features: int = 800, least: float = 0.0005, folds: int = 4, penalty: float = 2e-4, seed: int = 0) -> Chain:
-        """``labels`` has a 0/1 column per category. Of near copies among the texts one teaches, so that a copied text's rare words do not pass for evidence.
+    def fit(cls, rows: np.ndarray, found: np.ndarray, labels: np.ndarray, categories: list[str], words: dict[str, int], folds: int = 4, penalty: float = 2e-4, seed: int = 0) -> Chain:
+        """``rows`` and ``found`` pair a text with a word in it, by number; ``labels`` has a 0/1 column per category.
 
-        A word is a feature if it is in a share of ``least`` of the texts and among those that tell a category best. A category
-        with one label only is predicted by its constant share; no texts at all predict 0.5.
+        A category with one label only is predicted by its constant share; no texts at all predict 0.5.
         """
-        first: dict[int, int] = {}
-        for i, t in enumerate(texts):
-            first.setdefault(_near_copy_key(t), i)
-        kept = sorted(first.values())
-        texts, labels = [texts[i] for i in kept], labels[kept].astype(float).reshape(len(kept), len(categories))
-        sets, n = [word_set(t) for t in texts], len(texts)
-        often = Counter(w for s in sets for w in s)
-        candidates = sorted(w for w, k in often.items() if k >= max(5, least * n))
-        numbers = {w: i for i, w in enumerate(candidates)}
-        rows, found = cls.indicators(sets, numbers)
-        df = np.bincount(found, minlength=len(candidates)).astype(float)
-        score = np.zeros(len(candidates))
-        for c in range(len(categories)):
-            y = labels[:, c]
-            p = y.mean() if n else 0.0
-            hit = np.bincount(found, weights=y[rows], minlength=len(candidates))
-            score = np.maximum(score, (hit - df * p) ** 2 / np.maximum(df * p * (1 - p), 1e-9) if 0 < p < 1 else 0)
-        best = sorted(np.argsort(-score, kind="stable")[:features].tolist())
-        words = {candidates[b]: i for i, b in enumerate(best)}
-        rows, found = cls.indicators(sets, words)
+        labels = labels.astype(float).reshape(len(labels), len(categories))
+        n = len(labels)
         part = np.random.default_rng(seed).permutation(n) % folds
         earlier, weights = np.zeros((n, 0)), []
         for c in range(len(categories)):
@@ -135,19 +115,57 @@ class Chain:
         return cls(categories, words, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit on at most ``sample`` labelled documents, those whose ids have the smallest hashes.
+def _word_rows(count: int):
+    """The near-copy key and the words of each text, before its ``count`` other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches):
+            keys, sets = [_near_copy_key(t) for t in texts], [sorted(word_set(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.string())), *batch.columns[:count]], names=["key", "words", *batch.schema.names[:count]])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 20_000, features: int = 800, least: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Fit on at most ``sample`` labelled documents, chosen by hashes of their ids.
 
-    ``categories`` names each category and the SQL condition on ``labels`` that marks it, in chain order; a null condition is no.
-    Only documents with an id and a label take part; of several labels of an id any that marks it counts. Ids are chosen before texts are read, so only those of the sample move.
+    ``categories`` names each category and the SQL condition on ``labels`` that marks it, in chain order; a null condition is no. Only
+    documents with an id and a label take part; of several labels of an id any that marks it counts. Of near copies in the sample one
+    teaches, so that a copied text's rare words do not pass for evidence. The ``features`` words that tell a category best are chosen
+    among those in a share of ``least`` of the texts (5 at least); only their numbers and the labels come to the driver. The chosen ids,
+    a bounded number, are broadcast.
     """
-    marks = [F.max(F.coalesce(F.expr(e), F.lit(False)).cast("int")).alias(c) for c, e in categories.items()]
-    known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*marks)
-    has_text = docs.select(id_col).distinct()
-    chosen = known.join(has_text, id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    found = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, id_col).groupBy(id_col).agg(F.min("_text").alias("_text"), *(F.max(c).alias(c) for c in categories)).orderBy(F.xxhash64(id_col), id_col).toArrow()
-    y = np.stack([found.column(c).to_numpy() for c in categories], axis=1) if found.num_rows else np.zeros((0, len(categories)))
-    return Chain.fit(found.column("_text").to_pylist(), y, list(categories))
+    names = list(categories)
+    marks = [F.max(F.coalesce(F.expr(e), F.lit(False)).cast("int")).alias(f"y{c}") for c, e in enumerate(categories.values())]
+    known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*marks)
+    ids = docs.select(F.col(id_col).alias("id")).distinct()
+    there = stored(known.join(ids, "id", "left_semi"), "labelled")
+    chosen = hashed_sample(there, "id", sample, there.count())
+    y = [f"y{c}" for c in range(len(names))]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "id").select("id", *y, "_text")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    shape = f"key long, words array<string>, id {id_type}, " + ", ".join(f"{c} int" for c in y)
+    taught = texts.mapInArrow(_word_rows(1 + len(y)), shape)
+    first = taught.groupBy("key").agg(F.min_by(F.struct("words", *y), F.struct("id", "words")).alias("row"))
+    rows = stored(first.select("key", "row.*"), "taught")
+
+    n, *shares = rows.agg(F.count("*"), *(F.avg(c) for c in y)).first()
+    counted = rows.select(F.explode("words").alias("word"), *y).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in y)).filter(F.col("n") >= max(5, least * n))
+    # How far a word's share of a category is from chance, over its spread.
+    tells = [(F.col(c) - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p)) if p and 0 < p < 1 else F.lit(0.0) for c, p in zip(y, shares, strict=True)]
+    best = counted.select("word", F.greatest(*tells, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "word").limit(features).collect()
+    words = {r.word: i for i, r in enumerate(sorted(best, key=lambda r: r.word))}
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [[words[w] for w in some if w in words] for some in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), *batch.columns[1:]], names=["own", *y, "key"])
+
+    found = rows.select("words", *y, "key").mapInArrow(numbers, "own array<int>, " + ", ".join(f"{c} int" for c in y) + ", key long").orderBy("key").toArrow()
+    own = found.column("own").to_pylist()
+    pairs = np.array([(i, w) for i, some in enumerate(own) for w in some], np.int64).reshape(-1, 2)
+    table = np.stack([found.column(c).to_numpy() for c in y], axis=1) if own else np.zeros((0, len(y)))
+    return Chain.fit(pairs[:, 0], pairs[:, 1], table, names, words)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], folds: int = 5, held_out: int = 0, threshold: float = 0.3, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
     Labels teach from ids whose remainder is not ``held_out``. Null and empty texts have the probability of a text without words; null ids are never learned
     from and not held out; repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
     """
-    chain = train(docs, labels.filter(fold(id_col, folds) != held_out), categories, sample, id_col, text_col)
+    chain = train(docs, labels.filter(fold(id_col, folds) != held_out), categories, sample, id_col=id_col, text_col=text_col)
     names = [f"p_{c}" for c in categories]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in names)])
     arrow = arrow_schema(schema)
