@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import fold
+from tripweave.llm.common import fold, hashed_sample, stored
 
 STATISTICS = (
     "chars", "words", "word_length", "distinct_words", "repeated_words", "symbols", "bars", "marks", "capitals", "digits",
@@ -187,12 +187,13 @@ class RuleEnsemble:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 10_000) -> RuleEnsemble:
-    """Fit on at most ``sample`` labelled documents, those whose ids have the smallest hashes; the rest of the corpus is only scored.
+    """Fit on at most ``sample`` labelled documents, chosen by hashes of their ids; the rest of the corpus is only scored.
 
     Null ids and null labels are left out; of several labels of an id the largest counts. The chosen ids, a bounded number, are broadcast.
     """
     known = labels.filter(f"{id_col} is not null and {label_col} is not null").groupBy(F.col(id_col).alias("_i")).agg(F.max(label_col).cast("double").alias("_y"))
-    chosen = known.join(docs.select(F.col(id_col).alias("_i")).distinct(), "_i", "left_semi").orderBy(F.xxhash64("_i"), "_i").limit(sample)
+    there = stored(known.join(docs.select(F.col(id_col).alias("_i")).distinct(), "_i", "left_semi"), "labelled")
+    chosen = hashed_sample(there, "_i", sample, there.count())
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_i")
     rows = statistics(texts, "_text", ("_i", "_y")).select(*STATISTICS, F.col("doc._y").alias("_y"), F.xxhash64("doc._i").alias("_h"))
     found = rows.orderBy("_h", *STATISTICS).limit(sample).toArrow()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import stored
+from tripweave.llm.common import hashed_sample, stored
 from tripweave.llm.components import Forest, components
 from tripweave.llm.vectors import matrix, takes_part
 
@@ -98,8 +98,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     """One row per vector: its id, ``n_links`` (other vectors linked directly), ``component_id`` (smallest id reachable) and ``kept``.
 
     Links are pairs met in a table whose cosine in double precision reaches the threshold; the tables are planned to miss at most
-    one in a thousand of the pairs at the threshold, fewer of nearer ones. Rotations are fitted per dimension on at most ``sample`` different vectors, those with
-    the smallest hashes; every vector is indexed. Vectors that are null, zero or hold a null or non-finite component link with nothing and
+    one in a thousand of the pairs at the threshold, fewer of nearer ones. Rotations are fitted per dimension on at most ``sample`` different vectors, chosen
+    by hash; every vector is indexed. Vectors that are null, zero or hold a null or non-finite component link with nothing and
     are their own component; so do vectors of different length with each other. Repeated rows link like any others; a null id is
     the smallest of no component with another id. Other columns are ignored; an empty table gives no rows.
     """
@@ -112,7 +112,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     sizes = {r.dim: r.n for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     models = {}
     for dim, n in sizes.items():
-        some = points.filter(F.col("dim") == dim).select("vector").orderBy(F.xxhash64("vector")).limit(sample).toArrow()
+        some = hashed_sample(points.filter(F.col("dim") == dim).select("vector"), "vector", sample, n).toArrow()
         width, tables = plan_tables(n, cosine)
         models[dim] = (*rotations(_unit(matrix(some.column("vector"))), width * tables), width)
 

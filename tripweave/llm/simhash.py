@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, broadcast_if_small, stored, text_batches
+from tripweave.llm.common import arrow_schema, broadcast_if_small, hashed_sample, stored, text_batches
 from tripweave.llm.components import Forest, components
 
 #: Fingerprints compared at once, and those of a branch that is compared without further cuts.
@@ -132,36 +132,38 @@ def _linked(data: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray
     return points[node], points[root]
 
 
-def links(distinct: DataFrame, radius: int = 4, shard: int = 16_384, sample: int = 32_768) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, shard: int = 16_384, questions: int = 4_000_000, sample: int = 32_768, most_levels: int = 14) -> DataFrame:
     """Edges (a, b) that connect what links of at most ``radius`` differing bits connect, among the distinct ``fp``.
 
     A spanning forest per shard: no link between different fingerprints is lost for reachability, and a large group costs
-    an edge per member instead of all its pairs. ``sample`` fingerprints at most, those with the smallest hashes, place the cuts; a shard
-    that holds more than twice its share is split into parts of which each gets all questions.
+    an edge per member instead of all its pairs. ``sample`` fingerprints at most, chosen by hash, place the cuts, of which there are
+    2 ** ``most_levels`` at most. A shard with more than twice ``shard`` fingerprints is split into parts that all get its questions, and more than
+    ``questions`` of these are split into parts that all get its fingerprints.
     """
     n = distinct.count()
-    levels = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
-    picked = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow().column("fp").to_numpy() if levels else np.zeros(0, np.int64)
+    levels = min(most_levels, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
+    picked = hashed_sample(distinct.select("fp"), "fp", sample, n).toArrow().column("fp").to_numpy() if levels else np.zeros(0, np.int64)
     cuts = Cuts.fit(picked.astype(np.int64).view(np.uint64), levels)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(s, len(own)) for s, own, _ in cuts.deal(batch.column(0).to_numpy().view(np.uint64), 0) if len(own)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["shard", "n"])
+            found = [(s, len(own), len(asks)) for s, own, asks in cuts.deal(batch.column(0).to_numpy().view(np.uint64), radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["shard", "own", "asks"])
 
     fps = distinct.select("fp")
-    # One number per shard, 16,384 fingerprints each.
-    count = {r.shard: r.n for r in fps.mapInArrow(sizes, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()} if levels else {}
-    parts = {s: -(-k // shard) for s, k in count.items() if k > 2 * shard}
+    counted = fps.mapInArrow(sizes, "shard long, own long, asks long").groupBy("shard").agg(F.sum("own").alias("own"), F.sum("asks").alias("asks"))
+    # The numbers of those shards that need splitting, of at most 2 ** most_levels.
+    parts = {r.shard: (max(1, -(-r.own // shard)), -(-r.asks // questions)) for r in counted.filter((F.col("own") > 2 * shard) | (F.col("asks") > questions)).collect()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             rows = []
             for s, own, asks in cuts.deal(fp, radius):
-                k = parts.get(s, 1)
-                turn = fp[own] % np.uint64(k)
-                rows += [(s, p, fp[own][turn == p].tobytes(), fp[asks].tobytes()) for p in range(k)]
+                k, q = parts.get(s, (1, 1))
+                data = [fp[own][fp[own] % np.uint64(k) == p].tobytes() for p in range(k)]
+                asked = [fp[asks][fp[asks] % np.uint64(q) == p].tobytes() for p in range(q)]
+                rows += [(s, p * q + a, x, y) for p, x in enumerate(data) for a, y in enumerate(asked)]
             shards, part, data, asked = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(part, pa.int64()), pa.array(data, pa.binary()), pa.array(asked, pa.binary())], names=["shard", "part", "data", "asks"])
 
