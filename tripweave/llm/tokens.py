@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import array
-import itertools
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import regex
@@ -40,6 +39,18 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+class _Memory(dict):
+    """What a function gives for a key, kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
     """A tokenizer file with a bounded memory of words and their pieces.
 
@@ -55,7 +66,7 @@ class Encoder:
         self.merge = self.model.model.tokenize
         self.memory, self.segment = memory, segment
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.words = _Memory(self._word)
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
@@ -80,13 +91,10 @@ class Encoder:
         return b"".join(map(self._piece, _PIECES.findall(word)))
 
     def _by_word(self, texts: list[list[str]]) -> list[bytes]:
-        words = self.words
-        if len(words) > self.memory or len(self.pieces) > self.memory:
-            words.clear()
+        if len(self.words) > self.memory or len(self.pieces) > self.memory:
+            self.words.clear()
             self.pieces.clear()
-        for w in set(itertools.chain.from_iterable(texts)).difference(words):
-            words[w] = self._word(w)
-        return [b"".join(map(words.__getitem__, t)) for t in texts]
+        return [b"".join(map(self.words.__getitem__, t)) for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; empty for an empty text."""
