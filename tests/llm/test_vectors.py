@@ -1,12 +1,15 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
+from tests.oracle_check import differences
+
 from tripweave.llm import graph_search as gs
 from tripweave.llm import quantisation as qn
 from tripweave.llm.components import Forest
-from tripweave.llm.queries import op8_neighbours, op9_vectors
+from tripweave.llm.queries import SQL, op8_neighbours, op9_vectors
 
 SF = "/root/testdata/sf0.1"
 NAN, INF = float("nan"), float("inf")
@@ -128,6 +131,21 @@ def test_links_query(spark):
     assert len(found) == len(rows) and sum(r.n_links for r in found) == int((x @ x.T >= 0.95).sum()) - len(rows)
 
 
+def test_links_and_their_sql(spark, tmp_path):
+    """A table with near copies, through the registered query and its SQL."""
+    rng = np.random.default_rng(9)
+    rows = random_rows(8, 300, 32)
+    rows += [(1000 + i, [float(x) for x in (np.array(rows[i % 20][1]) + 0.05 * rng.standard_normal(32)).astype(np.float32)]) for i in range(100)]
+    frame(spark, [*rows, *[b for b in BAD if b[0] is not None]]).coalesce(1).write.parquet(str(tmp_path / "all"))
+    (part,) = (tmp_path / "all").glob("*.parquet")
+    part.rename(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    found = op9_vectors(spark, str(tmp_path))
+    assert differences(found, con, SQL["op9_vectors"]) == []
+    assert found.filter("n_links > 0").count() >= 100
+
+
 def test_planned_tables_reach_the_pairs_at_the_threshold():
     for n in (1000, 10**6, 10**9):
         width, tables = qn.plan_tables(n, 0.95)

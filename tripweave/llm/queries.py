@@ -91,4 +91,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licences, op3_scoring, op4_mixing, op5_toxicity, op6_secrets, op7_simhash, op8_neighbours, op9_vectors, op10_quality)}
-SQL: dict[str, str] = {}
+
+#: All pairs, and what they reach. The other operators have no SQL form: trained models, token ids, hashes and graphs.
+SQL: dict[str, str] = {
+    "op9_vectors": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  good AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  linked AS (SELECT a.vec_id AS i, b.vec_id AS j FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+  reach AS (SELECT vec_id AS i, vec_id AS j FROM v UNION SELECT r.i, l.j FROM reach r JOIN linked l ON r.j = l.i),
+  least AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i),
+  counted AS (SELECT i, CAST(count(*) AS BIGINT) AS n FROM linked GROUP BY i)
+  SELECT v.vec_id, coalesce(c.n, 0::BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+  FROM v JOIN least ON v.vec_id = least.i LEFT JOIN counted c ON v.vec_id = c.i""",
+}
