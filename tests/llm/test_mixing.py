@@ -64,8 +64,10 @@ def test_edges(docs_of):
     for bad in ({"a": 1.0}, {None: 1, "a": -1, "b": 1, "c": 1}):
         with pytest.raises(ValueError):
             mix(docs, weights=bad)
-    with pytest.raises(ValueError, match="already"):
-        mix(docs.withColumn("slot", F.lit(1)))
+    clash = docs.withColumn("slot", F.lit("x"))
+    assert dict(mix(clash).dtypes)["slot"] == "bigint"
+    assert {r.slot for r in in_mixed_order(clash).collect()} == {"x"}
+    assert in_mixed_order(clash.limit(0)).columns == clash.columns
 
 
 def test_order(docs_of):

@@ -2,8 +2,11 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from __spark_entry__ import oracle_sql, queries
+from tests.llm.conftest import EDGES
 from tests.llm.test_mixing import mix
 from tests.llm.test_secrets import plain as plain_secrets
 from tests.llm.test_simhash import plain_components, plain_fingerprint
@@ -77,3 +80,20 @@ def test_packed_whole(stages):
 def test_run_is_all_stages(spark, stages):
     got = cp.run(spark, SF)
     assert got.select("doc_id", "start", "length", "doc_tokens").orderBy("doc_id", "start").collect() == stages[4][1].select("doc_id", "start", "length", "doc_tokens").orderBy("doc_id", "start").collect()
+
+
+def test_edges_through_all_stages(spark, docs_of, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns; then no rows at all."""
+    clashes = [F.lit(None).cast("string").alias(c) for c in ("secrets", "slot", "weight", "kept", "score", "h", "first", "start", "found", "doc", "n")]
+    rows = [*EDGES, (8, "token=Zx81Kq0Pm4Tt7Yw2Bn6 and more text", "en", "a", None)]
+    for name, docs in (("edges", docs_of(rows).select("*", *clashes)), ("none", docs_of(rows).select("*", *clashes).limit(0))):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(cp.STAGES):
+            path = str(tmp_path / f"{name}-{k}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k < 4:
+                assert docs.columns == columns
+        pieces = docs.groupBy("doc_id").count().collect()
+        # Both empty texts share a fingerprint; the repeated row stays once.
+        assert {r.doc_id for r in pieces} == ({1, 3, None, 5, 6, 7, 8} if name == "edges" else set())

@@ -53,25 +53,16 @@ def _key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 32, period: int = 1000, bucket: int = 5_000, source_col: str = "source") -> DataFrame:
-    """All rows with ``weight``, ``block`` (of its source), ``slot`` and ``place`` (in its block); (slot, place) is the mixed order.
+#: The columns that a mix adds.
+MADE = ("weight", "block", "slot", "place")
 
-    ``weights`` has the target of each source; without it, a source's target is its row count to the power ``alpha``. Sources
-    without a weight raise. Every row appears once: a source that has run out leaves its slots empty, which keeps the others
-    in proportion. Rows of a source come in a random order that follows from their content. Null sources are a source
-    of their own; repeated rows are rows of their own; an empty table gives no rows. A table with a column of a new name raises.
 
-    No row goes through Python. Rows are numbered within (source, salt) and shifted by the counts of earlier salts, so a source
-    with a third of all rows is numbered by many tasks. The counts of the sources, one number each, come to the driver;
-    the broadcast schedule has ``period`` rows (at least two per source).
-    """
-    made = ("weight", "block", "slot", "place")
-    if clash := set(made) & set(docs.columns):
-        raise ValueError(f"documents have columns {sorted(clash)} already")
-    spark = docs.sparkSession
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int, period: int, bucket: int, source_col: str) -> DataFrame:
+    """``_doc`` (a row of ``docs``) and where it is placed."""
+    spark, whole = docs.sparkSession, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
     counts = {r.k: r.n for r in docs.groupBy(_key(source_col).alias("k")).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return docs.select("*", F.lit(0.0).alias("weight"), *(F.lit(0).cast("long").alias(c) for c in made[1:]))
+        return docs.select(whole, F.lit(0.0).alias("weight"), *(F.lit(0).cast("long").alias(c) for c in MADE[1:]))
     target = {"" if s is None else f"={s}": w for s, w in weights.items()} if weights else {s: n**alpha for s, n in counts.items()}
     if missing := set(counts) - set(target):
         raise ValueError(f"no weight for sources {sorted(missing)}")
@@ -86,7 +77,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     plan = spark.createDataFrame(rows, "_source string, _turn long, _slot long, _share long, weight double")
 
     salts = max(1, -(-sum(counts.values()) // bucket))
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
     # By content, not by position: both uses below see the same salts whatever the input's partitions are.
     content = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)))
     numbered = docs.select(whole, _key(source_col).alias("_source"), content.alias("_id")).withColumn("_salt", F.pmod("_id", F.lit(salts)))
@@ -104,9 +94,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     turns = placed.join(share, "_source").withColumn("_turn", F.col("block") % F.col("_share"))
     timed = turns.join(F.broadcast(plan.drop("_share")), ["_source", "_turn"])
     slot = F.floor(F.col("block") / F.col("_share")) * period + F.col("_slot")
-    return timed.select("_doc.*", "weight", "block", slot.alias("slot"), "place")
+    return timed.select("_doc", "weight", "block", slot.alias("slot"), "place")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 32, period: int = 1000, bucket: int = 5_000, source_col: str = "source") -> DataFrame:
+    """All rows with ``weight``, ``block`` (of its source), ``slot`` and ``place`` (in its block); (slot, place) is the mixed order.
+
+    ``weights`` has the target of each source; without it, a source's target is its row count to the power ``alpha``. Sources
+    without a weight raise. Every row appears once: a source that has run out leaves its slots empty, which keeps the others
+    in proportion. Rows of a source come in a random order that follows from their content. Null sources are a source
+    of their own; repeated rows are rows of their own; an empty table gives no rows. An input column with the name of a new one gives way to it.
+
+    No row goes through Python. Rows are numbered within (source, salt) and shifted by the counts of earlier salts, so a source
+    with a third of all rows is numbered by many tasks. The counts of the sources, one number each, come to the driver;
+    the broadcast schedule has ``period`` rows (at least two per source).
+    """
+    placed = _placed(docs, weights, alpha, block, period, bucket, source_col)
+    return placed.select(*(F.col(f"_doc.`{c}`") for c in docs.columns if c not in MADE), *MADE)
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``, all rows, in the mixed order over partitions and within them."""
-    return mix(docs, **options).orderBy("slot", "place").select(*(F.col(f"`{c}`") for c in docs.columns))
+def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = 32, period: int = 1000, bucket: int = 5_000, source_col: str = "source") -> DataFrame:
+    """``docs``, all rows and columns, in the mixed order over partitions and within them."""
+    return _placed(docs, weights, alpha, block, period, bucket, source_col).orderBy("slot", "place").select("_doc.*")

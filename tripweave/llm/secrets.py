@@ -139,11 +139,7 @@ def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "do
 
     All rows and columns are kept; ``length_col``, if the table has it, follows the text. Null texts stay null.
     """
-    found = find_secrets(docs, owner_col, repo_col, text_col)
-    parts = found.select("doc.*", "secrets") if "secrets" not in docs.columns else None
-    if parts is None:
-        raise ValueError("documents have a column 'secrets' already")
-    schema = docs.schema
+    found, schema = find_secrets(docs, owner_col, repo_col, text_col), docs.schema
     arrow, at, length_at = arrow_schema(schema), docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
     def masked(text: str, spans: list[dict]) -> str:
@@ -162,12 +158,12 @@ def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.cast(f.type) for c, f in zip(batch.columns[:-1], arrow, strict=True)]
-            texts = [masked(t, s) for t, s in zip(columns[at].to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns = [c.cast(f.type) for c, f in zip(batch.column(0).flatten(), arrow, strict=True)]
+            texts = [masked(t, s) for t, s in zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True)]
             columns[at] = pa.array(texts, arrow[at].type)
             if length_at is not None:
                 columns[length_at] = pa.array([len(t) for t in texts], pa.int64()).cast(arrow[length_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    clean = parts.filter(F.size("secrets") == 0).drop("secrets")
-    return parts.filter(F.size("secrets") > 0).mapInArrow(run, schema).unionByName(clean)
+    clean = found.filter(F.size("secrets") == 0).select("doc.*")
+    return found.filter(F.size("secrets") > 0).mapInArrow(run, schema).unionByName(clean)
