@@ -8,6 +8,7 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ],

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripweave.llm.common import hashed_sample, stored
 from tripweave.llm.licence_texts import NEGATIVES, TEMPLATES
 
 UNKNOWN = "unknown"
@@ -23,11 +24,11 @@ UNKNOWN = "unknown"
 CUES = (
     "license", "licensed", "licenses", "licence", "licenced", "sublicense", "unlicense", "copyright", "permission", "permitted", "redistribution",
     "redistributions", "redistribute", "warranty", "warranties", "merchantability", "noninfringement", "spdx", "apache", "bsd", "gnu", "gpl", "lgpl", "agpl", "mozilla",
-    "mpl", "commons", "cc", "cc0", "unencumbered", "reserved", "proprietary", "confidential",
+    "mpl", "commons", "cc", "cc0", "lesser", "affero", "unencumbered", "reserved", "proprietary", "confidential",
 )
 
 #: What the cues contain; a text without any of these has no cue.
-STEMS = ("licens", "licenc", "copyright", "permission", "permitted", "redistribut", "warrant", "merchantab", "noninfring", "spdx", "apache", "bsd", "gnu", "gpl", "mozilla", "mpl", "commons", "cc", "unencumbered", "reserved", "proprietary", "confidential")
+STEMS = ("licens", "licenc", "copyright", "permission", "permitted", "redistribut", "warrant", "merchantab", "noninfring", "spdx", "apache", "bsd", "gnu", "gpl", "mozilla", "mpl", "commons", "cc", "lesser", "affero", "unencumbered", "reserved", "proprietary", "confidential")
 
 
 def words_of(text: str) -> list[str]:
@@ -53,7 +54,7 @@ class LicenceModel:
 
     @classmethod
     def fit(cls, others: list[str], copies: int = 30, least: int = 2, penalty: float = 2e-4, steps: int = 250, seed: int = 0) -> LicenceModel:
-        """``others`` are paragraphs of the corpus for the unknown class; those with a template in them are left out."""
+        """``others`` are paragraphs of the corpus for the unknown class; those that share half of their runs, or of a template's, are left out."""
         rng, classes = np.random.default_rng(seed), [*TEMPLATES, UNKNOWN]
         whole = [shingles(words_of(t)) for own in TEMPLATES.values() for t in own]
         filler = [w for t in others for w in words_of(t)[:40] if w not in CUES] or ["text"]
@@ -84,7 +85,8 @@ class LicenceModel:
                 add(varied(words_of(t), False), len(classes) - 1)
         for t in others:
             w = words_of(t)
-            if not any(len(s & shingles(w)) >= 0.6 * len(s) for s in whole):
+            own = shingles(w)
+            if not any(len(s & own) >= 0.5 * min(len(s), len(own)) for s in whole):
                 add(w, len(classes) - 1)
         seen: dict[str, int] = {}
         for r in rows:
@@ -166,17 +168,17 @@ def scan_licences(docs: DataFrame, threshold: float = 0.5, confirm: float = 0.6,
     ``confirm`` the family is confirmed. Null and empty texts have no paragraphs; repeated rows are documents of their own;
     other columns are ignored; an empty table gives no rows.
 
-    The unknown class learns from at most ``others`` lines, the first by hash. The tables of weights and templates, whose size the
+    The unknown class learns from at most ``others`` lines, the first two of texts chosen by hash. The tables of weights and templates, whose size the
     templates bound, are broadcast; n-grams are counted per paragraph, in any number of tasks.
     """
     spark = docs.sparkSession
-    some = docs.select(F.explode(F.split(F.substring_index(text_col, "\n", 3), "\n")).alias("line")).filter(F.length("line") > 0)
-    taken = [r.line for r in some.select(F.left("line", F.lit(400)).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(others).collect()]
-    model = LicenceModel.fit(taken)
+    begins = docs.select(F.left(F.substring_index(text_col, "\n", 2), F.lit(800)).alias("begin")).filter(F.length("begin") > 0)
+    taken = hashed_sample(begins, "begin", others // 2, docs.count()).select(F.explode(F.split("begin", "\n")).alias("line")).distinct().orderBy("line").collect()
+    model = LicenceModel.fit([r.line for r in taken if r.line])
 
     known = len(model.classes) - 1
     weights = F.broadcast(spark.createDataFrame([(g, w.tolist()) for g, w in model.features.items()], "gram string, w array<double>"))
-    lines = paragraphs(docs, id_col, text_col)
+    lines = stored(paragraphs(docs, id_col, text_col), "paragraphs")  # few, and used twice
     grams = F.array_distinct(F.concat(F.col("words"), _runs(F.col("words"), 2), _runs(F.col("words"), 3)))
     scored = lines.select("row", "paragraph", F.explode(grams).alias("gram")).join(weights, "gram").groupBy("row", "paragraph").agg(*(F.sum(F.col("w")[c]).alias(f"w{c}") for c in range(known + 1)))
     whole = lines.join(scored, ["row", "paragraph"], "left")
