@@ -65,19 +65,24 @@ def merge_duplicates(
     repeated = df.select(*keys).dropna().groupBy(*keys).agg(n).where(F.col("_n") > 1)
     if strict:
         repeated = repeated.where(F.when(F.col("_n") > 2, F.raise_error(F.lit("more than two rides share start and stop"))).otherwise(F.lit(True)))
-    if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    found, most = repeated.agg(F.count("*"), F.max("_n")).first()
+    if not found:
+        return df
+    if found <= BROADCAST_KEYS:
         repeated = F.broadcast(repeated)
     alone = df.join(repeated, list(keys), "left_anti")
     shared = df.join(repeated, list(keys)).select(*df.columns, "_n")
     kept = [c for c in df.columns if c != order]
-    larger = shared.where(F.col("_n") > 2).groupBy(*kept).agg(F.max(order).alias(order)).select(*df.columns)
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(order, *[c for c in rest if c != order])
     donor = F.when(_has_info(F.col, columns), F.struct(order, *columns))
     pairs = shared.where(F.col("_n") == 2).groupBy(*keys).agg(F.max(row).alias("_last"), F.max(donor).alias("_donor"))
     uses_donor = ~_has_info(lambda c: F.col(f"_last.{c}"), columns) & F.col("_donor").isNotNull()
     merged = [F.when(uses_donor, F.col(f"_donor.{c}")).otherwise(F.col(f"_last.{c}")).alias(c) if c in columns else F.col(f"_last.{c}") for c in rest]
-    return alone.unionByName(pairs.select(*keys, *merged).select(*df.columns)).unionByName(larger)
+    out = alone.unionByName(pairs.select(*keys, *merged).select(*df.columns))
+    if most == 2:
+        return out
+    return out.unionByName(shared.where(F.col("_n") > 2).groupBy(*kept).agg(F.max(order).alias(order)).select(*df.columns))
 
 
 def merge_violations(df: DataFrame, keys: Sequence[str] = tuple(TIME_KEY)) -> DataFrame:

@@ -15,8 +15,8 @@ from tripweave.schema import BACKFILL_COLUMNS, RIDE_COLUMNS, TIME_KEY
 _RIDE = ", ".join(RIDE_COLUMNS)
 
 REPEATED_SQL = """SELECT * FROM rides
-    UNION ALL SELECT * REPLACE (ride_id || '-b' AS ride_id) FROM rides WHERE bike_id % 7 = 0
-    UNION ALL SELECT * REPLACE (ride_id || '-c' AS ride_id) FROM rides WHERE bike_id % 7 = 0"""
+    UNION ALL SELECT * REPLACE (ride_id || '-b' AS ride_id) FROM rides WHERE second(start_time) = 7
+    UNION ALL SELECT * REPLACE (ride_id || '-c' AS ride_id) FROM rides WHERE second(start_time) = 7"""
 
 
 def _file(w, name):
@@ -55,8 +55,8 @@ def _(w):
 # The newer file has lost the attributes of casual rides; some rides have no readable stop time.
 _LOST = "file = 'O' AND user_type = 'Customer'"
 REPUBLISHED_SQL = f"""SELECT * REPLACE (
-    CASE WHEN bike_id % 9 = 1 THEN NULL ELSE stop_time END AS stop_time,
-    CASE WHEN bike_id % 9 = 1 THEN NULL ELSE end_ym END AS end_ym,
+    CASE WHEN second(start_time) = 11 THEN NULL ELSE stop_time END AS stop_time,
+    CASE WHEN second(start_time) = 11 THEN NULL ELSE end_ym END AS end_ym,
     CASE WHEN {_LOST} THEN NULL ELSE birth_year END AS birth_year,
     CASE WHEN {_LOST} THEN 0 ELSE gender END AS gender,
     CASE WHEN {_LOST} THEN NULL ELSE bike_id END AS bike_id) FROM repeated"""
@@ -86,10 +86,10 @@ MERGED_TABLES = {
 
 
 def _repeated(w):
-    """The rides, those of some bikes three times under different ids."""
-    again = w.rides.where(F.col("bike_id") % 7 == 0)
-    more = [again.withColumn("ride_id", F.concat("ride_id", F.lit(suffix))) for suffix in ("-b", "-c")]
-    return w.rides.unionByName(more[0]).unionByName(more[1])
+    """The rides, those of some seconds three times under different ids."""
+    one, three = (F.array(*map(F.lit, s)) for s in (("",), ("", "-b", "-c")))
+    copies = F.explode(F.when(F.second("start_time") == 7, three).otherwise(one))
+    return w.rides.withColumn("_suffix", copies).withColumn("ride_id", F.concat("ride_id", "_suffix")).drop("_suffix")
 
 
 def _republished(w):
@@ -97,7 +97,7 @@ def _republished(w):
     blank = {"birth_year": F.lit(None), "gender": F.lit(0), "bike_id": F.lit(None)}
     columns = [*RIDE_COLUMNS, "start_ym", "end_ym", "file"]
     lost = F.coalesce(lost, F.lit(False))
-    unread = F.coalesce(F.col("bike_id") % 9 == 1, F.lit(False))
+    unread = F.coalesce(F.second("start_time") == 11, F.lit(False))
     values = {c: F.when(lost, v).otherwise(F.col(c)).cast("int") for c, v in blank.items()}
     values |= {c: F.when(~unread, F.col(c)) for c in ("stop_time", "end_ym")}
     return _repeated(w).withColumns(values).select(*columns)
