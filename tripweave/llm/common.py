@@ -48,6 +48,18 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+#: Rows that a Python worker gets at once; with whole texts Spark's own default of 10,000 is too many for small executors.
+BATCH_ROWS = 2_000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows; the session keeps this setting."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Record batches cut so that the texts (last column, null: empty) of one stay under ``max_chars`` or are one row."""
     for batch in batches:
@@ -60,6 +72,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000)
             chars += len(t)
         if begin < len(texts):
             yield batch.slice(begin), texts[begin:]
+    pa.default_memory_pool().release_unused()
 
 
 def arrow_schema(df_schema) -> pa.Schema:

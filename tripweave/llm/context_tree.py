@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, fold, stored, text_batches
+from tripweave.llm.common import arrow_schema, fold, map_texts, stored, text_batches
 
 #: Bytes of context. A gram is these, nearest first, and the byte itself; the first is the unit's, the rest the key there.
 DEPTH = 5
@@ -410,7 +410,8 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     counted = T.StructType(
         [T.StructField(n, T.LongType()) for n in ("block", "unit")] + [T.StructField(n, T.BinaryType()) for n in ("keys", "counts")] + [T.StructField("docs", T.ArrayType(doc)), T.StructField("texts", T.BinaryType())]
     )
-    rows = stored(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(_count(arrow_schema(counted)), counted), "counted")
+    texts = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    rows = stored(map_texts(texts, _count(arrow_schema(counted)), counted), "counted")
     asked = rows.filter("unit is not null").select("block", "unit", "keys", "counts")
     ends = rows.filter("unit is null").select(F.coalesce(F.sum(F.size(F.filter("docs", lambda d: ~d["held_out"]))), F.lit(0))).first()[0]
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, stored, text_batches
+from tripweave.llm.common import arrow_schema, map_texts, stored, text_batches
 from tripweave.llm.tokens import encoder
 
 #: Pieces of a leftover window are merged in runs of at least so many tokens, which bounds the runs of a window.
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, open_windows: int =
         + [T.StructField("closed", T.BooleanType())]
     )
     run = _pack_partition(tokenizer, size, open_windows, end_id, arrow_schema(schema))
-    pieces = stored(docs.select(id_col, text_col).mapInArrow(run, schema), "pieces")
+    pieces = stored(map_texts(docs.select(id_col, text_col), run, schema), "pieces")
     own = [id_col, "start", "length", "doc_tokens", "ids"]
     closed = pieces.filter("closed").select(*own, (F.shiftleft("part", 32) + 2 * F.col("window")).alias("sequence_id"), "offset")
     left = pieces.filter("not closed")

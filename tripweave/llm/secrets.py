@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, stored, text_batches, with_row_number
+from tripweave.llm.common import arrow_schema, map_texts, stored, text_batches, with_row_number
 
 #: Base kinds, in the order that breaks ties of a start.
 BASE = ("assign", "access", "hex")
@@ -79,11 +79,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` inside a struct ``doc``, a ``row`` number, and ``found``: the candidates of the whole text."""
     doc = T.StructType(docs.schema.fields)
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", doc), T.StructField("found", _FOUND)])
-    arrow = arrow_schema(schema)
+    arrow, at = arrow_schema(schema), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
-        for batch, texts in text_batches(batches):
+        with_texts = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(at)], names=["doc", "text"]) for b in batches)
+        for batch, texts in text_batches(with_texts):
             found = [
                 [{"kind": KINDS[k], "start": a, "end": b, "value": hashlib.blake2b(v.encode(), digest_size=16).digest(), "varied": len(set(v)) >= 6} for k, a, b, v in candidates(t)]
                 for t in texts
@@ -91,7 +92,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([with_row_number(part, seen, len(found)), batch.column(0).cast(arrow.field("doc").type), pa.array(found, arrow.field("found").type)], schema=arrow)
             seen += len(found)
 
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), run, schema)
 
 
 def ownership(found: DataFrame, owner: Column, repo: Column) -> DataFrame:
@@ -166,4 +167,4 @@ def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "do
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     clean = found.filter(F.size("secrets") == 0).select("doc.*")
-    return found.filter(F.size("secrets") > 0).mapInArrow(run, schema).unionByName(clean)
+    return map_texts(found.filter(F.size("secrets") > 0), run, schema).unionByName(clean)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, broadcast_if_small, hashed_sample, stored, text_batches
+from tripweave.llm.common import arrow_schema, broadcast_if_small, hashed_sample, map_texts, stored, text_batches
 from tripweave.llm.components import Forest, components
 
 #: Fingerprints compared at once, and those of a branch that is compared without further cuts.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow[0].type), batch.column(1), pa.array(fp)], schema=arrow)
 
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(run, schema)
+    return map_texts(docs.select(id_col, F.xxhash64(text_col), text_col), run, schema)
 
 
 class Cuts:

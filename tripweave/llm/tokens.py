@@ -58,7 +58,7 @@ class Encoder:
     whole texts. For vocabularies with the pattern above that lower-case and drop white space.
     """
 
-    def __init__(self, path: str, memory: int = 400_000, segment: int = 250_000):
+    def __init__(self, path: str, memory: int = 250_000, segment: int = 250_000):
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripweave.llm.common import arrow_schema, fold, hashed_sample, stored, text_batches
+from tripweave.llm.common import arrow_schema, fold, hashed_sample, map_texts, stored, text_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "id").select("id", *y, "_text")
     id_type = docs.schema[id_col].dataType.simpleString()
     shape = f"key long, words array<string>, id {id_type}, " + ", ".join(f"{c} int" for c in y)
-    taught = texts.mapInArrow(_word_rows(1 + len(y)), shape)
+    taught = map_texts(texts, _word_rows(1 + len(y)), shape)
     first = taught.groupBy("key").agg(F.min_by(F.struct("words", *y), F.struct("id", "words")).alias("row"))
     rows = stored(first.select("key", "row.*"), "taught")
 
@@ -185,4 +185,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(p[:, c]) for c in range(p.shape[1]))], schema=arrow)
 
     held = F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("held_out")
-    return docs.select(id_col, held, F.col(text_col).alias("_text")).mapInArrow(run, schema).withColumn("predicted", (F.col(names[0]) >= threshold).cast("int"))
+    return map_texts(docs.select(id_col, held, F.col(text_col).alias("_text")), run, schema).withColumn("predicted", (F.col(names[0]) >= threshold).cast("int"))
