@@ -29,20 +29,26 @@ def _bit_votes(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
+def shingle_spans(text: str, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a text with single blanks, and where each of its shingles begins and ends there."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return b"", [], []
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    n = max(1, len(found) - words + 1)
+    return b" ".join(found), np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[min(words, len(found)) - 1 :].tolist()
+
+
 def fingerprint(text: str, words: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
     """SimHash of the word shingles of a text: unsigned, 0 for a text without words.
 
     A-Z are lower-cased; words end at ASCII white space; shingles count as often as they occur; a text with fewer words
     is one shingle; a bit is set if more than half of the shingles' hashes have it.
     """
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
+    whole, begins, stops = shingle_spans(text, words)
+    n = len(begins)
+    if not n:
         return 0
-    whole = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    n = max(1, len(found) - words + 1)
-    begins = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    stops = ends[min(words, len(found)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     votes = np.zeros(64, np.int64)
     for at in range(0, n, block):
@@ -204,12 +210,21 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_co
     what goes is joined, broadcast if it is small.
     """
     prints = stored(fingerprints(docs, words, id_col, text_col).select(F.col(id_col).alias("i"), F.col("text_hash").alias("h"), "fp"), "prints")
+    reach = components(links(stored(prints.select("fp").distinct(), "fingerprints"), radius))
+    return keep_first(docs, prints, "fp", reach, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, key: str, reach: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents that stay: of those whose ``key`` is equal or in one component of ``reach`` (node, root) the first.
+
+    ``prints`` has (i, h, key) of every row: id, text hash and what is linked.
+    """
     first = F.min(F.struct(F.col("i").isNull().alias("z"), "i", "h")).alias("first")
-    distinct = stored(prints.groupBy("fp").agg(first), "fingerprints")
-    reach = stored(components(links(distinct, radius)), "reach").withColumnRenamed("node", "fp")
-    # A fingerprint without links keeps its first document, a component the first of its fingerprints' first documents.
-    alone = distinct.join(reach, "fp", "left_anti").select("first.i", "first.h")
-    together = distinct.join(reach, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.i", "first.h")
+    distinct = stored(prints.groupBy(F.col(key).alias("node")).agg(first), "firsts")
+    reach = stored(reach, "reach")
+    # What has no links keeps its first document, a component the first of its members' first documents.
+    alone = distinct.join(reach, "node", "left_anti").select("first.i", "first.h")
+    together = distinct.join(reach, "node").groupBy("root").agg(F.min("first").alias("first")).select("first.i", "first.h")
     kept = alone.unionAll(together).withColumn("kept", F.lit(True))
     told = prints.groupBy("i", "h").agg(F.count("*").alias("n")).alias("p").join(kept.alias("k"), F.expr("p.i <=> k.i and p.h = k.h"), "left")
     # Everything but the documents that stay as they are.
