@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES
-from tripweave.llm.mixing import in_mixed_order, mix, schedule, slots_per_period
+from tripweave.llm.mixing import in_mixed_order, mix, schedule, slots_of_blocks, slots_per_period
 from tripweave.llm.queries import op4_mixing
 
 SF = "/root/testdata/sf0.01"
@@ -78,3 +80,28 @@ def test_order(docs_of):
     found = [r.source for r in out.collect()]
     assert sorted(found) == sorted(r[3] for r in rows)
     assert [found[i] for i in range(0, 200, 10)] in (["s0", "s1"] * 10, ["s1", "s0"] * 10)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.floats(1e-6, 1e6), st.integers(1, 300)), min_size=1, max_size=12))
+def test_blocks_meet_releases_and_deadlines_of_true_weights(sources):
+    weights, blocks = ({f"s{i}": x[k] for i, x in enumerate(sources)} for k in (0, 1))
+    total, found = sum(Fraction(w) for w in weights.values()), slots_of_blocks(weights, blocks)
+    every = sorted(x for slots in found.values() for x in slots)
+    assert len(set(every)) == len(every) == sum(blocks.values())
+    for s, slots in found.items():
+        w = Fraction(weights[s]) / total
+        assert len(slots) == blocks[s] and all(i // w <= x < -(-(i + 1) // w) for i, x in enumerate(slots))
+
+
+def test_error_does_not_add_up_over_many_periods(docs_of):
+    """Three equal sources and one far below a slot of 1,000, over 24 times 1,000 slots."""
+    weights = {"a": 1.0, "b": 1.0, "c": 1.0, "rare": 0.000381}
+    docs = docs_of([(0, "t")]).sparkSession.range(24_003).selectExpr("id AS doc_id", "string(id) AS text", "if(id >= 24000, 'rare', substring('abc', int(id % 3) + 1, 1)) AS source")
+    found = mix(docs, weights=weights, block=1).toPandas()
+    assert len(found) == found.slot.nunique() == 24_003
+    for s, g in found.groupby("source"):
+        target = weights[s] / sum(weights.values())
+        assert abs(g.weight.iloc[0] - target) < 1e-12
+        t = np.arange(g.slot.max() + 2)
+        assert np.abs(np.searchsorted(np.sort(g.slot), t) - t * target).max() < 1

@@ -2,14 +2,15 @@
 
 Time is divided into slots of one block of documents. The i-th block of a source of weight w is released at slot
 floor(i / w) and due by slot ceil((i + 1) / w); earliest deadline first then keeps every source within less than one block of
-its target at every slot. With weights rounded to a whole number of slots per period the schedule repeats, so one
-period, whose size depends on the weights alone, places any number of blocks by a join.
+its target at every slot. Releases and deadlines come from the exact weights over the whole run, so no error adds up; the
+schedule has a number per block, and rows find theirs by a join.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,21 +34,47 @@ def slots_per_period(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of a period: earliest deadline first over released blocks, ties by name."""
-    period = sum(shares.values())
-    jobs = sorted((i * period // a, -(-(i + 1) * period // a), s) for s, a in shares.items() for i in range(a))
-    out, ready, at = [], [], 0
-    for slot in range(period):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            heapq.heappush(ready, jobs[at][1:])
-            at += 1
-        due, source = heapq.heappop(ready)
+def slots_of_blocks(weights: dict[str, float], blocks: dict[str, int]) -> dict[str, list[int]]:
+    """The slot of every block of every source: earliest deadline first over released blocks, ties by name.
+
+    Weights are relative and exact. The slots of a source that has run out stay empty, those without a block are skipped in one step.
+    """
+    if any(w <= 0 or not math.isfinite(w) for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    # One over the weight of a source, as numerator and denominator.
+    gaps = {s: (total / w).as_integer_ratio() for s, w in exact.items()}
+    out: dict[str, list[int]] = {s: [] for s in blocks}
+    waiting = [(0, s, 0) for s in blocks if blocks[s]]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, i = heapq.heappop(waiting)
+            n, d = gaps[s]
+            heapq.heappush(ready, (-(-(i + 1) * n // d), s))
+            if i + 1 < blocks[s]:
+                heapq.heappush(waiting, ((i + 1) * n // d, s, i + 1))
+        due, s = heapq.heappop(ready)
         assert due > slot
-        out.append(source)
+        out[s].append(slot)
+        slot += 1
     return out
 
 
+def schedule(shares: dict[str, int]) -> list[str]:
+    """The source of each slot when every source has as many blocks as its share."""
+    order = [""] * sum(shares.values())
+    for s, slots in slots_of_blocks(shares, shares).items():
+        for slot in slots:
+            order[slot] = s
+    return order
+
+
 def _key(source_col: str) -> Column:
     """Sources as text; a null source is one of its own."""
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
@@ -56,6 +83,9 @@ def _key(source_col: str) -> Column:
 #: The columns that a mix adds.
 MADE = ("weight", "block", "slot", "place")
 
+#: A schedule of so many blocks, 8 bytes each, is broadcast; a longer one is left to a shuffled join.
+BROADCAST_BLOCKS = 2_000_000
+
 
 def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int, period: int, bucket: int, source_col: str) -> DataFrame:
     """``_doc`` (a row of ``docs``) and where it is placed."""
@@ -67,14 +97,11 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: flo
     if missing := set(counts) - set(target):
         raise ValueError(f"no weight for sources {sorted(missing)}")
     target = {s: w for s, w in target.items() if s in counts}
-    shares = slots_per_period(target, max(period, 2 * len(counts)))
-    period = sum(shares.values())
-    seen: dict[str, int] = dict.fromkeys(shares, 0)
-    rows = []
-    for slot, s in enumerate(schedule(shares)):
-        rows.append((s, seen[s], slot, shares[s], shares[s] / period))
-        seen[s] += 1
-    plan = spark.createDataFrame(rows, "_source string, _turn long, _slot long, _share long, weight double")
+    total = sum(map(Fraction, target.values()))
+    placed_at = slots_of_blocks(target, {s: -(-n // block) for s, n in counts.items()})
+    rows = [(s, at // period, slots[at : at + period], float(Fraction(target[s]) / total)) for s, slots in placed_at.items() for at in range(0, len(slots), period)]
+    few = sum(map(len, placed_at.values())) <= BROADCAST_BLOCKS
+    plan = spark.createDataFrame(rows, "_source string, _part long, _slots array<long>, weight double")
 
     salts = max(1, -(-sum(counts.values()) // bucket))
     # By content, not by position: both uses below see the same salts whatever the input's partitions are.
@@ -90,10 +117,9 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: flo
         .withColumn("block", F.floor(F.col("_index") / block))
         .withColumn("place", F.col("_index") % block)
     )
-    share = F.broadcast(plan.select("_source", "_share").distinct())
-    turns = placed.join(share, "_source").withColumn("_turn", F.col("block") % F.col("_share"))
-    timed = turns.join(F.broadcast(plan.drop("_share")), ["_source", "_turn"])
-    slot = F.floor(F.col("block") / F.col("_share")) * period + F.col("_slot")
+    parts = placed.withColumn("_part", F.floor(F.col("block") / period))
+    timed = parts.join(F.broadcast(plan) if few else plan, ["_source", "_part"])
+    slot = F.get("_slots", (F.col("block") % period).cast("int"))
     return timed.select("_doc", "weight", "block", slot.alias("slot"), "place")
 
 
@@ -106,8 +132,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     of their own; repeated rows are rows of their own; an empty table gives no rows. An input column with the name of a new one gives way to it.
 
     No row goes through Python. Rows are numbered within (source, salt) and shifted by the counts of earlier salts, so a source
-    with a third of all rows is numbered by many tasks. The counts of the sources, one number each, come to the driver;
-    the broadcast schedule has ``period`` rows (at least two per source).
+    with a third of all rows is numbered by many tasks. The counts of the sources, one number each, come to the driver, which makes
+    the schedule, a number per block; ``period`` blocks of a source are a row of it.
     """
     placed = _placed(docs, weights, alpha, block, period, bucket, source_col)
     return placed.select(*(F.col(f"_doc.`{c}`") for c in docs.columns if c not in MADE), *MADE)
