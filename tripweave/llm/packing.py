@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,12 +129,28 @@ def _merge(size: int):
             base.append(size - left)
             if left > n:
                 bisect.insort(free, (left - n, window))
-        ids = (int(key[0]) << 32) + 2 * np.array(number, dtype=np.int64) + 1
+        # After the last partition that has a piece in it, so no sequence comes before the place of its documents.
+        last = runs["part"].groupby(np.array(number)).transform("max").to_numpy(np.int64)
+        ids = (last << 32) + (1 << 31) + 2 * np.array(number, dtype=np.int64) + 1
         return pd.DataFrame({"part": runs["part"], "window": runs["window"], "item": runs["item"], "sequence_id": ids, "base": np.array(base, dtype=np.int64)})
 
     return run
 
 
+def in_stored_order(docs: DataFrame) -> DataFrame:
+    """The rows of an ordered table that was written to Parquet, again in that order over partitions and within them.
+
+    Spark deals files to tasks by size. Their names have the number of the task that wrote them and, with a limit of rows a file,
+    a count of its files; with the row's position in the file these restore the order. What is not read from files stays as it is.
+    """
+    try:
+        placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return docs
+    number = [F.regexp_extract("_file", pattern, 1).try_cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    return placed.orderBy(*number, "_file", "_at").select("_doc.*")
+
+
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, open_windows: int = 64, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sequences of at most ``size`` tokens that hold every token of every document exactly once.
 
