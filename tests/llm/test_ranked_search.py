@@ -1,0 +1,97 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from __spark_entry__ import oracle_sql
+from tests.llm.conftest import EDGES
+from tests.oracle_check import connect, differences
+from tripweave.llm.queries import op13_search
+from tripweave.llm.ranked_search import Postings, best_of_block, search, terms_of
+
+
+def plain_terms(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+
+
+def plain_search(docs, items, k=10):
+    """Every document's whole score for every item."""
+    own = [(i, Counter(plain_terms(t))) for i, t in docs]
+    n, total = sum(bool(c) for _, c in own), sum(sum(c.values()) for _, c in own)
+    df = Counter(w for _, c in own for w in c)
+    out = []
+    for item, text in set(items):
+        asked, scores = Counter(plain_terms(text)), []
+        for i, c in own:
+            m = 100 - 75 + (75 * sum(c.values()) * n) // total if total else 0
+            s = sum(t * math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((1000000000 * c[w]) // (1000 * c[w] + 8 * m)) for w, t in asked.items() if w in c)
+            if s > 0:
+                scores.append((-s, i is None, i or 0))
+        out += [(item, rank, None if none else i, -s) for rank, (s, none, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def items_of(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_terms():
+    for t in ("Ab,c-D 12é_x", "ÀB c\x7fD{}", "", "  ", "中文 text\x00more", "ſK K"):
+        assert [w.decode() for w in terms_of(t)] == plain_terms(t)
+
+
+def test_accumulators_stop_and_survivors_are_exact():
+    rng = np.random.default_rng(0)
+    stopped = 0
+    for _ in range(300):
+        docs = int(rng.integers(1, 60))
+        lists = {}
+        for t in range(8):
+            some = np.sort(rng.choice(docs, int(rng.integers(1, docs + 1)), replace=False))
+            lists[t] = (some, rng.integers(0, 10 ** int(rng.integers(1, 5)), len(some)))
+        block, query, k = Postings(lists, docs), [(t, int(rng.integers(1, 3))) for t in rng.permutation(10).tolist()], int(rng.integers(1, 6))
+        whole = np.zeros(docs, np.int64)
+        for t, times in query:
+            if t in lists:
+                whole[lists[t][0]] += times * lists[t][1]
+        best = sorted(((-s, d) for d, s in enumerate(whole.tolist()) if s > 0))
+        kth = -best[min(k, len(best)) - 1][0] if best else 0
+        for limit in (0, kth // 2, kth):
+            held, scores = best_of_block(block, query, k, limit)
+            found = sorted((-s, d) for d, s in zip(held.tolist(), scores.tolist(), strict=True))
+            assert found[:k] == best[:k] and all(whole[d] == -s for s, d in found)
+            stopped += len(held) < (whole >= max(kth, 1)).sum() or limit > 0
+    assert stopped
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_like_every_score(spark, docs_of, k):
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(60)] + ["The", "the", "THE", "é", "中"]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.randrange(60)))) for i in range(400)]
+    docs += [(1000 - i, "w50 the same text of many copies w51") for i in range(150)] + [(None, "w50 w51"), (3, None)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(12)))) for i in range(30)] + [(90, "w50 same copies"), (90, "w50 same copies"), (90, "w51"), (None, "the"), (91, None), (92, "nowhere")]
+    found = search(docs_of(docs, clashes=True).repartition(5), items_of(spark, items), k, batch=8)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == plain_search(docs, items, k)
+
+
+def test_query_like_its_sql(spark):
+    for sf in ("0.001", "0.01"):
+        sf_dir = f"/root/testdata/sf{sf}"
+        assert differences(op13_search(spark, sf_dir), connect(sf_dir), oracle_sql()["op13_search"]) == []
+
+
+def test_edges(spark, docs_of):
+    docs, items = docs_of(EDGES, clashes=True), [(1, "word long"), (2, "SAME row 中文"), (3, ""), (4, None)]
+    found = search(docs, items_of(spark, items))
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == plain_search([r[:2] for r in EDGES], items)
+    assert [r.doc_id for r in found.filter("item_id = 2").orderBy("rank").collect()][:2] in ([5, 5], [7, 5])
+    assert search(docs.limit(0), items_of(spark, items)).count() == 0
+    assert search(docs, items_of(spark, [])).count() == 0
+    assert search(docs_of([(1, "..."), (2, None)]), items_of(spark, items)).count() == 0
