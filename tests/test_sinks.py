@@ -88,6 +88,27 @@ def test_a_run_that_dies_leaves_the_old_slices(spark, rides_of, tmp_path, monkey
     assert slices(spark, base) == before
 
 
+def test_a_run_that_dies_in_its_index_blocks_no_later_run(spark, rides_of, tmp_path):
+    base = str(tmp_path / "t")
+    first = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})).withColumn("src_ym", F.lit(202001))
+    writers.replace_source_months(first, base)
+    before = slices(spark, base)
+    # As a job leaves it that was killed between its tasks' files and the commit mark, twice.
+    for version in (2, 3):
+        half = tmp_path / "t" / "index" / f"{version:012d}" / "_temporary" / "0"
+        half.mkdir(parents=True)
+        (half / "part-0.parquet").write_bytes(b"PAR1")
+    assert slices(spark, base) == before
+    writers.replace_source_months(first.where("end_ym = 202002"), base)
+    assert slices(spark, base) == [(202001, 202001, 202002, 1)]
+    assert tables.index_versions(spark, base) == {1: True, 2: False, 3: False, 4: True}
+    writers.remove_old_runs(spark, base)
+    assert tables.index_versions(spark, base) == {4: True}
+    assert slices(spark, base) == [(202001, 202001, 202002, 1)]
+    writers.replace_source_months(first, base)
+    assert slices(spark, base) == before
+
+
 def test_end_month_overwrite_leaves_other_months(spark, rides_of, tmp_path):
     path = str(tmp_path / "t")
     writers.write_month_table(add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})), path)

@@ -18,10 +18,11 @@ def aggregate_rides(
     measures: str = "c",
     by: Sequence[str] = (),
     duration_mode: str = "component",
+    known_only: bool = True,
 ) -> DataFrame:
     """Ride counts and seconds for any subset of the group-by letters.
 
-    A ride with a null in any key is left out. ``by`` adds plain columns, such as the storage month. Only the
+    A ride with a null in any key is left out unless ``known_only`` is off. ``by`` adds plain columns, such as the storage month. Only the
     columns behind the letters are read, and both sums combine before the shuffle.
     """
     unknown = sorted(set(measures) - set(RIDE_MEASURES))
@@ -31,7 +32,9 @@ def aggregate_rides(
     names = [n for n, _ in key_cols]
     chosen = {m: n for m, n in RIDE_MEASURES.items() if m in measures}
     values = [measure_value(m, duration_mode).alias(n) for m, n in chosen.items()]
-    narrow = rides.select(*by, *[c.alias(n) for n, c in key_cols], *values).where(text.all_known(names))
+    narrow = rides.select(*by, *[c.alias(n) for n, c in key_cols], *values)
+    if known_only:
+        narrow = narrow.where(text.all_known(names))
     return narrow.groupBy(*by, *names).agg(*[F.sum(n).alias(n) for n in chosen.values()])
 
 

@@ -10,7 +10,7 @@ from tripweave.plans import registry
 
 
 def _load() -> None:
-    from tripweave.plans import aggregate_queries, ingest_queries, quality_queries, series_queries, station_queries  # noqa: F401
+    from tripweave.plans import aggregate_queries, ingest_queries, quality_queries, series_queries, station_queries, store_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

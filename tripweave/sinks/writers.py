@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tripweave.schema import TIME_KEY
 from tripweave.sources.csv import sort_rows
-from tripweave.sources.tables import newest_index, run_folder
+from tripweave.sources.tables import index_folder, index_versions, newest_index, run_folder
 
 _MODES = {True: "overwrite", False: "ignore", None: "errorifexists"}
 
@@ -37,8 +37,8 @@ def replace_source_months(rides: DataFrame, base: str, months: Sequence[int] = (
 
     A run's slices are written to a folder of their own; then an index that says which run each source month is read from is
     written as one small table, and readers take the newest index that was committed. Until that commit they see the old
-    slices, all of them, after it the new ones; nothing is moved or deleted in between. ``remove_old_runs`` frees the space. One
-    writer at a time.
+    slices, all of them, after it the new ones; nothing is moved or deleted in between. A run that dies, also while it writes the index, leaves
+    folders that no reader looks at; the next index takes a number above all there are. ``remove_old_runs`` frees the space. One writer at a time.
     """
     spark, run = rides.sparkSession, uuid.uuid4().hex
     keys = ["src_ym", "start_ym", "end_ym"]
@@ -47,15 +47,15 @@ def replace_source_months(rides: DataFrame, base: str, months: Sequence[int] = (
     # Partition columns are known from folder names; the files are not read.
     written = spark.read.schema(rides.schema).parquet(run_folder(base, run)).select("src_ym").distinct()
     new = written.select(F.col("src_ym").cast("int").alias("src_ym"), F.lit(run).alias("run"))
-    version, old = newest_index(spark, base)
+    _, old = newest_index(spark, base)
     if old is not None:
         replaced = new.select("src_ym").unionByName(spark.createDataFrame([(int(m),) for m in months], "src_ym int"))
         new = old.join(replaced, "src_ym", "left_anti").unionByName(new)
-    new.coalesce(1).write.parquet(f"{base}/index/{version + 1:012d}")
+    new.coalesce(1).write.parquet(index_folder(base, max(index_versions(spark, base), default=0) + 1))
 
 
 def remove_old_runs(spark: SparkSession, base: str) -> None:
-    """Delete the slices that the newest index does not name, and older indexes; not while readers of an older index are at work."""
+    """Delete the slices that the newest index does not name, and all other indexes, half-written ones too; not while readers of an older index or a writer are at work."""
     version, index = newest_index(spark, base)
     if index is None:
         return
@@ -68,9 +68,9 @@ def remove_old_runs(spark: SparkSession, base: str) -> None:
         old = [m for m in months if (name, int(m.getName().removeprefix("src_ym="))) not in current]
         for m in [run.getPath()] if len(old) == len(months) else old:
             fs.delete(m, True)
-    for i in fs.listStatus(path(f"{base}/index")):
-        if i.getPath().getName() < f"{version:012d}":
-            fs.delete(i.getPath(), True)
+    for other in index_versions(spark, base):
+        if other != version:
+            fs.delete(path(index_folder(base, other)), True)
 
 
 def write_end_months(rides: DataFrame, path: str) -> None:

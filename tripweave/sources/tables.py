@@ -26,18 +26,27 @@ def run_folder(base: str, run: str) -> str:
     return f"{base}/runs/run={run}"
 
 
-def newest_index(spark: SparkSession, base: str) -> tuple[int, DataFrame | None]:
-    """Number and rows (``src_ym, run``) of the newest committed index of a slice table; (0, None) if there is none."""
+def index_versions(spark: SparkSession, base: str) -> dict[int, bool]:
+    """Numbers of the indexes of a slice table, and whether each was committed; one that a run left half written was not."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     folder = path(f"{base}/index")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return {int(n): fs.exists(path(f"{base}/index/{n}/_SUCCESS")) for n in names if n.isdigit()}
+
+
+def index_folder(base: str, version: int) -> str:
+    return f"{base}/index/{version:012d}"
+
+
+def newest_index(spark: SparkSession, base: str) -> tuple[int, DataFrame | None]:
+    """Number and rows (``src_ym, run``) of the newest committed index of a slice table; (0, None) if there is none."""
+    version = max((v for v, committed in index_versions(spark, base).items() if committed), default=0)
+    if not version:
         return 0, None
-    names = sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True)
-    for name in names:
-        if fs.exists(path(f"{base}/index/{name}/_SUCCESS")):
-            return int(name), spark.read.schema("src_ym int, run string").parquet(f"{base}/index/{name}")
-    return 0, None
+    return version, spark.read.schema("src_ym int, run string").parquet(index_folder(base, version))
 
 
 def read_slices(spark: SparkSession, base: str) -> DataFrame:
