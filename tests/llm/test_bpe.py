@@ -72,6 +72,14 @@ def test_like_the_library(codec, plain):
         assert codec.decode(ids_of(codec, text)) == text.encode()
 
 
+def test_the_faster_pattern_cuts_alike(codec):
+    rng, letters = random.Random(4), [chr(i) for i in range(0x250)]
+    assert codec.plain is not None
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice((letters, " 's\n\t a1.é"))) for _ in range(20))
+        assert codec.plain.findall(text) == codec.pattern.findall(text)
+
+
 @pytest.mark.parametrize("unit", ["a", "ab", "=-", "é", "the", " "])
 def test_very_long_pre_tokens(codec, plain, unit):
     text = unit * (30_000 // len(unit))
