@@ -205,6 +205,21 @@ def station_coverage(rides: DataFrame, approximate: bool = False) -> DataFrame:
     return rides.agg(count("start_station_id").alias("n_start"), count("end_station_id").alias("n_end"))
 
 
+def coverage_sketches(rides: DataFrame, by: Sequence[str] = ("end_ym",), columns: Sequence[str] = ("start_station_id", "end_station_id"), lg_k: int = 14) -> DataFrame:
+    """Per ``by``, a sketch of each column's distinct values: 2^``lg_k`` registers at most, however many rides there are.
+
+    Sketches of any rows merge, so coverage over any months comes from stored ones. The standard error of an estimate is about
+    1.04 / sqrt(2^``lg_k``), 0.8 % by default; up to some thousand values it is much smaller.
+    """
+    return rides.groupBy(*by).agg(*[F.hll_sketch_agg(c, lg_k).alias(c) for c in columns])
+
+
+def coverage_of(sketches: DataFrame, by: Sequence[str] = (), columns: Sequence[str] = ("start_station_id", "end_station_id")) -> DataFrame:
+    """Distinct values of the columns, estimated from the sketches of the given rows, per ``by`` or in all; a missing sketch is empty."""
+    estimates = [F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in columns]
+    return sketches.groupBy(*by).agg(*estimates) if by else sketches.agg(*estimates)
+
+
 def top_k(df: DataFrame, by: str, k: int, ties: Sequence[str]) -> DataFrame:
     """The ``k`` largest rows; Spark keeps ``k`` per partition and merges those."""
     return df.orderBy(F.desc(by), *ties).limit(k)

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tripweave.operators import aggregate as agg
+from tripweave.operators import stations as st
 from tripweave.plans.prelude import HOUR, MONTH, RIDES_AND_SECONDS, WEEKDAY, YEAR, keyed, with_prelude
 from tripweave.plans.registry import query
+from tripweave.plans.station_queries import PAIR_TABLES, STATION_TABLES
 from tripweave.session import scratch_path
+from tripweave.sinks import documents, writers
 from tripweave.sinks.aggregate_store import AggregateStore, touched_months
+from tripweave.sources import tables
+from tripweave.sources.archive_fixture import HEADERS, as_text
 
 _YMRGT = {"region": "start_region", "start_year": YEAR, "start_month": MONTH, "gender": "gender", "user_type": "user_type"}
 
@@ -36,3 +42,49 @@ def _(w):
     for keys, measures in (("ymwhrgtb", "cd"), ("ywhg", "cd"), ("ywh", "c")):
         store.refresh(w.rides, keys, measures)
     return store.aggregate("ywh", "cd")
+
+
+@query(
+    "station_coverage_months",
+    with_prelude(
+        """SELECT end_year, CAST(count(DISTINCT start_station_id) AS BIGINT) AS start_station_id, CAST(count(DISTINCT end_station_id) AS BIGINT) AS end_station_id
+        FROM (SELECT end_ym // 100 AS end_year, * FROM rides WHERE end_ym BETWEEN 199503 AND 199708) GROUP BY 1"""
+    ),
+)
+def _(w):
+    """Stations per year of a range of months, from sketches stored per month; the rides are not read again."""
+    path = scratch_path(w.spark, "sketches")
+    writers.write_table(agg.coverage_sketches(w.rides), path)
+    months = tables.read_tables(w.spark, path).where(F.col("end_ym").between(199503, 199708))
+    return agg.coverage_of(months.withColumn("end_year", F.floor(F.col("end_ym") / 100).cast("int")), by=["end_year"])
+
+
+@query(
+    "csv_document",
+    with_prelude(
+        """SELECT strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(ended_at, '%Y-%m-%d %H:%M:%S') AS ended_at, ride_id,
+        start_station_id, start_station_name, end_station_id, end_station_name, rideable_type, member_casual FROM raw"""
+    ),
+)
+def _(w):
+    """One gzipped CSV file of all raw rows in time order, in parts that concatenate."""
+    rows = as_text(w.raw, {c: c for c in HEADERS if c[-4:] not in ("_lat", "_lng")})
+    path = scratch_path(w.spark, "csv-document")
+    documents.write_csv_document(rows, path)
+    return documents.read_csv_document(w.spark, path, rows.columns)
+
+
+@query("station_document", with_prelude("SELECT id, name, round(lat, 6) AS lat, round(lng, 6) AS lng, ends FROM stations", **STATION_TABLES))
+def _(w):
+    """All stations as one JSON object."""
+    path = scratch_path(w.spark, "station-document")
+    documents.write_station_document(w.stations, path)
+    return tables.read_station_json(w.spark, path).withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
+
+
+@query("pair_document", with_prelude("SELECT * FROM encoded", **PAIR_TABLES))
+def _(w):
+    """All pair counts as one JSON object."""
+    path = scratch_path(w.spark, "pair-document")
+    documents.write_pair_document(st.pair_maps(st.encode_pairs(w.pairs, w.index)), path, compression="gzip")
+    return tables.read_pair_json(w.spark, path)

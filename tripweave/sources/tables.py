@@ -78,8 +78,10 @@ def tag_file(rows: DataFrame, name: str = "file") -> DataFrame:
 
 
 def _json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects keyed by id, one per line: a whole month's object, or lines of one entry each."""
-    return spark.read.text(path).select(F.from_json("value", schema).alias("m"))
+    """Objects keyed by id: a month's object in one line, lines of one entry each, or the lines of a document with an entry each."""
+    # A line of a document begins with the comma or the brace before its entry; what follows an object is not read.
+    line = F.concat(F.lit("{"), F.regexp_replace("value", r"^\s*[{,]", ""), F.lit("}"))
+    return spark.read.text(path).select(F.from_json(line, schema).alias("m"))
 
 
 def read_station_json(spark: SparkSession, path: str) -> DataFrame:
