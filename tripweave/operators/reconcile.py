@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions import codes
@@ -17,10 +17,6 @@ KNOWN_BAD_SLICES = [(201306, 201307, 201307)]
 BACKFILL_MONTHS = (202001, 202101)
 
 
-#: Keys of two timestamps and a count that are broadcast at most, about 20 MB.
-BROADCAST_KEYS = 500_000
-
-
 def exclude_slices(df: DataFrame, bad: Sequence[tuple] = tuple(KNOWN_BAD_SLICES), columns: Sequence[str] = tuple(SLICE_COLUMNS)) -> DataFrame:
     """Drop known-bad slices.
 
@@ -58,31 +54,34 @@ def merge_duplicates(
     All ``columns`` come from one row. Keys with more than two rows are no pair: ``strict`` fails the query on them, otherwise
     their rows stay, exact copies in several files once; ``merge_violations`` lists them. A row without a key stays as it is.
 
-    Repeated keys are few as a rule: they are counted on the narrow key first, an action, and only their rows are grouped. Up to
-    ``BROADCAST_KEYS`` of them are broadcast, so that no other row is shuffled; more are joined by the key.
+    Rows meet by key in one shuffle, in which each is compared with its neighbours; no join, and a join or a distinct by the same
+    keys after it needs no further shuffle. Rows without a key, which may be many alike, take no part in it.
     """
-    n = F.count("*").alias("_n")
-    repeated = df.select(*keys).dropna().groupBy(*keys).agg(n).where(F.col("_n") > 1)
-    if strict:
-        repeated = repeated.where(F.when(F.col("_n") > 2, F.raise_error(F.lit("more than two rides share start and stop"))).otherwise(F.lit(True)))
-    found, most = repeated.agg(F.count("*"), F.max("_n")).first()
-    if not found:
-        return df
-    if found <= BROADCAST_KEYS:
-        repeated = F.broadcast(repeated)
-    alone = df.join(repeated, list(keys), "left_anti")
-    shared = df.join(repeated, list(keys)).select(*df.columns, "_n")
-    kept = [c for c in df.columns if c != order]
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(order, *[c for c in rest if c != order])
+    has_key = F.lit(True)
+    for k in keys:
+        has_key = has_key & F.col(k).isNotNull()
+    rest = [c for c in df.columns if c not in keys and c != order]
+    group = Window.partitionBy(*keys)
+    # Copies lie next to each other, that of the last file first.
+    sorted_group = group.orderBy(*[F.desc(c) for c in rest], F.desc(order))
+    every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, content = F.col("_n"), F.struct(*rest)
     donor = F.when(_has_info(F.col, columns), F.struct(order, *columns))
-    pairs = shared.where(F.col("_n") == 2).groupBy(*keys).agg(F.max(row).alias("_last"), F.max(donor).alias("_donor"))
-    uses_donor = ~_has_info(lambda c: F.col(f"_last.{c}"), columns) & F.col("_donor").isNotNull()
-    merged = [F.when(uses_donor, F.col(f"_donor.{c}")).otherwise(F.col(f"_last.{c}")).alias(c) if c in columns else F.col(f"_last.{c}") for c in rest]
-    out = alone.unionByName(pairs.select(*keys, *merged).select(*df.columns))
-    if most == 2:
-        return out
-    return out.unionByName(shared.where(F.col("_n") > 2).groupBy(*kept).agg(F.max(order).alias(order)).select(*df.columns))
+    marked = df.where(has_key).withColumns(
+        {
+            "_n": F.count("*").over(every),
+            "_copy": F.coalesce(F.lag(content).over(sorted_group).eqNullSafe(content), F.lit(False)) & (F.row_number().over(sorted_group) > 1),
+            "_last": F.max(F.struct(order, *rest)).over(every),
+            "_donor": F.max(donor).over(every),
+        }
+    )
+    if strict:
+        marked = marked.where(F.when(n > 2, F.raise_error(F.lit("more than two rides share start and stop"))).otherwise(F.lit(True)))
+    is_last = F.struct(order, *rest).eqNullSafe(F.col("_last"))
+    kept = marked.where((n == 1) | (~F.col("_copy") & ((n > 2) | is_last)))
+    uses_donor = (n == 2) & ~_has_info(F.col, columns) & F.col("_donor").isNotNull()
+    merged = [F.when(uses_donor, F.col(f"_donor.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
+    return kept.select(*merged).unionByName(df.where(~has_key))
 
 
 def merge_violations(df: DataFrame, keys: Sequence[str] = tuple(TIME_KEY)) -> DataFrame:
