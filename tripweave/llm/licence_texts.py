@@ -31,21 +31,33 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Released under GPLv2.",
+        "Released under GPLv3.",
+        "GPLv3",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Lesser General Public License, version 3.",
+        "LGPLv2.1 or later",
+        "Released under LGPLv3.",
+        "LGPLv3",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: LGPL-3.0-only",
     ],
     "AGPL": [
         "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Affero General Public License, version 3.",
+        "Released under AGPLv3.",
+        "AGPLv3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Released under MPLv2.",
+        "MPLv2",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "CC-BY": [
