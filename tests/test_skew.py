@@ -67,7 +67,8 @@ def shuffled(df) -> list[list[int]]:
 OPERATORS = {
     "distinct rows": lambda d: quality.drop_duplicate_rows(d),
     "distinct rows without file": lambda d: quality.drop_duplicate_rows(d, provenance=["file"]),
-    "merged rows": lambda d: reconcile.merge_duplicates(d),
+    "merged rows": lambda d: reconcile.merge_duplicates(d, hot=1000),
+    "merged rows, contents differ": lambda d: reconcile.merge_duplicates(d.withColumn("ride_id", F.concat(F.lit("r"), F.xxhash64("ride_id", F.monotonically_increasing_id()).cast("string"))), hot=1000),
     "origin of duplicates": lambda d: reconcile.duplicate_provenance(d),
     "repeated keys": lambda d: quality.key_violations(d),
     "rows without copy": lambda d: quality.rows_without_copy(d),
@@ -96,7 +97,9 @@ def test_hot_group_is_combined_before_the_shuffle(spark, skewed, name):
 def test_results_stay_whole(skewed):
     assert quality.drop_duplicate_rows(skewed.drop("file")).count() == 2 * N // 3 + 1
     # The hot group is larger than a pair: its rows differ in nothing but the file and are one ride.
-    assert reconcile.merge_duplicates(skewed).count() == 2 * N // 3 + 1
+    assert reconcile.merge_duplicates(skewed).count() == reconcile.merge_duplicates(skewed, hot=1000).count() == 2 * N // 3 + 1
+    told_apart = skewed.withColumn("ride_id", F.concat("ride_id", F.monotonically_increasing_id().cast("string")))
+    assert reconcile.merge_duplicates(told_apart, hot=1000).count() == N
     assert agg.aggregate_rides(skewed, "se", "c").agg(F.sum("count")).first()[0] == N
     hot = quality.key_violations(skewed).orderBy(F.desc("n_rows")).first()
     assert hot.n_rows == N // 3

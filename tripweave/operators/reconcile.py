@@ -48,26 +48,34 @@ def merge_duplicates(
     columns: Sequence[str] = tuple(BACKFILL_COLUMNS),
     keys: Sequence[str] = tuple(TIME_KEY),
     strict: bool = False,
+    hot: int = 100_000,
 ) -> DataFrame:
     """Pairs of rows with one key become the row of the last file, with the backfill columns of the last row that has any.
 
     All ``columns`` come from one row. Keys with more than two rows are no pair: ``strict`` fails the query on them, otherwise
     their rows stay, exact copies in several files once; ``merge_violations`` lists them. A row without a key stays as it is.
 
-    Rows meet by key in one shuffle, in which each is compared with its neighbours; no join, and a join or a distinct by the same
-    keys after it needs no further shuffle. Rows without a key, which may be many alike, take no part in it.
+    Rows meet by key in one shuffle, in which each is compared with its neighbours. Keys with more than ``hot`` rows, told by a count of the
+    keys alone, stay out of it, as no task should get them: they are no pairs, so their copies are combined before a shuffle of their own. There are
+    at most rows / ``hot`` such keys, which are broadcast. Rows without a key, which may be many alike, are not shuffled.
     """
     has_key = F.lit(True)
     for k in keys:
         has_key = has_key & F.col(k).isNotNull()
     rest = [c for c in df.columns if c not in keys and c != order]
+    keyed, many = df.where(has_key), F.raise_error(F.lit("more than two rides share start and stop"))
+    heavy = F.broadcast(keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys))
+    crowded = keyed.join(heavy, list(keys), "left_semi")
+    if strict:
+        crowded = crowded.where(many)
+    copies = crowded.groupBy(*[c for c in df.columns if c != order]).agg(F.array_max(F.collect_set(order)).alias(order))
     group = Window.partitionBy(*keys)
     # Copies lie next to each other, that of the last file first.
     sorted_group = group.orderBy(*[F.desc(c) for c in rest], F.desc(order))
     every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, content = F.col("_n"), F.struct(*rest)
     donor = F.when(_has_info(F.col, columns), F.struct(order, *columns))
-    marked = df.where(has_key).withColumns(
+    marked = keyed.join(heavy, list(keys), "left_anti").withColumns(
         {
             "_n": F.count("*").over(every),
             "_copy": F.coalesce(F.lag(content).over(sorted_group).eqNullSafe(content), F.lit(False)) & (F.row_number().over(sorted_group) > 1),
@@ -76,12 +84,12 @@ def merge_duplicates(
         }
     )
     if strict:
-        marked = marked.where(F.when(n > 2, F.raise_error(F.lit("more than two rides share start and stop"))).otherwise(F.lit(True)))
+        marked = marked.where(F.when(n > 2, many).otherwise(F.lit(True)))
     is_last = F.struct(order, *rest).eqNullSafe(F.col("_last"))
     kept = marked.where((n == 1) | (~F.col("_copy") & ((n > 2) | is_last)))
     uses_donor = (n == 2) & ~_has_info(F.col, columns) & F.col("_donor").isNotNull()
     merged = [F.when(uses_donor, F.col(f"_donor.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
-    return kept.select(*merged).unionByName(df.where(~has_key))
+    return kept.select(*merged).unionByName(copies.select(*df.columns)).unionByName(df.where(~has_key))
 
 
 def merge_violations(df: DataFrame, keys: Sequence[str] = tuple(TIME_KEY)) -> DataFrame:
