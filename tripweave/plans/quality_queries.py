@@ -11,6 +11,7 @@ from tripweave.plans.aggregate_queries import CUBE_SQL
 from tripweave.plans.prelude import with_prelude
 from tripweave.plans.registry import query
 from tripweave.schema import BACKFILL_COLUMNS, RIDE_COLUMNS, TIME_KEY
+from tripweave.sinks import snapshots
 
 _RIDE = ", ".join(RIDE_COLUMNS)
 
@@ -174,12 +175,12 @@ _TIMES = {f: f"SELECT start_time, stop_time FROM rides WHERE file = '{f}'" for f
     ),
 )
 def _(w):
-    return compare.set_statistics(_file(w, "F"), _file(w, "O"), TIME_KEY)
+    return snapshots.stored_statistics(*_stored_files(w))
 
 
 @query("snapshot_only_old", with_prelude("SELECT * FROM f EXCEPT SELECT * FROM o", f=_TIMES["F"], o=_TIMES["O"]))
 def _(w):
-    return compare.lost_keys(_file(w, "F"), _file(w, "O"), TIME_KEY)
+    return snapshots.keys_with_status(*_stored_files(w), "lost")
 
 
 @query("snapshot_in_both", with_prelude("SELECT * FROM f INTERSECT SELECT * FROM o", f=_TIMES["F"], o=_TIMES["O"]))
@@ -187,6 +188,11 @@ def _(w):
     return compare.common_keys(_file(w, "F"), _file(w, "O"), TIME_KEY)
 
 
+def _stored_files(w):
+    """The rides of each file as a snapshot of its own."""
+    return tuple(w.snapshot(f"file_{f}", lambda f=f: _file(w, f).select(*TIME_KEY)) for f in "FO")
+
+
 @query(
     "snapshot_diff",
     with_prelude(
@@ -282,9 +288,13 @@ def _publications(w):
     return new, old
 
 
+def _stored_publications(w):
+    return tuple(w.snapshot(f"publication_{n}", lambda i=i: _publications(w)[i]) for i, n in enumerate(("new", "old")))
+
+
 @query("snapshot_backfill", with_prelude("SELECT start_time, stop_time, user_type, birth_year, gender, bike_id FROM filled", **FILL_TABLES))
 def _(w):
-    return reconcile.backfill(*_publications(w))
+    return reconcile.backfill(*_stored_publications(w))
 
 
 def _stats_sql(c: str) -> str:
@@ -303,7 +313,7 @@ def _stats_sql(c: str) -> str:
     ),
 )
 def _(w):
-    return reconcile.backfill_statistics(reconcile.backfill(*_publications(w), keep_before=True))
+    return reconcile.backfill_statistics(reconcile.backfill(*_stored_publications(w), keep_before=True))
 
 
 _REPAIRED = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripweave.operators import aggregate as agg
+from tripweave.operators import checksum
 from tripweave.operators import stations as st
 from tripweave.plans.prelude import HOUR, MONTH, RIDES_AND_SECONDS, WEEKDAY, YEAR, keyed, with_prelude
 from tripweave.plans.registry import query
@@ -88,3 +89,59 @@ def _(w):
     path = scratch_path(w.spark, "pair-document")
     documents.write_pair_document(st.pair_maps(st.encode_pairs(w.pairs, w.index)), path, compression="gzip")
     return tables.read_pair_json(w.spark, path)
+
+
+_CHANGED = "start_ym BETWEEN 199603 AND 199604 AND bike_id % 7 = 3"
+_SIDES = {
+    "one": "SELECT start_ym, ride_id, max(bike_id) AS bike_id, max(end_station_id) AS end_station_id FROM rides GROUP BY 1, 2",
+    "a": "SELECT * FROM one WHERE ride_id NOT LIKE '%7-1'",
+    "b": f"""SELECT * REPLACE (CASE WHEN {_CHANGED} THEN bike_id + 1 ELSE bike_id END AS bike_id,
+        CASE WHEN {_CHANGED} AND bike_id % 2 = 0 THEN NULL ELSE end_station_id END AS end_station_id) FROM one WHERE ride_id NOT LIKE '%8-1'""",
+}
+
+
+def _sides(w):
+    """Two publications that differ in some rides of two months, and in some rides that only one has; with their stored sums."""
+    one, changed = w.rides.groupBy("start_ym", "ride_id").agg(F.max("bike_id").alias("bike_id"), F.max("end_station_id").alias("end_station_id")), F.expr(_CHANGED)
+    values = {"bike_id": F.col("bike_id") + changed.cast("int"), "end_station_id": F.when(~(changed & (F.col("bike_id") % 2 == 0)), F.col("end_station_id"))}
+    sides = []
+    for side in (one.where("ride_id NOT LIKE '%7-1'"), one.where("ride_id NOT LIKE '%8-1'").withColumns(values)):
+        path = scratch_path(w.spark, "publication")
+        writers.write_table(side, path)
+        sides.append(tables.read_tables(w.spark, path))
+    sums = []
+    for side in sides:
+        path = scratch_path(w.spark, "sums")
+        writers.write_table(checksum.range_sums(side, ["start_ym"], ["ride_id"], ["bike_id", "end_station_id"]), path)
+        sums.append(tables.read_tables(w.spark, path))
+    return *sides, tuple(sums)
+
+
+@query(
+    "reconcile_checksums",
+    with_prelude(
+        """SELECT ride_id, 1::BIGINT AS n_old, 1::BIGINT AS n_new, a.bike_id AS bike_id_old, b.bike_id AS bike_id_new,
+        a.end_station_id AS end_station_id_old, b.end_station_id AS end_station_id_new FROM a JOIN b USING (ride_id)
+        WHERE a.bike_id IS DISTINCT FROM b.bike_id OR a.end_station_id IS DISTINCT FROM b.end_station_id""",
+        **_SIDES,
+    ),
+)
+def _(w):
+    """Rides that two publications tell differently; rows meet only in ranges whose stored sums differ."""
+    old, new, sums = _sides(w)
+    return checksum.mismatches_by_checksum(old, new, ["start_ym"], ["ride_id"], ["bike_id", "end_station_id"], sums=sums)
+
+
+@query(
+    "snapshot_changes",
+    with_prelude(
+        """SELECT ride_id, CASE WHEN a.ride_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_old, CASE WHEN b.ride_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_new,
+        a.bike_id AS bike_id_old, b.bike_id AS bike_id_new, CASE WHEN a.ride_id IS NULL THEN 'added' WHEN b.ride_id IS NULL THEN 'lost' ELSE 'both' END AS status
+        FROM a FULL JOIN b USING (ride_id) WHERE a.ride_id IS NULL OR b.ride_id IS NULL OR a.bike_id IS DISTINCT FROM b.bike_id""",
+        **_SIDES,
+    ),
+)
+def _(w):
+    """Rides added, lost or changed."""
+    old, new, _ = _sides(w)
+    return checksum.diff_by_checksum(old, new, ["start_ym"], ["ride_id"], ["bike_id"])

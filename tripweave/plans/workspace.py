@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,6 +13,7 @@ from tripweave.operators.normalize import add_slice_columns, normalize
 from tripweave.operators.quality import drop_duplicate_rows
 from tripweave.operators.stations import station_index, station_pairs, station_table
 from tripweave.session import jit_sized_codegen, scratch_path
+from tripweave.sinks.snapshots import bucket_count, read_snapshot, write_snapshot
 from tripweave.sinks.writers import write_month_table, write_table
 from tripweave.sources.fixture import raw_trips
 
@@ -35,6 +37,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._snapshots: dict[str, DataFrame] = {}
 
     def _stored(self, name: str, table: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
         if self.spark.conf.get("spark.tripweave.lazyTables", "false") == "true":
@@ -44,6 +47,17 @@ class Workspace:
             write(table, path)
         return self.spark.read.schema(table.schema).parquet(path)
 
+    def snapshot(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame as a table of the catalog, in buckets of its rides' start and stop; stored by the first query that needs it."""
+        if name not in self._snapshots:
+            frame = build()
+            if self.spark.conf.get("spark.tripweave.lazyTables", "false") != "true":
+                table, cores = f"tripweave_{name}_{uuid.uuid4().hex[:8]}", self.spark.sparkContext.defaultParallelism
+                write_snapshot(frame, table, bucket_count(0, cores), path=scratch_path(self.spark, name))
+                frame = read_snapshot(self.spark, table)
+            self._snapshots[name] = frame
+        return self._snapshots[name]
+
     @cached_property
     def raw(self) -> DataFrame:
         return raw_trips(self.spark, self.sf_dir)
