@@ -64,7 +64,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; a source is an owner, a document a repository of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = find_secrets(docs, owner_col="source", repo_col="doc_id")
+    found = find_secrets(docs, owner_col="source", repo_col="doc_id", keep=["doc_id", "source"])
     base = F.filter("secrets", lambda x: x["kind"].isin(*BASE))
 
     def of(kind: str) -> Column:
