@@ -2,7 +2,7 @@
 
 A shard's graph grows in batches: a greedy search from the entry point proposes neighbours, and of these an edge is kept only if no kept
 neighbour is nearer to its end by the factor alpha, which leaves few but diverse edges. Queries run a beam search in every shard; what it
-returns is ranked by the exact measure. Inner products become distances by one more coordinate that gives all vectors one norm.
+returns is ranked by the exact measure. Inner products become distances by one more coordinate that gives all vectors of a shard one norm.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: in
     """For each query the ``beam`` nearest points that a best-first walk meets, nearest first; -1 where there are fewer."""
     b, n = len(queries), len(x)
     norm = (x * x).sum(axis=1)
-    ids, dist = np.full((b, beam), -1, np.int64), np.full((b, beam), np.inf, np.float32)
+    ids, dist = np.full((b, beam), -1, np.int64), np.full((b, beam), np.inf)
     open_, met = np.zeros((b, beam), bool), np.zeros((b, n + 1), bool)
     ids[:, 0], open_[:, 0], met[:, entry], met[:, n] = entry, True, True, True
     dist[:, 0] = norm[entry] - 2 * (queries @ x[entry])
@@ -42,7 +42,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: in
         met[active[:, None], near] = True
         near = np.where(new, near, 0)
         d = norm[near] - 2 * np.matmul(x[near], queries[active][:, :, None])[:, :, 0]
-        d = np.where(new, d, np.inf).astype(np.float32)
+        d = np.where(new, d, np.inf)
         all_d = np.hstack([dist[active], d])
         order = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
         take = lambda a, c, o=order: np.take_along_axis(np.hstack([a[active], c]), o, axis=1)
@@ -125,7 +125,7 @@ def _blob(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
 
 
-def _index(longest: float, degree: int, beam: int, alpha: float, keep: int):
+def _index(degree: int, beam: int, alpha: float, keep: int):
     """Distinct vectors of a shard with their smallest ids, and their graph: one row."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -134,7 +134,7 @@ def _index(longest: float, degree: int, beam: int, alpha: float, keep: int):
             ids.setdefault(v, []).extend(some)
         vectors = np.frombuffer(b"".join(ids), "<f8").reshape(len(ids), -1)
         own = [sorted(i)[:keep] for i in ids.values()]
-        graph, entry = build_graph(_lifted(vectors, longest), degree, beam, alpha)
+        graph, entry = build_graph(_lifted(vectors), degree, beam, alpha)
         return pa.table(
             {
                 "dim": pa.array([key[0].as_py()], pa.int32()),
@@ -149,13 +149,31 @@ def _index(longest: float, degree: int, beam: int, alpha: float, keep: int):
     return run
 
 
-def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
-    """All with norm 1, inner products to lifted queries in the order of those to queries."""
-    x = vectors / longest
-    return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))]).astype(np.float32)
+def _lifted(vectors: np.ndarray) -> np.ndarray:
+    """All of a shard with norm 1, inner products to lifted queries in the order of those to queries.
+
+    The shard's own longest vector is the measure, so that a very long one squeezes no other shard.
+    """
+    x = vectors / np.abs(vectors).max()
+    x /= np.sqrt((x * x).sum(axis=1).max()) * (1 + 1e-9)
+    return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
+
+
+def _fitting_beam(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: int, beam: int, k: int, recall: float) -> int:
+    """The beam, doubled until it finds the share ``recall`` of the ``k`` nearest of some queries, which a whole scan tells."""
+    width, k = min(beam, len(x)), min(k, len(x))
+    scores = queries @ x.T
+    least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k, None]
+    while width < len(x):
+        found = beam_search(x, graph, queries, entry, width)
+        near = np.take_along_axis(scores, np.maximum(found, 0), axis=1)
+        if ((near >= least) & (found >= 0)).sum(axis=1).clip(max=k).mean() >= recall * k:
+            break
+        width = min(2 * width, len(x))
+    return width
 
 
-def _ask(k: int, longest: float, degree: int, beam: int):
+def _ask(k: int, degree: int, beam: int, recall: float, probes: int = 48):
     """The ``k`` nearest of a shard for each query, by the exact measure; ties to the smaller id."""
 
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
@@ -164,15 +182,17 @@ def _ask(k: int, longest: float, degree: int, beam: int):
             dim = index.column("dim")[0].as_py()
             vectors = np.frombuffer(index.column("vectors")[0].as_py(), "<f8").reshape(-1, dim)
             graph = np.frombuffer(index.column("graph")[0].as_py(), "<i4").reshape(-1, degree).astype(np.int64)
-            ids, entry, x = index.column("ids")[0].as_py(), index.column("entry")[0].as_py(), _lifted(vectors, longest)
+            ids, entry, x = index.column("ids")[0].as_py(), index.column("entry")[0].as_py(), _lifted(vectors)
             queries = np.frombuffer(b"".join(asked.column("vector").to_pylist()), "<f8").reshape(-1, dim)
             names = asked.column("query_id").to_pylist()
-            width = min(beam, len(x))
-            for at in range(0, len(queries), 256):
-                some = queries[at : at + 256]
-                scale = np.maximum(np.abs(some).max(axis=1, keepdims=True), 1e-300)
-                found = beam_search(x, graph, np.hstack([some / scale, np.zeros((len(some), 1))]).astype(np.float32), entry, width)
-                for name, q, near in zip(names[at : at + 256], some, found, strict=True):
+            scaled = queries / np.maximum(np.abs(queries).max(axis=1, keepdims=True), 1e-300)
+            scaled = np.hstack([scaled, np.zeros((len(scaled), 1))])
+            width = _fitting_beam(x, graph, scaled[:: -(-len(scaled) // probes)], entry, beam, k + 1, recall)
+            step = max(1, min(256, 32_000_000 // max(len(x), 4 * width)))
+            for at in range(0, len(queries), step):
+                some = queries[at : at + step]
+                found = beam_search(x, graph, scaled[at : at + step], entry, width)
+                for name, q, near in zip(names[at : at + step], some, found, strict=True):
                     near = near[near >= 0]
                     scores = (vectors[near] * q).sum(axis=1).tolist()
                     best = sorted((-s, i) for s, c in zip(scores, near.tolist(), strict=True) for i in ids[c] if i != name)[:k]
@@ -184,7 +204,7 @@ def _ask(k: int, longest: float, degree: int, beam: int):
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = 8192, degree: int = 32, build_beam: int = 64, search_beam: int = 160, alpha: float = 1.2, part: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = 8192, most: int = 65_536, degree: int = 32, build_beam: int = 64, search_beam: int = 160, recall: float = 0.98, alpha: float = 1.2, part: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), the id and ``score``: for each query the ``k`` nearest other vectors found, all if there are fewer.
 
@@ -193,18 +213,18 @@ def nearest(
     length are compared. Equal vectors are one point of a graph; it keeps their ``k + 1`` smallest ids, and no other of them can be among
     the nearest. Repeated rows of a query are one query. Other columns are ignored; an empty table gives no rows.
 
-    Every vector is indexed: shards are dealt by the vectors' hashes, one task builds one of about ``shard``. Every query searches every shard,
-    in parts of ``part`` queries.
+    Every vector is indexed: shards are dealt by the vectors' hashes, one task builds one of about ``shard``; tables of more than 64 shards get larger
+    ones, up to ``most``. Every query searches every shard, in parts of ``part`` queries. The beam starts at ``search_beam`` and is doubled per shard and part
+    until 48 of the queries find the share ``recall`` of their nearest in the shard: vectors of very uneven length need a wider one.
     """
 
     def rows(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & takes_part("v"))
 
     points = rows(vectors)
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    n, longest = points.agg(F.count("*"), F.sqrt(F.max(squares))).first()
+    n = points.count()
     asked_n = rows(queries).count()
-    shards, parts, longest = max(1, -(-n // shard)), max(1, -(-asked_n // part)), float(longest or 1.0) * (1 + 1e-9)
+    shards, parts = max(1, -(-n // max(shard, min(most, n // 64)))), max(1, -(-asked_n // part))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +238,7 @@ def nearest(
             )
 
     dealt = points.mapInArrow(deal, "dim int, shard long, vector binary, ids array<long>")
-    index = stored(dealt.groupBy("dim", "shard").applyInArrow(_index(longest, degree, build_beam, alpha, k + 1), "dim int, shard long, vectors binary, ids array<array<long>>, graph binary, entry long"), "index")
+    index = stored(dealt.groupBy("dim", "shard").applyInArrow(_index(degree, build_beam, alpha, k + 1), "dim int, shard long, vectors binary, ids array<array<long>>, graph binary, entry long"), "index")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +248,7 @@ def nearest(
     asked = rows(queries).dropDuplicates(["id"]).mapInArrow(pack, "query_id long, dim int, vector binary")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     spread = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    found = spread.groupBy("dim", "shard", "part").cogroup(asked.groupBy("dim", "shard", "part")).applyInArrow(_ask(k, longest, degree, search_beam), "query_id long, vec_id long, score double")
+    found = spread.groupBy("dim", "shard", "part").cogroup(asked.groupBy("dim", "shard", "part")).applyInArrow(_ask(k, degree, search_beam, recall), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
