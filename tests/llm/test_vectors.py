@@ -146,19 +146,83 @@ def test_links_and_their_sql(spark, tmp_path):
     assert found.filter("n_links > 0").count() >= 100
 
 
-def test_planned_tables_reach_the_pairs_at_the_threshold():
-    for n in (1000, 10**6, 10**9):
-        width, tables = qn.plan_tables(n, 0.95)
-        same = (1 - math.acos(0.95) / math.pi) ** width
-        assert (1 - same) ** tables <= 0.001 and 8 <= width <= 16
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((2000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def at_cosine(rng, x, cosine):
+    """For each unit vector one at a cosine to it, towards any direction."""
     noise = rng.standard_normal(x.shape)
     noise -= (noise * x).sum(axis=1, keepdims=True) * x
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    y = 0.95 * x + math.sqrt(1 - 0.95**2) * noise
-    width, tables = qn.plan_tables(50_000, 0.95)
-    mean, projection = qn.rotations(x, width * tables)
-    met = (qn._codes(x, mean, projection, width) == qn._codes(y, mean, projection, width)).any(axis=1)
-    assert met.mean() > 0.99
+    return cosine * x + math.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def common_direction(rng, n, cosine, dim=64):
+    """Unit vectors with a mean cosine to each other of about ``cosine``."""
+    side = np.zeros(dim)
+    side[0] = math.sqrt(cosine / (1 - cosine)) * math.sqrt(dim)
+    return unit(rng.standard_normal((n, dim)) + side)
+
+
+def tight_cluster(rng, n, dim=64):
+    """Four fifths lie close to one direction."""
+    side = np.zeros(dim)
+    side[0] = math.sqrt(dim)
+    return unit(np.where(np.arange(n)[:, None] % 5 > 0, side + 0.5 * rng.standard_normal((n, dim)), rng.standard_normal((n, dim))))
+
+
+TABLES = {"centred": lambda rng, n: unit(rng.standard_normal((n, 64))), "mean 0.63": lambda rng, n: common_direction(rng, n, 0.63), "mean 0.8": lambda rng, n: common_direction(rng, n, 0.8), "cluster": tight_cluster}
+
+
+@pytest.mark.parametrize("kind", TABLES)
+@pytest.mark.parametrize("width", [8, 11, 16])
+def test_pairs_near_the_threshold_meet(kind, width):
+    rng = np.random.default_rng(width)
+    x = TABLES[kind](rng, 6000)
+    mean, projection = qn.rotations(x, 1024, rounds=8)
+    tables = qn.tables_needed(qn.flip_shares(x, mean, projection, 0.95)[0], width)
+    mean, projection = qn.rotations(x, tables * width, rounds=8)
+    y = at_cosine(rng, x, 0.955)
+    met = np.zeros(len(x), bool)
+    for at in range(0, tables * width, width):
+        some = projection[:, at : at + width]
+        met |= qn._codes(x, mean, some, width)[:, 0] == qn._codes(y, mean, some, width)[:, 0]
+    assert met.mean() >= 0.998
+
+
+def test_wider_substrings_for_more_vectors():
+    x = TABLES["centred"](np.random.default_rng(0), 4000)
+    flips = qn.flip_shares(x, *qn.rotations(x, 1024, rounds=5), 0.95)
+    plans = [qn.plan_tables(n, *flips) for n in (10**3, 10**6, 10**9, 10**11)]
+    widths = [w for _, w, _ in plans]
+    assert widths == sorted(widths) and 8 <= widths[0] and 16 < widths[-1] <= 32
+    assert all(qn.tables_needed(flips[0], w) == t for _, w, t in plans)
+
+
+def test_vectors_around_their_mean_are_cut_around_zero():
+    """Two vectors with the mean between them: around it, all their bits differ."""
+    mean, projection, width = qn.learn(unit(np.array([[1.0, 0.0], [1.0, 0.01]])), 2, 0.95)
+    assert not mean.any() and projection.shape[1] % width == 0
+    x = TABLES["centred"](np.random.default_rng(3), 3000) + 0.05
+    assert qn.learn(unit(x), 10**8, 0.95)[0].any()
+
+
+def test_links_of_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(1)
+    x = common_direction(rng, 1500, 0.8)
+    x = np.vstack([x, at_cosine(rng, x[:500], 0.955)]).astype(np.float32)
+    found = qn.near_duplicate_vectors(frame(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)]), 0.95).collect()
+    y = unit(x.astype(np.float64))
+    assert sum(r.n_links for r in found) >= 0.998 * (int((y @ y.T >= 0.95).sum()) - len(y))
+
+
+@pytest.mark.parametrize("kind", ["one long row", "uneven", "uneven and one long row"])
+def test_neighbours_of_vectors_of_uneven_length(spark, kind):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2400, 32)) * (1 if kind == "one long row" else rng.lognormal(0, 0.7, (2400, 1)))
+    if kind != "uneven":
+        x[7] *= 10_000
+    rows = [(i, [float(v) for v in r.astype(np.float32)]) for i, r in enumerate(x)]
+    vectors = frame(spark, rows)
+    found = gs.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20, shard=1200)
+    compare_nearest(found.collect(), rows, recall=0.95)
