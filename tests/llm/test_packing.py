@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import EDGES
-from tripweave.llm.packing import pack
+from tripweave.llm.packing import in_stored_order, pack
 from tripweave.llm.queries import TOKENIZER, op1_packing
 from tripweave.llm.tokens import Encoder
 
@@ -17,7 +17,6 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def model():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return t
 
 
@@ -42,12 +41,17 @@ def check(pieces, docs, model, size=4096):
     assert not any(open_.values())
 
 
+def test_order_needs_files(docs_of):
+    with pytest.raises(ValueError):
+        in_stored_order(docs_of(EDGES))
+
+
 def test_edges(docs_of, model):
-    docs = docs_of(EDGES, clashes=True)
+    docs = docs_of([*EDGES, (8, "<|endoftext|>test")], clashes=True)
     pieces = pack(docs, TOKENIZER)
     assert pieces.columns == ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
     found = pieces.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))).toPandas()
-    check(found, [(r[0], r[1]) for r in EDGES], model)
+    check(found, [(r[0], r[1]) for r in EDGES] + [(8, "<|endoftext|>test")], model)
     assert pack(docs.limit(0), TOKENIZER).count() == 0
 
 
@@ -74,6 +78,6 @@ def test_query(spark, model):
 
 def test_words_by_memory_are_the_tokenizer_s(model):
     encoder = Encoder(TOKENIZER, memory=50, segment=20)
-    texts = ["It's the end, isn't it?", "ßtraße ÀÉÎİ Σας ΣΑΣ", "á combined", "x" * 100, "<|endoftext|> 12½ ²", "tab\tand\x1fodd space", "", " ", "中文!!", "don''t 're'"]
+    texts = ["It's the end, isn't it?", "ßtraße ÀÉÎİ Σας ΣΑΣ", "á combined", "x" * 100, "<|endoftext|> 12½ ²", "<|endoftext|>test", "a <|STARTOFTEXT|> b<|endoftext|>", "<|endoftext", "tab\tand\x1fodd space", "", " ", "中文!!", "don''t 're'"]
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]

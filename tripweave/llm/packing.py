@@ -141,12 +141,13 @@ def in_stored_order(docs: DataFrame) -> DataFrame:
     """The rows of an ordered table that was written to Parquet, again in that order over partitions and within them.
 
     Spark deals files to tasks by size. Their names have the number of the task that wrote them and, with a limit of rows a file,
-    a count of its files; with the row's position in the file these restore the order. What is not read from files stays as it is.
+    a count of its files; with the row's position in the file these restore the order. A frame that is not read from Parquet files
+    raises, for its order would be lost in silence.
     """
     try:
         placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    except AnalysisException:
-        return docs
+    except AnalysisException as e:
+        raise ValueError("the order of rows is known for tables read from Parquet files only") from e
     number = [F.regexp_extract("_file", pattern, 1).try_cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
     return placed.orderBy(*number, "_file", "_at").select("_doc.*")
 

@@ -55,14 +55,15 @@ class Encoder:
     """A tokenizer file with a bounded memory of words and their pieces.
 
     Words repeat; each is cut into pieces and encoded once and then looked up, which is several times as fast as encoding
-    whole texts. For vocabularies with the pattern above that lower-case and drop white space.
+    whole texts. For vocabularies with the pattern above that lower-case and drop white space. As the tokenizer has it by default, the
+    strings of its special tokens stand for these tokens; texts with one go through it as a whole.
     """
 
     def __init__(self, path: str, memory: int = 400_000, segment: int = 250_000):
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.merge = self.model.model.tokenize
         self.memory, self.segment = memory, segment
         self.letters = _byte_letters()
@@ -99,9 +100,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; empty for an empty text."""
         parts = [(i, s) for i, t in enumerate(texts) for s in _segments(t, self.segment)]
-        plain = [bool(_PLAIN.fullmatch(s)) for _, s in parts]
+        low = [s.lower() for _, s in parts]
+        plain = [bool(_PLAIN.fullmatch(s)) and not any(t in x for t in self.special) for (_, s), x in zip(parts, low, strict=True)]
         out: list[list[bytes]] = [[] for _ in texts]
-        found = iter(self._by_word([s.lower().split() for (_, s), p in zip(parts, plain, strict=True) if p]))
+        found = iter(self._by_word([x.split() for x, p in zip(low, plain, strict=True) if p]))
         for (i, s), p in zip(parts, plain, strict=True):
             out[i].append(next(found) if p else self._packed(self.model.encode(s, add_special_tokens=False).ids))
         return [b"".join(x) if len(x) != 1 else x[0] for x in out]
