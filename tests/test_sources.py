@@ -2,12 +2,13 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tests.test_normalize import ERA1, ERA3
 from tripweave.operators.normalize import normalize
-from tripweave.sources import archives, headers, manifest, months, tables
+from tripweave.sources import archive_source, archives, headers, manifest, months, tables
 from tripweave.sources import csv as trip_csv
 
 SECOND = [
@@ -170,6 +171,64 @@ def test_chunks_hold_each_line_once(size, ending):
         assert all(len(c) >= size for c in chunks[:-1])
 
 
+def source_rows(df):
+    out = normalize(df, publisher=F.col("publisher"), keep=["src_ym", "publisher"])
+    return rows(out)
+
+
+def test_source_reads_what_the_archive_reader_reads(spark, archive_dir):
+    for name_type in (1, 2):
+        for chunk_bytes in (7, 1 << 20):
+            found = archive_source.scan_archives(spark, archive_dir, name_type, chunk_bytes)
+            assert source_rows(found) == source_rows(archives.read_trip_archives(spark, archive_dir, name_type))
+    with pytest.raises(Exception, match="no type 1 member for month 201402"):
+        archive_source.scan_archives(spark, archive_dir, 11).collect()
+
+
+@pytest.mark.parametrize(
+    ("condition", "members"),
+    [("src_ym = 202404", 1), ("src_ym >= 202101 AND src_ym < 202405", 2), ("src_ym IN (201401, 202409)", 4), ("publisher = 'JC'", 1), ("publisher = 'NYC' AND src_ym > 202000 AND ride_id <> 'R6'", 3), ("src_ym = 190001", 0), ("publisher IS NULL", 0), ("src_ym <> 201401", 7)],
+)
+def test_source_makes_partitions_of_wanted_members_only(spark, archive_dir, condition, members):
+    found = archive_source.scan_archives(spark, f"file://{archive_dir}").where(condition)
+    assert source_rows(found) == source_rows(archives.read_trip_archives(spark, archive_dir).where(condition))
+    assert found.rdd.getNumPartitions() == max(1, members)
+
+
+def test_source_opens_wanted_members_only(archive_dir, monkeypatch):
+    """Headers of other months are not read, archives of other publishers not even opened."""
+    opened, members = [], []
+    open_file, open_member = archives.open_file, zipfile.ZipFile.open
+    monkeypatch.setattr(archives, "open_file", lambda p: opened.append(p.rsplit("/", 1)[-1]) or open_file(p))
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: members.append(name) or open_member(self, name, *a, **k))
+    reader = archive_source.TripArchiveReader({"path": str(archive_dir)})
+    filters = [ds.EqualTo(("publisher",), "NYC"), ds.LessThan(("src_ym",), 201402), ds.EqualTo(("ride_id",), "R1"), ds.EqualTo(("src_ym",), None)]
+    assert list(reader.pushFilters(filters)) == filters[2:]
+    assert [(m.src_ym, m.layout) for m in reader.partitions()] == [(201401, 1)] * 2
+    assert not any(n.startswith("JC-") for n in opened)
+    assert [n for n in members if n.endswith(".csv")] and all("201401" in n or n.endswith(".zip") for n in members)
+    before = len(members)
+    for m in reader.partitions():
+        assert sum(b.num_rows for b in reader.read(m)) == 1
+    assert len(members) > before
+
+
+def test_source_refuses_differing_headers(spark, tmp_path):
+    (tmp_path / "202405-trips.zip").write_bytes(zipped({"202405-a.csv": csv_text(ERA3, LINE3.format(1)), "202405-b.csv": csv_text(ERA1, LINE1.format(1))}))
+    with pytest.raises(Exception, match="headers differ within month 202405"):
+        archive_source.scan_archives(spark, str(tmp_path)).collect()
+
+
+def test_a_large_nested_archive_is_read_in_place(tmp_path, monkeypatch):
+    lines = "\n".join(LINE3.format(i) for i in range(500))
+    (tmp_path / "202409-trips.zip").write_bytes(zipped({"a.csv.zip": zipped({"202409-trips_1.csv": csv_text(ERA3, lines)})}))
+    monkeypatch.setattr(archives, "NESTED_BYTES", 10)
+    monkeypatch.setattr(archives.shutil, "copyfileobj", None)
+    reader = archive_source.TripArchiveReader({"path": str(tmp_path)})
+    (member,) = reader.partitions()
+    assert sum(b.num_rows for b in reader.read(member)) == 500
+
+
 def test_files_of_any_store(tmp_path):
     (tmp_path / "b.zip").write_bytes(b"12345")
     for address in (f"{tmp_path}/b.zip", f"file:{tmp_path}/b.zip", f"file://{tmp_path}/b.zip"):

@@ -18,7 +18,7 @@ from tripweave.plans.station_queries import INDEX_SQL, PAIR_TABLES, PAIRS_SQL, S
 from tripweave.schema import RIDE_COLUMNS
 from tripweave.session import jit_sized_codegen, scratch_path
 from tripweave.sinks import writers
-from tripweave.sources import archives, manifest, months, tables
+from tripweave.sources import archive_source, archives, manifest, months, tables
 from tripweave.sources import csv as trip_csv
 from tripweave.sources.archive_fixture import HEADERS, as_text, write_monthly_archives
 
@@ -338,19 +338,36 @@ def _(w):
     return trip_csv.read_trip_csv(w.spark, path).select(*[c for c in HEADERS if c[-4:] not in ("_lat", "_lng")], *places)
 
 
-@query(
-    "archive_scan",
-    with_prelude(
-        f"""SELECT {_RIDE}, CAST(year(start_time) * 100 + month(start_time) AS INT) AS src_ym
+_ARCHIVED = f"""SELECT {_RIDE}, CAST(year(start_time) * 100 + month(start_time) AS INT) AS src_ym
         FROM (SELECT * REPLACE (0 AS gender, NULL::INT AS birth_year, NULL::INT AS bike_id) FROM normalized)"""
-    ),
-)
-def _(w):
-    """Monthly zip archives, plain and nested, members cut into chunks, read on the executors."""
+
+
+def _archives(w) -> str:
+    """Monthly zip archives, plain and nested."""
     folder = scratch_path(w.spark, "archives")
     with jit_sized_codegen(w.spark):
         write_monthly_archives(w.raw, folder).write.format("noop").mode("overwrite").save()
-    rows = archives.read_trip_archives(w.spark, folder, chunk_bytes=1 << 16)
+    return folder
+
+
+@query("archive_scan", with_prelude(_ARCHIVED))
+def _(w):
+    """All members of monthly archives through the data source, a partition each."""
+    rows = archive_source.scan_archives(w.spark, _archives(w), chunk_bytes=1 << 16)
+    return normalize(rows, publisher=F.col("publisher"), keep=["src_ym", "publisher"]).drop("publisher")
+
+
+@query("archive_scan_months", with_prelude(f"SELECT * FROM ({_ARCHIVED}) WHERE src_ym BETWEEN 199601 AND 199603"))
+def _(w):
+    """Three months of the archives: the filter reaches the listing, no other member is opened."""
+    rows = archive_source.scan_archives(w.spark, _archives(w)).where(F.col("src_ym").between(199601, 199603))
+    return normalize(rows, publisher=F.col("publisher"), keep=["src_ym", "publisher"]).drop("publisher")
+
+
+@query("archive_scan_shared", with_prelude(_ARCHIVED))
+def _(w):
+    """Members cut into chunks that all tasks parse."""
+    rows = archives.read_trip_archives(w.spark, _archives(w), chunk_bytes=1 << 16)
     return normalize(rows, publisher=F.col("publisher"), keep=["src_ym", "publisher"]).drop("publisher")
 
 

@@ -13,9 +13,8 @@ import csv
 import io
 import re
 import shutil
-import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import ExitStack
 
 import pandas as pd
@@ -35,7 +34,7 @@ from tripweave.sources.headers import canonical_name, unexpected_headers
 CHUNK_BYTES = 8 << 20
 READ_BYTES, PARSE_BYTES = 1 << 30, 128 << 20
 
-#: A nested archive up to this size is unpacked in memory, a larger one to the task's temporary folder while it is read.
+#: A nested archive up to this size is unpacked in memory; a larger one is read through the outer one, from its start for each step back.
 NESTED_BYTES = 256 << 20
 
 # A nested archive is addressed as ``outer member!inner member``.
@@ -71,11 +70,16 @@ ROW_SCHEMA = T.StructType(
 )
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """A seekable file of any store Arrow knows: plain paths and file:, s3: (also s3a:), gs:, hdfs: and abfs: addresses."""
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of an address and the name there: plain paths and file:, s3: (also s3a:), gs:, hdfs: and abfs: addresses."""
     if not re.match(r"^[a-z][a-z0-9+.-]*:/", path):
-        return pafs.LocalFileSystem().open_input_file(path)
-    store, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A seekable file of any store Arrow knows."""
+    store, name = locate(path)
     return store.open_input_file(name)
 
 
@@ -95,11 +99,13 @@ class _Opened:
             self.close()
             found = self._stack.enter_context(zipfile.ZipFile(self._stack.enter_context(open_file(archive))))
             if nested is not None:
-                copy = self._stack.enter_context(tempfile.SpooledTemporaryFile(max_size=NESTED_BYTES))
-                with found.open(nested) as inner:
+                inner = self._stack.enter_context(found.open(nested))
+                if found.getinfo(nested).file_size <= NESTED_BYTES:
+                    copy = io.BytesIO()
                     shutil.copyfileobj(inner, copy, 1 << 20)
-                copy.seek(0)
-                found = self._stack.enter_context(zipfile.ZipFile(copy))
+                    copy.seek(0)
+                    inner = copy
+                found = self._stack.enter_context(zipfile.ZipFile(inner))
             self._names, self._zip = (archive, nested), found
         return self._zip
 
@@ -139,8 +145,13 @@ def _member_month(*names: str) -> int:
     return next((int(m[1] + m[2]) for m in found if m), 0)
 
 
-def _members(archive: str, opened: _Opened) -> Iterator[tuple[str, int, int, int, str]]:
-    """(member, layout, month, size, header) of the CSVs of an archive.
+def publisher_of(archive: str) -> str:
+    """Who published an archive, by its name."""
+    return "JC" if archive.rsplit("/", 1)[-1].startswith("JC-") else "NYC"
+
+
+def _members(archive: str, opened: _Opened, wanted: Callable[[int], bool] = lambda ym: True) -> Iterator[tuple[str, int, int, int, str]]:
+    """(member, layout, month, size, header) of the CSVs of an archive, of wanted months only; no other member is opened.
 
     Whole-year archives hold plain CSVs in one of two layouts up to 2019 and one archive per month after.
     Monthly archives hold plain CSVs or, if there are none, archives of CSVs. Members whose path starts with an
@@ -159,15 +170,16 @@ def _members(archive: str, opened: _Opened) -> Iterator[tuple[str, int, int, int
     if year is not None:
         plain = [] if year >= 2020 else [i for i in plain if member_layout(i.filename)]
     for info in plain:
-        layout = member_layout(info.filename) if year is not None else 0
-        yield info.filename, layout, _member_month(info.filename, archive), info.file_size, header(outer, info.filename)
+        layout, ym = member_layout(info.filename) if year is not None else 0, _member_month(info.filename, archive)
+        if wanted(ym):
+            yield info.filename, layout, ym, info.file_size, header(outer, info.filename)
     if plain:
         return
     for name in nested:
         inner = opened.archive(archive, name)
         for part in inner.infolist():
-            if part.filename.endswith(".csv") and not part.filename.startswith("_"):
-                yield f"{name}{NESTED}{part.filename}", 0, _member_month(part.filename, name, archive), part.file_size, header(inner, part.filename)
+            if part.filename.endswith(".csv") and not part.filename.startswith("_") and wanted(ym := _member_month(part.filename, name, archive)):
+                yield f"{name}{NESTED}{part.filename}", 0, ym, part.file_size, header(inner, part.filename)
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -177,7 +189,7 @@ def list_members(archives: DataFrame) -> DataFrame:
         opened = _Opened()
         for batch in batches:
             for path in batch["path"]:
-                publisher = "JC" if path.rsplit("/", 1)[-1].startswith("JC-") else "NYC"
+                publisher = publisher_of(path)
                 rows = [(path, member, layout, ym, publisher, header, unexpected_headers(split_header(header)), size) for member, layout, ym, size, header in _members(path, opened)]
                 yield pd.DataFrame(rows, columns=MEMBER_SCHEMA.fieldNames())
         opened.close()
@@ -251,6 +263,22 @@ def _parse(chunk: bytes, header: str) -> Iterator[pa.RecordBatch]:
         yield from pacsv.open_csv(pa.BufferReader(chunk), read_options=pacsv.ReadOptions(column_names=names), convert_options=convert)
 
 
+def raw_rows(chunk: bytes, header: str, provenance: dict) -> Iterator[pa.RecordBatch]:
+    """The lines of a chunk as rows of ``ROW_SCHEMA``."""
+    schema = pa.schema([(f.name, pa.int32() if f.name == "src_ym" else pa.string()) for f in ROW_SCHEMA.fields])
+    for rows in _parse(chunk, header):
+        found = {canonical_name(n): rows.column(i) for i, n in enumerate(rows.schema.names) if canonical_name(n)}
+        # Eras without these columns mean the default, eras with them may still have nulls.
+        constant = provenance | {c: v for c, v in DEFAULTS.items() if c not in found}
+        columns = []
+        for field in schema:
+            if field.name in constant:
+                columns.append(pa.repeat(pa.scalar(constant[field.name], field.type), rows.num_rows))
+            else:
+                columns.append(found[field.name] if field.name in found else pa.nulls(rows.num_rows, field.type))
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def read_members(members: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of the listed members as text columns with canonical names, plus provenance.
 
@@ -271,21 +299,9 @@ def read_members(members: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         opened.close()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(f.name, pa.int32() if f.name == "src_ym" else pa.string()) for f in ROW_SCHEMA.fields])
         for batch in batches:
             for m in batch.to_pylist():
-                for rows in _parse(m["chunk"], m["header"]):
-                    found = {canonical_name(n): rows.column(i) for i, n in enumerate(rows.schema.names) if canonical_name(n)}
-                    constant = {c: m[c] for c in PROVENANCE_FIELDS}
-                    # Eras without these columns mean the default, eras with them may still have nulls.
-                    constant |= {c: v for c, v in DEFAULTS.items() if c not in found}
-                    columns = []
-                    for field in schema:
-                        if field.name in constant:
-                            columns.append(pa.repeat(pa.scalar(constant[field.name], field.type), rows.num_rows))
-                        else:
-                            columns.append(found[field.name] if field.name in found else pa.nulls(rows.num_rows, field.type))
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                yield from raw_rows(m["chunk"], m["header"], {c: m[c] for c in PROVENANCE_FIELDS})
 
     listed = members.select("archive", "member", "src_ym", "publisher", "header")
     together = listed.repartition(readers, "archive", F.substring_index("member", NESTED, 1)).sortWithinPartitions("archive", "member")
