@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tripweave.operators.normalize import add_slice_columns, normalize
+from tripweave.operators.normalize import add_slice_columns, domain_failures, normalize
 from tripweave.schema import RIDE_COLUMNS, RIDE_SCHEMA
 from tripweave.sources import headers
 
@@ -87,3 +87,13 @@ def test_normalised_rows_pass_through(spark, rides_of):
 def test_slices(rides_of):
     row = add_slice_columns(rides_of({})).first()
     assert (row.start_ym, row.end_ym) == (202001, 202002)
+
+
+def test_codes_outside_their_domain(spark):
+    rows_ = [("weird", "Z", "scooter"), ("Subscriber", "1", "docked_bike"), ("Customer", "7", None), (None, None, "unknown"), ("weird", "1.0", "classic_bike")]
+    df = spark.createDataFrame([(*r, "2020-01-01 00:00:00", "2020-01-01 00:01:00") for r in rows_], "usertype string, gender string, rideable_type string, starttime string, stoptime string")
+    found = domain_failures(df)
+    assert rows(found) == [("gender", "7", 1), ("gender", "Z", 1), ("rideable_type", "scooter", 1), ("user_type", "weird", 2)]
+    assert domain_failures(df.select("starttime", "stoptime")).count() == 0
+    era3 = df.selectExpr("usertype as member_casual", "starttime as started_at", "stoptime as ended_at")
+    assert rows(domain_failures(era3)) == [("member_casual", "Customer", 1), ("member_casual", "Subscriber", 1), ("member_casual", "weird", 2)]

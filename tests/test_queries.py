@@ -1,6 +1,9 @@
 """Every registered query against its SQL twin, and what its plan may not contain."""
 
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -48,3 +51,11 @@ def test_one_scan_for_the_station_table(spark):
 def test_all_queries_are_registered():
     assert set(queries()) <= set(registered())
     assert set(TWINS) <= set(oracle_sql()) <= set(registered())
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "tripweave.llm.queries", "corpus_pipeline", "xxhash"])
+def test_trip_queries_do_without_what_only_the_corpus_needs(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parent.parent)
+    found, twins = (set(line.split()) for line in done.stdout.splitlines())
+    assert found == set(queries()) and twins == set(TWINS) and "left out" in done.stderr

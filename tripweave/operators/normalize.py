@@ -103,6 +103,27 @@ def cast_failures(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_failed")) for c in one.columns])))
 
 
+def domain_failures(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Per code column and value outside its domain, how many rows have it: ``column, value, n``.
+
+    ``normalize`` makes such user types and bike types null and keeps such a gender only if it is a number. One pass; what is shuffled is a row per
+    odd value and task.
+    """
+    src = harmonize_columns(df, list(keep))
+    known = {"rideable_type": codes.rideable_type, "member_casual": codes.member_casual, "user_type": lambda c: codes.closed_domain(c, codes.USER_TYPES)}
+    odd = []
+    for name in ("rideable_type", "member_casual", "user_type", "gender"):
+        if name not in src.columns or (name == "user_type" and "member_casual" in src.columns):
+            continue
+        text = F.col(name).cast("string")
+        inside = codes.gender_code(text).isin(sorted(codes.GENDER_LETTERS)) if name == "gender" else known[name](F.col(name)).isNotNull()
+        odd.append(F.when(text.isNotNull() & ~F.coalesce(inside, F.lit(False)), F.struct(F.lit(name).alias("column"), text.alias("value"))))
+    if not odd:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long")
+    found = src.select(F.explode(F.array_compact(F.array(*odd))).alias("o")).select("o.*")
+    return found.groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
 def unexpected_values(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Columns that no header era knows and ``normalize`` therefore leaves out, with the number of values they hold."""
     odd = unexpected_headers([c for c in df.columns if c not in set(keep)])

@@ -10,7 +10,7 @@ from tripweave.functions import codes, regions, temporal, text
 from tripweave.operators import aggregate as agg
 from tripweave.operators import quality, reconcile
 from tripweave.operators import stations as st
-from tripweave.operators.normalize import add_slice_columns, cast_failures, normalize, unexpected_values
+from tripweave.operators.normalize import add_slice_columns, cast_failures, domain_failures, normalize, unexpected_values
 from tripweave.plans.aggregate_queries import CUBE_SQL, DISPLAY_SQL
 from tripweave.plans.prelude import keyed, region_sql, with_prelude
 from tripweave.plans.registry import query
@@ -20,7 +20,7 @@ from tripweave.session import jit_sized_codegen, scratch_path
 from tripweave.sinks import writers
 from tripweave.sources import archive_source, archives, manifest, months, tables
 from tripweave.sources import csv as trip_csv
-from tripweave.sources.archive_fixture import HEADERS, as_text, write_monthly_archives
+from tripweave.sources.archive_fixture import HEADERS, as_text, write_monthly_archives, write_yearly_archives
 
 _RIDE = ", ".join(RIDE_COLUMNS)
 
@@ -364,6 +364,16 @@ def _(w):
     return normalize(rows, publisher=F.col("publisher"), keep=["src_ym", "publisher"]).drop("publisher")
 
 
+@query("archive_scan_years", with_prelude(_ARCHIVED))
+def _(w):
+    """Whole-year archives that hold every month in two layouts, of which one is read."""
+    folder = scratch_path(w.spark, "archives")
+    with jit_sized_codegen(w.spark):
+        write_yearly_archives(w.raw, folder).write.format("noop").mode("overwrite").save()
+    rows = archive_source.scan_archives(w.spark, folder, name_type=2)
+    return normalize(rows, publisher=F.col("publisher"), keep=["src_ym", "publisher"]).drop("publisher")
+
+
 @query("archive_scan_shared", with_prelude(_ARCHIVED))
 def _(w):
     """Members cut into chunks that all tasks parse."""
@@ -450,6 +460,21 @@ def _(w):
     return cast_failures(rows.withColumns(broken))
 
 
+@query(
+    "domain_failures",
+    with_prelude(
+        """SELECT * FROM (SELECT 'rideable_type' AS "column", rideable_type AS value, CAST(count(*) AS BIGINT) AS n FROM raw WHERE rideable_type = 'motivate_dockless_bike' GROUP BY 2
+        UNION ALL SELECT 'member_casual', 'weird', CAST(count(*) AS BIGINT) FROM raw WHERE gender = 2
+        UNION ALL SELECT 'gender', CASE gender WHEN 0 THEN 'Z' ELSE '7' END, CAST(count(*) AS BIGINT) FROM raw WHERE gender < 2 GROUP BY 2)"""
+    ),
+)
+def _(w):
+    """Codes that no domain has, in three columns."""
+    gender = F.element_at(F.array(F.lit("Z"), F.lit("7"), F.lit("M")), F.col("gender") + 1)
+    odd = {"member_casual": F.when(F.col("gender") == 2, "weird").otherwise(F.col("member_casual")), "gender": gender}
+    return domain_failures(w.raw.withColumns(odd), keep=["file"])
+
+
 @query("json_records", with_prelude(DISPLAY_SQL, cube=CUBE_SQL))
 def _(w):
     path = scratch_path(w.spark, "records")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import csv
 import io
 import uuid
@@ -68,6 +69,33 @@ def write_monthly_archives(raw: DataFrame, folder: str, buckets: int = 2) -> Dat
     return sorted_rows.mapInArrow(write, "path string")
 
 
+def write_yearly_archives(raw: DataFrame, folder: str, parts: int = 2) -> DataFrame:
+    """One archive per start year, a task each, with every month twice: in numbered parts in a folder of its own, and as one file; gives the paths as it writes."""
+    names = list(HEADERS)
+    text = as_text(raw.select(*[f"`{c}`" for c in names]), HEADERS)
+    part = F.pmod(F.xxhash64("ride_id"), F.lit(parts)).cast("int") + 1
+    twice = text.withColumn("_part", F.explode(F.array(F.lit(0), part)))
+    placed = twice.select(F.substring("started_at", 1, 4).alias("_y"), F.substring("started_at", 6, 2).alias("_m"), "_part", *names)
+    sorted_rows = placed.repartition("_y").sortWithinPartitions("_y", "_m", "_part", *names)
+
+    store, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.create_dir(root, recursive=True)
+        rows = (tuple(r.values()) for batch in batches for r in batch.to_pylist())
+        for year, months in groupby(rows, key=lambda r: r[0]):
+            partial = f"{root}/.{year}-{uuid.uuid4().hex}"
+            with store.open_output_stream(partial) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for (month, number), group in groupby(months, key=lambda r: r[1:3]):
+                    name = f"{year}{month}-trips"
+                    path = f"{int(month)}_{calendar.month_name[int(month)]}/{name}_{number}.csv" if number else f"{name}.csv"
+                    _write_csv(z, f"{year}-trips/{path}", names, (r[1:] for r in group))
+            store.move(partial, f"{root}/{year}-trips.zip")
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{year}-trips.zip"]})
+
+    return sorted_rows.mapInArrow(write, "path string")
+
+
 def _write_csv(files: zipfile.ZipFile, name: str, header: list[str], rows: Iterator[tuple]) -> None:
     with files.open(name, "w") as member:
         out = csv.writer(lines := io.TextIOWrapper(member, "utf-8", newline=""), lineterminator="\n")
