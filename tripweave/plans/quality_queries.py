@@ -175,12 +175,12 @@ _TIMES = {f: f"SELECT start_time, stop_time FROM rides WHERE file = '{f}'" for f
     ),
 )
 def _(w):
-    return snapshots.stored_statistics(*_stored_files(w))
+    return snapshots.stored_statistics(*stored_files(w))
 
 
 @query("snapshot_only_old", with_prelude("SELECT * FROM f EXCEPT SELECT * FROM o", f=_TIMES["F"], o=_TIMES["O"]))
 def _(w):
-    return snapshots.keys_with_status(*_stored_files(w), "lost")
+    return snapshots.keys_with_status(*stored_files(w), "lost")
 
 
 @query("snapshot_in_both", with_prelude("SELECT * FROM f INTERSECT SELECT * FROM o", f=_TIMES["F"], o=_TIMES["O"]))
@@ -188,7 +188,7 @@ def _(w):
     return compare.common_keys(_file(w, "F"), _file(w, "O"), TIME_KEY)
 
 
-def _stored_files(w):
+def stored_files(w):
     """The rides of each file as a snapshot of its own."""
     return tuple(w.snapshot(f"file_{f}", lambda f=f: _file(w, f).select(*TIME_KEY)) for f in "FO")
 
@@ -288,13 +288,13 @@ def _publications(w):
     return new, old
 
 
-def _stored_publications(w):
+def stored_publications(w):
     return tuple(w.snapshot(f"publication_{n}", lambda i=i: _publications(w)[i]) for i, n in enumerate(("new", "old")))
 
 
 @query("snapshot_backfill", with_prelude("SELECT start_time, stop_time, user_type, birth_year, gender, bike_id FROM filled", **FILL_TABLES))
 def _(w):
-    return reconcile.backfill(*_stored_publications(w))
+    return reconcile.backfill(*stored_publications(w))
 
 
 def _stats_sql(c: str) -> str:
@@ -313,7 +313,7 @@ def _stats_sql(c: str) -> str:
     ),
 )
 def _(w):
-    return reconcile.backfill_statistics(reconcile.backfill(*_stored_publications(w), keep_before=True))
+    return reconcile.backfill_statistics(reconcile.backfill(*stored_publications(w), keep_before=True))
 
 
 _REPAIRED = {
