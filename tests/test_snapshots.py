@@ -51,6 +51,16 @@ def test_set_operations_move_no_rows(spark, tmp_path, no_broadcast):
     assert plan_of(snapshots.stored_statistics(*known)).count("Exchange hashpartitioning") == 0
 
 
+def test_diff_moves_no_rows(spark, tmp_path, no_broadcast):
+    old, new = sides(spark)
+    old, new = (s.withColumn("name", F.concat(F.lit("n"), F.col("birth_year").cast("string"))) for s in (old, new))
+    tables = stored(spark, old, tmp_path), stored(spark, new, tmp_path)
+    wanted = compare.snapshot_diff(old, new, TIME_KEY, ["name", "gender"])
+    assert rows(snapshots.stored_diff(*tables, ["name", "gender"]).select(*wanted.columns)) == rows(wanted)
+    plan = plan_of(snapshots.stored_diff(*[t.where("start_time IS NOT NULL AND stop_time IS NOT NULL") for t in tables], ["name", "gender"]))
+    assert "Exchange" not in plan and "SortAggregate" not in plan
+
+
 def test_backfill_moves_no_rows(spark, tmp_path, no_broadcast):
     older, newer = sides(spark)
     newer = newer.withColumn("birth_year", F.when(F.col("bike_id") % 2 == 0, F.col("birth_year"))).withColumn("gender", F.lit(0))

@@ -190,7 +190,7 @@ def _(w):
 
 def stored_files(w):
     """The rides of each file as a snapshot of its own."""
-    return tuple(w.snapshot(f"file_{f}", lambda f=f: _file(w, f).select(*TIME_KEY)) for f in "FO")
+    return tuple(w.snapshot(f"file_{f}", lambda f=f: _file(w, f).select(*TIME_KEY, "bike_id", "start_station_id")) for f in "FO")
 
 
 @query(
@@ -206,7 +206,7 @@ def stored_files(w):
     ),
 )
 def _(w):
-    return compare.snapshot_diff(_file(w, "F"), _file(w, "O"), TIME_KEY, ["bike_id", "start_station_id"])
+    return snapshots.stored_diff(*stored_files(w), ["bike_id", "start_station_id"])
 
 
 @query(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.operators.compare import count_by_key
+from tripweave.operators.compare import count_by_key, snapshot_diff
 from tripweave.schema import TIME_KEY
 
 #: What a bucket should hold, about.
@@ -72,5 +72,30 @@ def stored_statistics(old: DataFrame, new: DataFrame, keys: Sequence[str] = tupl
     )
 
 
+def stored_diff(old: DataFrame, new: DataFrame, attributes: Sequence[str], keys: Sequence[str] = tuple(TIME_KEY)) -> DataFrame:
+    """``compare.snapshot_diff`` of two snapshots, joined where they lie.
+
+    Only a key that a side has once has a value there, so each side is counted per key and joined with its own rows of such keys: no text
+    is aggregated, and repeated keys do not multiply.
+    """
+    null = _null_key(keys)
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        rows = df.where(~null)
+        counts = rows.groupBy(*keys).agg(F.count("*").alias(f"n_{tag}")).alias("c")
+        same = F.col(f"c.n_{tag}") == 1
+        for k in keys:
+            same = same & (F.col(f"c.{k}") == F.col(f"r.{k}"))
+        values = [F.col(f"r.{a}").alias(f"{a}_{tag}") for a in attributes]
+        return counts.hint("merge").join(rows.alias("r"), same, "left").select(*[F.col(f"c.{k}") for k in keys], f"n_{tag}", *values)
+
+    joined = side(old, "old").hint("merge").join(side(new, "new"), list(keys), "full")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_old", "n_new")]
+    known = joined.select(*keys, *counts, *[f"{a}_{tag}" for a in attributes for tag in ("old", "new")])
+    n_old, n_new = F.col("n_old"), F.col("n_new")
+    known = known.withColumn("status", F.when(n_old == 0, "added").when(n_new == 0, "lost").otherwise("both"))
+    return known.unionByName(snapshot_diff(old.where(null), new.where(null), keys, attributes))
+
+
 def keys_with_status(old: DataFrame, new: DataFrame, status: str, keys: Sequence[str] = tuple(TIME_KEY)) -> DataFrame:
     return stored_status(old, new, keys).where(F.col("status") == status).select(*keys)
