@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES
+from tripweave.llm import mixing
 from tripweave.llm.mixing import in_mixed_order, mix, schedule, slots_of_blocks, slots_per_period
 from tripweave.llm.queries import op4_mixing
 
@@ -45,6 +46,19 @@ def test_every_row_once_and_in_proportion(spark):
         assert sorted(b.place) == list(range(len(b)))
 
 
+def test_a_large_table_gets_larger_blocks(docs_of, monkeypatch):
+    """The schedule stays as long; sources keep within a block of their targets."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    docs = docs_of([(i, "t", "en", "hot" if i % 3 else f"s{i % 4}", 1) for i in range(4000)])
+    found = mix(docs, alpha=0.7, block=8).toPandas()
+    blocks = found.drop_duplicates(["source", "block"])
+    assert len(found) == 4000 and 50 <= len(blocks) <= 55 and found.place.max() == 79
+    for _, b in blocks.groupby("source"):
+        slots = np.sort(b.slot)
+        t = np.arange(slots[-1] + 2)
+        assert np.abs(np.searchsorted(slots, t) - t * b.weight.iloc[0]).max() < 1
+
+
 def test_target_weights_and_a_hot_source(docs_of):
     rows = [(i, "t", "en", "hot" if i % 3 else f"s{i % 4}", 1) for i in range(4000)]
     out = mix(docs_of(rows).repartition(6), weights={"hot": 2.0, "s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0}, block=8, bucket=100, period=60)

@@ -83,8 +83,8 @@ def _key(source_col: str) -> Column:
 #: The columns that a mix adds.
 MADE = ("weight", "block", "slot", "place")
 
-#: A schedule of so many blocks, 8 bytes each, is broadcast; a longer one is left to a shuffled join.
-BROADCAST_BLOCKS = 2_000_000
+#: Blocks of a schedule, about: 8 bytes each and some seconds to make. Tables of more rows get larger blocks, so that neither grows with them.
+MOST_BLOCKS = 2_000_000
 
 
 def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, block: int, period: int, bucket: int, source_col: str) -> DataFrame:
@@ -98,9 +98,9 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: flo
         raise ValueError(f"no weight for sources {sorted(missing)}")
     target = {s: w for s, w in target.items() if s in counts}
     total = sum(map(Fraction, target.values()))
+    block = max(block, -(-sum(counts.values()) // MOST_BLOCKS))
     placed_at = slots_of_blocks(target, {s: -(-n // block) for s, n in counts.items()})
     rows = [(s, at // period, slots[at : at + period], float(Fraction(target[s]) / total)) for s, slots in placed_at.items() for at in range(0, len(slots), period)]
-    few = sum(map(len, placed_at.values())) <= BROADCAST_BLOCKS
     plan = spark.createDataFrame(rows, "_source string, _part long, _slots array<long>, weight double")
 
     salts = max(1, -(-sum(counts.values()) // bucket))
@@ -118,7 +118,7 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: flo
         .withColumn("place", F.col("_index") % block)
     )
     parts = placed.withColumn("_part", F.floor(F.col("block") / period))
-    timed = parts.join(F.broadcast(plan) if few else plan, ["_source", "_part"])
+    timed = parts.join(F.broadcast(plan), ["_source", "_part"])
     slot = F.get("_slots", (F.col("block") % period).cast("int"))
     return timed.select("_doc", "weight", "block", slot.alias("slot"), "place")
 
@@ -133,7 +133,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
 
     No row goes through Python. Rows are numbered within (source, salt) and shifted by the counts of earlier salts, so a source
     with a third of all rows is numbered by many tasks. The counts of the sources, one number each, come to the driver, which makes
-    the schedule, a number per block; ``period`` blocks of a source are a row of it.
+    the schedule, a number per block; ``period`` blocks of a source are a row of it. A block has ``block`` rows, more only in tables of over ``MOST_BLOCKS`` times
+    as many, so that the schedule has at most about ``MOST_BLOCKS`` blocks and one for each source.
     """
     placed = _placed(docs, weights, alpha, block, period, bucket, source_col)
     return placed.select(*(F.col(f"_doc.`{c}`") for c in docs.columns if c not in MADE), *MADE)
