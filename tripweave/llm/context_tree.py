@@ -6,7 +6,7 @@ Krichevsky-Trofimov estimate, and the weighting mixes the estimates of all depth
 texts.
 
 The tree's counts grow with the corpus and are never in one place. Input partitions count grams (context and byte) and words in
-blocks of documents; the counts of a unit, which is a quarter of the contexts with the same last byte, meet in one task;
+blocks of documents; the counts of a unit, which is a sixteenth of the contexts with the same last byte, meet in one task;
 the levels above are bounded by the alphabet. Each block then asks the units for the log-probabilities of just its own grams.
 """
 
@@ -30,7 +30,7 @@ from tripweave.llm.common import arrow_schema, fold, map_texts, stored, text_bat
 DEPTH = 5
 
 #: Units of a last byte, by the byte before.
-UNIT_BITS = 2
+UNIT_BITS = 4
 
 #: Characters of a block; it bounds what the task that scores a block holds.
 BLOCK_CHARS = 32_000_000
@@ -39,7 +39,7 @@ BLOCK_CHARS = 32_000_000
 WORD_PARTS, WORD_UNIT = 256, 1 << 16
 
 #: Counts of so many blocks meet at once.
-FAN_IN = 512
+FAN_IN = 2048
 
 _ZSTD = "zstd"
 
