@@ -73,3 +73,26 @@ def test_only_texts_matter(spark, docs_of):
     other = [(i, t, "xx", "elsewhere", 0) for i, t, *_ in texts]
     b = {r.doc.doc_id: r.score for r in q.score_quality(docs_of(other, clashes=True), labels).collect()}
     assert a == b and a[0] < 0.3 < a[1]
+
+
+def test_query_like_the_rules_by_hand(spark, monkeypatch):
+    """Every document's statistics, the rules that hold for them and their weights, one by one."""
+    import zlib
+
+    models, fit = [], q.RuleEnsemble.fit
+    monkeypatch.setattr(q.RuleEnsemble, "fit", classmethod(lambda cls, *a, **k: models.append(fit(*a, **k)) or models[-1]))
+    found = {r.doc_id: r for r in op10_quality(spark, SF).collect()}
+    (model,) = models
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert set(found) == {i for i, _ in docs} and model.rules
+    for i, text in docs:
+        own, total = plain_statistics(text), model.intercept
+        for rule, weight in model.rules:
+            # A share can differ in its last digit from Spark's, so one on a cut may fall to either side.
+            if any(own[s] == pytest.approx(cut, rel=1e-12) and own[s] != cut for s, _, cut in rule):
+                break
+            total += weight * all(own[s] <= cut if low else own[s] > cut for s, low, cut in rule)
+        else:
+            r = found[i]
+            assert r.score == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-9)
+            assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)

@@ -78,3 +78,28 @@ def test_held_out_accuracy(spark):
 @pytest.mark.parametrize("text, words", [("", set()), ("It's IDIOT-like, naïve2x", {"it", "s", "idiot", "like", "naïve", "x", "^idio", "^naïv"}), ("abcd", {"abcd"})])
 def test_words(text, words):
     assert tx.word_set(text) == words
+
+
+def test_query_like_the_chain_by_hand(spark, monkeypatch):
+    """Every document's words and their weights, category after category."""
+    import re
+    import zlib
+
+    from tripweave.llm.queries import CATEGORIES as OWN
+
+    chains, fit = [], tx.Chain.fit
+    monkeypatch.setattr(tx.Chain, "fit", classmethod(lambda cls, *a, **k: chains.append(fit(*a, **k)) or chains[-1]))
+    sf = "/root/testdata/sf0.01"
+    found = {r.doc_id: r for r in op5_toxicity(spark, sf).collect()}
+    (chain,) = chains
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert set(found) == {i for i, _ in docs} and len(chain.words) > 50
+    for i, text in docs:
+        runs = set(re.findall(r"[^\W\d_]+", " ".join((text or "").lower().split())))
+        words = runs | {"^" + w[:4] for w in runs if len(w) > 4}
+        earlier = []
+        for category, w in zip(OWN, chain.weights, strict=True):
+            z = w[-1] + sum(w[k] for x, k in chain.words.items() if x in words) + sum(p * v for p, v in zip(earlier, w[len(chain.words) : -1], strict=True))
+            earlier.append(1 / (1 + np.exp(-z)))
+            assert found[i][f"p_{category}"] == pytest.approx(earlier[-1], rel=1e-6, abs=1e-9)
+        assert found[i].predicted == (earlier[0] >= 0.3) and found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
