@@ -29,6 +29,14 @@ def _bit_votes(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
+def bits_of_most(hashes: np.ndarray, block: int = 1 << 16) -> int:
+    """The number with the bits that more than half of the hashes have; 0 without any."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), block):
+        votes += _bit_votes(hashes[at : at + block])
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
 def shingle_spans(text: str, words: int) -> tuple[bytes, list[int], list[int]]:
     """The words of a text with single blanks, and where each of its shingles begins and ends there."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
