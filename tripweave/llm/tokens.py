@@ -59,7 +59,7 @@ class Encoder:
     strings of its special tokens stand for these tokens; texts with one go through it as a whole.
     """
 
-    def __init__(self, path: str, memory: int = 400_000, segment: int = 250_000):
+    def __init__(self, path: str, memory: int = 200_000, segment: int = 250_000):
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
