@@ -120,4 +120,5 @@ def test_a_group_of_copies_costs_rows_in_proportion(docs_of, monkeypatch):
         copy[rng.integers(60)] = f"x{i}"
         rows.append((i, " ".join(copy)))
     assert [r.doc_id for r in similar.drop_similar(docs_of(rows), block=100).collect()] == [0]
-    assert sum(compared) < 4 * len(rows)
+    # Three texts of its bands for each at first, then one more in each of three rounds at most.
+    assert sum(compared) <= 6 * len(rows)
