@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tripweave.operators import compare, quality, reconcile
 from tripweave.operators.normalize import add_slice_columns
-from tripweave.schema import TIME_KEY
+from tripweave.schema import RIDE_COLUMNS, TIME_KEY
 
 
 def test_duplicates_with_nulls_are_one_row(rides_of):
@@ -16,6 +16,17 @@ def test_duplicates_with_nulls_are_one_row(rides_of):
     assert kept.count() == 2
 
 
+def test_rows_whose_hash_is_their_own_are_not_compared(rides_of):
+    filed = rides_of({}, {}, {"bike_id": 8}, {"bike_id": None}, {"bike_id": None}, {"ride_id": None}, {"gender": None, "birth_year": 1}, {"gender": 1, "birth_year": None})
+    filed = filed.withColumn("file", F.lit("b")).unionByName(rides_of({}, {"bike_id": 9}).withColumn("file", F.lit("a")))
+    repeated = quality.repeated_hashes(filed)
+    assert repeated.count() == 3  # one of two rows that differ in where a null is
+    for run in (lambda **k: quality.drop_duplicate_rows(filed, **k), lambda **k: quality.drop_duplicate_rows(filed, ["file"], **k), lambda **k: quality.rows_without_copy(filed, **k)):
+        assert rows(run(repeated=repeated)) == rows(run())
+    every = filed.select(F.xxhash64(*RIDE_COLUMNS).alias("_row_hash")).distinct()
+    assert rows(quality.drop_duplicate_rows(filed, repeated=every)) == rows(filed.distinct())
+
+
 def test_key_violations(rides_of):
     rides = rides_of({}, {"gender": 2}, {"ride_id": None, "bike_id": 1}, {"ride_id": None, "bike_id": 2}, {"ride_id": None, "bike_id": 2, "gender": 0})
     assert [(r.ride_key, r.n_rows) for r in quality.key_violations(rides).orderBy("ride_key").collect()] == [("2", 2), ("r1", 2)]

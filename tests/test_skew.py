@@ -94,6 +94,16 @@ def test_hot_group_is_combined_before_the_shuffle(spark, skewed, name):
             assert max(sizes) < 1.7 * sum(sizes) / len(sizes), sizes
 
 
+def test_distinct_rows_are_not_shuffled(spark, skewed, tmp_path):
+    """Of rows with a hash of their own only the hash is; what remains of a hot row is one row a task."""
+    quality.repeated_hashes(skewed).write.parquet(str(tmp_path / "r"))
+    repeated = quality.sent_if_few(spark.read.parquet(str(tmp_path / "r")))
+    for run in (quality.drop_duplicate_rows, quality.rows_without_copy):
+        moved = [sum(map(sum, shuffled(run(skewed, **k)))) for k in ({}, {"repeated": repeated})]
+        assert moved[1] < moved[0] / 100, moved
+    assert quality.drop_duplicate_rows(skewed, ["file"], repeated).count() == 2 * N // 3 + 1
+
+
 def test_results_stay_whole(skewed):
     assert quality.drop_duplicate_rows(skewed.drop("file")).count() == 2 * N // 3 + 1
     # The hot group is larger than a pair: its rows differ in nothing but the file and are one ride.

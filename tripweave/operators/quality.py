@@ -9,11 +9,48 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import regions
 from tripweave.operators.compare import tagged_union
-from tripweave.schema import TIME_KEY
+from tripweave.schema import RIDE_COLUMNS, TIME_KEY
 
 
-def drop_duplicate_rows(df: DataFrame, provenance: Sequence[str] = ()) -> DataFrame:
-    """Distinct rows, nulls being equal; rows that differ in ``provenance`` only are one row with the smallest."""
+#: Up to so many hashes are sent to all tasks; a table with more of them is joined by a shuffle.
+BROADCAST_HASHES = 1_000_000
+
+_HASH = "_row_hash"
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """Provenance is left out, so that rows that differ in nothing else have one hash as well."""
+    return df.withColumn(_HASH, F.xxhash64(*[F.col(f"`{c}`") for c in RIDE_COLUMNS]))
+
+
+def repeated_hashes(rides: DataFrame) -> DataFrame:
+    """Hashes of the ride columns that more than one row has: equal rows have the same, and some others may by chance.
+
+    Only hashes are counted and shuffled, not rows. Store the result, so that its size is known, and hand it to ``rows_apart``.
+    """
+    return _hashed(rides).groupBy(_HASH).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(_HASH)
+
+
+def rows_apart(rides: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that equal no other row for sure, and those that may have copies; ``repeated`` holds the ``repeated_hashes`` of all rows."""
+    hashed = _hashed(rides)
+    return tuple(hashed.join(repeated, _HASH, how).select(*rides.columns) for how in ("left_anti", "left_semi"))
+
+
+def sent_if_few(stored: DataFrame, most: int = BROADCAST_HASHES) -> DataFrame:
+    """Action: a stored table, broadcast in joins if it has few rows; of a stored table only the footers are read for that."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
+def drop_duplicate_rows(df: DataFrame, provenance: Sequence[str] = (), repeated: DataFrame | None = None) -> DataFrame:
+    """Distinct rows, nulls being equal; rows that differ in ``provenance`` only are one row with the smallest.
+
+    With ``repeated``, the ``repeated_hashes`` of a ride table, only the rows that may have copies are compared; the others are neither shuffled
+    nor held in a task's memory.
+    """
+    if repeated is not None:
+        alone, others = rows_apart(df, repeated)
+        return alone.unionByName(drop_duplicate_rows(others, provenance))
     if not provenance:
         return df.dropDuplicates()
     kept = [c for c in df.columns if c not in provenance]
@@ -63,8 +100,11 @@ def frequency_of_frequencies(df: DataFrame, *columns: str) -> DataFrame:
     return value_counts(df, *columns).groupBy("n").agg(F.count("*").alias("n_values"))
 
 
-def rows_without_copy(df: DataFrame) -> DataFrame:
-    """Rows that occur exactly once; every copy of the others is left out."""
+def rows_without_copy(df: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """Rows that occur exactly once; every copy of the others is left out. ``repeated`` as in ``drop_duplicate_rows``."""
+    if repeated is not None:
+        alone, others = rows_apart(df, repeated)
+        return alone.unionByName(rows_without_copy(others))
     return df.groupBy(*df.columns).agg(F.count("*").alias("_n")).where(F.col("_n") == 1).drop("_n")
 
 

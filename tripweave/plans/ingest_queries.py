@@ -27,7 +27,7 @@ _RIDE = ", ".join(RIDE_COLUMNS)
 
 @query("normalize_rides", with_prelude("SELECT * FROM rides"))
 def _(w):
-    return add_slice_columns(quality.drop_duplicate_rows(normalize(w.raw, keep=["file"])))
+    return add_slice_columns(quality.drop_duplicate_rows(normalize(w.raw, keep=["file"]), repeated=w.repeated))
 
 
 PUBLISHER = "CASE WHEN file = 'O' THEN 'JC' ELSE 'NYC' END"

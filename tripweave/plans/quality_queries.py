@@ -26,7 +26,7 @@ def _file(w, name):
 
 @query("dedupe_rows", with_prelude(f"SELECT {_RIDE}, min(file) AS file FROM normalized GROUP BY ALL"))
 def _(w):
-    return quality.drop_duplicate_rows(w.normalized, provenance=["file"])
+    return quality.drop_duplicate_rows(w.normalized, provenance=["file"], repeated=w.repeated)
 
 
 @query(
@@ -246,7 +246,7 @@ def _(w):
 
 @query("rows_without_copy", with_prelude(f"SELECT {_RIDE}, file FROM normalized GROUP BY ALL HAVING count(*) = 1"))
 def _(w):
-    return quality.rows_without_copy(w.normalized)
+    return quality.rows_without_copy(w.normalized, repeated=w.repeated)
 
 
 @query("distinct_keys", with_prelude("SELECT DISTINCT start_station_id, end_station_id, rideable_type FROM rides"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripweave.operators.aggregate import ride_cube
 from tripweave.operators.normalize import add_slice_columns, normalize
-from tripweave.operators.quality import drop_duplicate_rows
+from tripweave.operators.quality import drop_duplicate_rows, repeated_hashes, sent_if_few
 from tripweave.operators.stations import station_index, station_pairs, station_table
 from tripweave.session import jit_sized_codegen, scratch_path
 from tripweave.sinks.snapshots import bucket_count, read_snapshot, write_snapshot
@@ -26,8 +26,10 @@ class Workspace:
     The pipeline stores what later stages share, each table once, in the shared folder, so a lost executor
     costs a re-read and not a recomputation:
 
-    - ``rides``: normalising ends in a full-row dedupe, the one wide shuffle. The table is partitioned by end
-      month, and queries prune columns and months.
+    - ``repeated``: hashes that several normalised rows have. Only the rows that have them are compared with each other in
+      the full-row dedupe that normalising ends in.
+    - ``rides``: the distinct rows. The table is partitioned by end month, which is the one wide shuffle, and queries prune
+      columns and months.
     - ``cube``, ``stations``, ``index``, ``pairs``: the aggregates that dashboards and station pages work on. Series and
       pair queries read these instead of aggregating the rides again.
 
@@ -39,8 +41,12 @@ class Workspace:
         self.sf_dir = sf_dir.rstrip("/")
         self._snapshots: dict[str, DataFrame] = {}
 
+    @property
+    def lazy(self) -> bool:
+        return self.spark.conf.get("spark.tripweave.lazyTables", "false") == "true"
+
     def _stored(self, name: str, table: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
-        if self.spark.conf.get("spark.tripweave.lazyTables", "false") == "true":
+        if self.lazy:
             return table
         path = scratch_path(self.spark, name)
         with jit_sized_codegen(self.spark):
@@ -51,7 +57,7 @@ class Workspace:
         """A frame as a table of the catalog, in buckets of its rides' start and stop; stored by the first query that needs it."""
         if name not in self._snapshots:
             frame = build()
-            if self.spark.conf.get("spark.tripweave.lazyTables", "false") != "true":
+            if not self.lazy:
                 table, cores = f"tripweave_{name}_{uuid.uuid4().hex[:8]}", self.spark.sparkContext.defaultParallelism
                 write_snapshot(frame, table, bucket_count(0, cores), path=scratch_path(self.spark, name))
                 frame = read_snapshot(self.spark, table)
@@ -67,9 +73,16 @@ class Workspace:
         """Normalised rows with their copies."""
         return normalize(self.raw, keep=PROVENANCE)
 
+    @cached_property
+    def repeated(self) -> DataFrame:
+        """Hashes that several normalised rows have."""
+        found = self._stored("repeated", repeated_hashes(self.normalized), write_table)
+        return found if self.lazy else sent_if_few(found)
+
     @cached_property
     def rides(self) -> DataFrame:
-        return self._stored("rides", add_slice_columns(drop_duplicate_rows(self.normalized)), write_month_table)
+        distinct = drop_duplicate_rows(self.normalized, repeated=self.repeated)
+        return self._stored("rides", add_slice_columns(distinct), write_month_table)
 
     @cached_property
     def cube(self) -> DataFrame:
