@@ -9,6 +9,7 @@ from tests.test_normalize import ERA3
 from tripweave.operators import aggregate as agg
 from tripweave.operators import stations as st
 from tripweave.operators.normalize import add_slice_columns
+from tripweave.plans import all_queries as queries
 from tripweave.sinks import writers
 from tripweave.sources import tables
 
@@ -69,6 +70,20 @@ def test_replaced_source_months_leave_others(spark, rides_of, tmp_path):
     assert len(parts(tmp_path / "t" / "runs")) == 3 < files
 
 
+def test_clustered_slices_are_written_without_a_shuffle(spark, rides_of, tmp_path, monkeypatch):
+    rides = add_slice_columns(rides_of({}, {"start_time": "2020-02-01 08:00:00", "stop_time": "2020-02-01 09:00:00"}, {"stop_time": None}, {"ride_id": "x"}))
+    writers.write_month_table(rides, str(tmp_path / "t"))
+    stored = spark.read.schema(rides.schema).parquet(str(tmp_path / "t")).withColumn("src_ym", F.col("start_ym"))
+    writers.replace_source_months(stored, str(tmp_path / "a"))
+    monkeypatch.setattr(type(stored), "hint", lambda *a: pytest.fail("rows are dealt out anew"))
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for _ in range(2):
+        writers.replace_source_months(stored, str(tmp_path / "b"), clustered=True)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == splits
+    a, b = (tables.read_slices(spark, str(tmp_path / x)) for x in "ab")
+    assert rows(a) == rows(b) and b.count() == 4
+
+
 def test_a_run_that_dies_leaves_the_old_slices(spark, rides_of, tmp_path, monkeypatch):
     base = str(tmp_path / "t")
     first = add_slice_columns(rides_of({}, {"stop_time": "2020-01-31 23:59:00"})).withColumn("src_ym", F.lit(202001))
@@ -161,3 +176,16 @@ def test_aggregate_and_sql_table(spark, rides_of, tmp_path):
     writers.write_sql_table(out.limit(0), "se_c_table", overwrite=True)
     assert tables.read_sql_table(spark, "se_c_table").count() == 0
     spark.sql("DROP TABLE se_c_table")
+
+
+def test_sorted_rewrite_runs_compiled(spark, monkeypatch):
+    """Methods too large for the JVM's compiler are split while the wide rows are made."""
+    seen, write = [], writers.write_sorted_csv
+    monkeypatch.setattr(writers, "write_sorted_csv", lambda rows, path: seen.append(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) or write(rows, path))
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        queries()["csv_sorted_rewrite"](spark, "/root/testdata/sf0.001")
+        assert seen == ["8000"] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)

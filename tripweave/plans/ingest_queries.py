@@ -333,7 +333,8 @@ def _(w):
     """All columns; the writer compares the number of rows that can be read back."""
     rows = as_text(w.raw, {c: c for c in HEADERS})
     path = scratch_path(w.spark, "sorted")
-    writers.write_sorted_csv(rows, path)
+    with jit_sized_codegen(w.spark):
+        writers.write_sorted_csv(rows, path)
     places = [F.col(c).cast("double").alias(c) for c in ("start_lat", "start_lng", "end_lat", "end_lng")]
     return trip_csv.read_trip_csv(w.spark, path).select(*[c for c in HEADERS if c[-4:] not in ("_lat", "_lng")], *places)
 
@@ -395,8 +396,8 @@ def _(w):
 def _(w):
     """All slices, then a rerun without rides across a month end, whose slices have to go."""
     base = scratch_path(w.spark, "slices")
-    writers.replace_source_months(_sliced(w), base)
-    writers.replace_source_months(_sliced(w).where(F.col("start_ym") == F.col("end_ym")), base)
+    writers.replace_source_months(_sliced(w), base, clustered=not w.lazy)
+    writers.replace_source_months(_sliced(w).where(F.col("start_ym") == F.col("end_ym")), base, clustered=not w.lazy)
     return tables.read_slices(w.spark, base).groupBy("src_ym", "start_ym", "end_ym").agg(F.count("*").alias("n"))
 
 
@@ -411,7 +412,7 @@ def _(w):
 def _(w):
     """The slices of all source months that end in one month, read from the stored folder."""
     base = scratch_path(w.spark, "slices")
-    writers.replace_source_months(_sliced(w), base)
+    writers.replace_source_months(_sliced(w), base, clustered=not w.lazy)
     return tables.read_end_month(w.spark, base, 199801).withColumnRenamed("file", "slice").select(*RIDE_COLUMNS, "src_ym", "slice")
 
 

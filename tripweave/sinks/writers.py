@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.schema import TIME_KEY
+from tripweave.session import splits_to_sort
 from tripweave.sources.csv import sort_rows
 from tripweave.sources.tables import index_folder, index_versions, newest_index, run_folder
 
@@ -32,18 +33,21 @@ def write_source_month(rides: DataFrame, base: str, src_ym: int) -> None:
     replace_source_months(rides.where(F.col("src_ym") == src_ym), base, [src_ym])
 
 
-def replace_source_months(rides: DataFrame, base: str, months: Sequence[int] = ()) -> None:
+def replace_source_months(rides: DataFrame, base: str, months: Sequence[int] = (), clustered: bool = False) -> None:
     """Replace every source month present in ``rides``, and those in ``months`` even if they have no rides any more, with one job.
 
     A run's slices are written to a folder of their own; then an index that says which run each source month is read from is
     written as one small table, and readers take the newest index that was committed. Until that commit they see the old
     slices, all of them, after it the new ones; nothing is moved or deleted in between. A run that dies, also while it writes the index, leaves
     folders that no reader looks at; the next index takes a number above all there are. ``remove_old_runs`` frees the space. One writer at a time.
+
+    ``clustered`` says that rides of a slice lie together already, as in a table stored by month: the tasks that read them write them, without a shuffle.
     """
     spark, run = rides.sparkSession, uuid.uuid4().hex
     keys = ["src_ym", "start_ym", "end_ym"]
-    sorted_rows = rides.hint("rebalance", *keys).sortWithinPartitions(*keys, *TIME_KEY)
-    sorted_rows.write.partitionBy(*keys).parquet(run_folder(base, run))
+    dealt = rides if clustered else rides.hint("rebalance", *keys)
+    with splits_to_sort(spark):
+        dealt.sortWithinPartitions(*keys, *TIME_KEY).write.partitionBy(*keys).parquet(run_folder(base, run))
     # Partition columns are known from folder names; the files are not read.
     written = spark.read.schema(rides.schema).parquet(run_folder(base, run)).select("src_ym").distinct()
     new = written.select(F.col("src_ym").cast("int").alias("src_ym"), F.lit(run).alias("run"))
