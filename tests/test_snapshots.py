@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tests.test_skew import shuffled
 from tripweave.operators import checksum, compare, reconcile
+from tripweave.plans import workspace
 from tripweave.schema import TIME_KEY
 from tripweave.sinks import snapshots
 
@@ -85,6 +86,16 @@ def publications(spark, n=40_000):
     return old, new
 
 
+def test_buckets_follow_the_rides(spark, monkeypatch):
+    schema = spark.createDataFrame([], "start_time timestamp_ntz, stop_time timestamp_ntz, bike_id int, start_station_id string").schema
+    assert snapshots.held_bytes(1000, schema) == 48_000
+    assert [snapshots.bucket_count(snapshots.held_bytes(n, schema), 12) for n in (1000, 36_000_000, 216_000_000)] == [16, 16, 64]
+    seen, w = [], workspace.Workspace(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(workspace, "bucket_count", lambda size, cores: seen.append(size) or 8)
+    w.snapshot("times", lambda: w.rides.select(*TIME_KEY))
+    assert seen == [16 * w.rides.count()] and seen[0] > 0
+
+
 def test_checksums_find_all_mismatches(spark):
     old, new = publications(spark)
     wanted = rows(compare.mismatches(old, new, ["k"], ["v", "w"]))

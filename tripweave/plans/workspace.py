@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripweave.operators.aggregate import ride_cube
 from tripweave.operators.normalize import add_slice_columns, normalize
-from tripweave.operators.quality import drop_duplicate_rows, repeated_hashes, sent_if_few
+from tripweave.operators.quality import drop_duplicate_rows, repeated_hashes, repeated_keys, sent_if_few
 from tripweave.operators.stations import station_index, station_pairs, station_table
+from tripweave.schema import TIME_KEY
 from tripweave.session import jit_sized_codegen, scratch_path
-from tripweave.sinks.snapshots import bucket_count, read_snapshot, write_snapshot
+from tripweave.sinks.snapshots import bucket_count, held_bytes, read_snapshot, write_snapshot
 from tripweave.sinks.writers import write_month_table, write_table
 from tripweave.sources.fixture import raw_trips
 
@@ -59,7 +60,9 @@ class Workspace:
             frame = build()
             if not self.lazy:
                 table, cores = f"tripweave_{name}_{uuid.uuid4().hex[:8]}", self.spark.sparkContext.defaultParallelism
-                write_snapshot(frame, table, bucket_count(0, cores), path=scratch_path(self.spark, name))
+                # No snapshot has more rows than there are rides; all get one number of buckets a row width, so that two of them meet.
+                buckets = bucket_count(held_bytes(self.rides.count(), frame.schema), cores)
+                write_snapshot(frame, table, buckets, path=scratch_path(self.spark, name))
                 frame = read_snapshot(self.spark, table)
             self._snapshots[name] = frame
         return self._snapshots[name]
@@ -84,6 +87,12 @@ class Workspace:
         distinct = drop_duplicate_rows(self.normalized, repeated=self.repeated)
         return self._stored("rides", add_slice_columns(distinct), write_month_table)
 
+    @cached_property
+    def repeated_times(self) -> DataFrame:
+        """Starts and stops that several rides share."""
+        found = self._stored("repeated-times", repeated_keys(self.rides, TIME_KEY).select(*TIME_KEY), write_table)
+        return found if self.lazy else sent_if_few(found)
+
     @cached_property
     def cube(self) -> DataFrame:
         return self._stored("cube", ride_cube(self.rides), write_table)

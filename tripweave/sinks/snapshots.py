@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripweave.operators.compare import count_by_key, snapshot_diff
 from tripweave.schema import TIME_KEY
@@ -19,6 +20,11 @@ from tripweave.schema import TIME_KEY
 BUCKET_BYTES = 256 << 20
 
 
+def held_bytes(rows: int, schema: T.StructType) -> int:
+    """What so many rows take up in the tasks that sort and join them, about: 8 bytes a value, 16 more for a text."""
+    return rows * sum(24 if isinstance(f.dataType, T.StringType) else 8 for f in schema.fields)
+
+
 def bucket_count(table_bytes: int, cores: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets of about ``bucket_bytes`` for a table, at least one per core; a power of two, so that numbers of different tables divide each other."""
     return 1 << max(0, max(-(-table_bytes // bucket_bytes), cores) - 1).bit_length()
