@@ -104,6 +104,14 @@ def test_distinct_rows_are_not_shuffled(spark, skewed, tmp_path):
     assert quality.drop_duplicate_rows(skewed, ["file"], repeated).count() == 2 * N // 3 + 1
 
 
+def test_rows_with_few_stored_keys_are_not_shuffled(spark, skewed, tmp_path):
+    quality.repeated_keys(skewed, TIME_KEY).select(*TIME_KEY).write.parquet(str(tmp_path / "k"))
+    few = quality.sent_if_few(spark.read.parquet(str(tmp_path / "k")))
+    many = quality.sent_if_few(spark.read.parquet(str(tmp_path / "k")), most=0)
+    assert shuffled(quality.rows_with_copies(skewed, TIME_KEY, few)) == []
+    assert quality.rows_with_copies(skewed, TIME_KEY, few).count() == quality.rows_with_copies(skewed, TIME_KEY, many).count() == N // 3
+
+
 def test_results_stay_whole(skewed):
     assert quality.drop_duplicate_rows(skewed.drop("file")).count() == 2 * N // 3 + 1
     # The hot group is larger than a pair: its rows differ in nothing but the file and are one ride.

@@ -113,13 +113,14 @@ def unique_across(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> Dat
     return rows_without_copy(tagged_union(old, new, columns).select(*columns))
 
 
-def rows_with_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def rows_with_copies(df: DataFrame, keys: Sequence[str], repeated: DataFrame | None = None) -> DataFrame:
     """All rows whose key occurs more than once.
 
     The repeated keys are found by a two-phase count; the semi join keeps whole rows and lets the adaptive
-    skew join split a hot key.
+    skew join split a hot key. ``repeated`` has these keys if they are stored: if they are few (``sent_if_few``), no row is shuffled.
     """
-    repeated = repeated_keys(df, keys).select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    found = repeated_keys(df, keys) if repeated is None else repeated
+    repeated = found.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
     condition = F.lit(True)
     for k in keys:
         condition = condition & df[k].eqNullSafe(F.col(f"_r_{k}"))

@@ -241,7 +241,7 @@ def _(w):
     with_prelude("SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY start_time, stop_time) AS n FROM rides) WHERE n > 1"),
 )
 def _(w):
-    return quality.rows_with_copies(w.rides, TIME_KEY)
+    return quality.rows_with_copies(w.rides, TIME_KEY, w.repeated_times)
 
 
 @query("rows_without_copy", with_prelude(f"SELECT {_RIDE}, file FROM normalized GROUP BY ALL HAVING count(*) = 1"))
