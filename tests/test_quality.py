@@ -27,6 +27,32 @@ def test_rows_whose_hash_is_their_own_are_not_compared(rides_of):
     assert rows(quality.drop_duplicate_rows(filed, repeated=every)) == rows(filed.distinct())
 
 
+def test_rows_apart_from_a_filter_have_keys_of_their_own(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("IF(id % 7 = 0, id - id % 14, id) AS k", "IF(id % 5 = 0, NULL, id DIV 14 % 3) AS v", "id AS n")
+    for words in (quality.FILTER_WORDS, 8, 1):
+        monkeypatch.setattr(quality, "FILTER_WORDS", words)
+        for keys in (["k"], ["k", "v"]):
+            repeated = quality.repeated_keys(df.dropna(subset=keys), keys)
+            apart, others = quality.rows_by_filter(df, repeated, keys)
+            assert rows(apart.unionByName(others)) == rows(df)
+            assert others.dropna(subset=keys).count() == others.count()
+            shared = quality.rows_with_copies(df.dropna(subset=keys), keys)
+            assert shared.count() > 0 and shared.exceptAll(others).count() == 0
+            if words > 8:
+                assert others.count() == shared.count()
+
+
+def test_merged_rows_do_not_depend_on_the_filter(rides_of, monkeypatch):
+    df = rides_of(*[{"start_time": f"2020-02-01 00:{i:02d}:00", "ride_id": f"r{i}", "bike_id": None if i % 4 else i} for i in range(20)])
+    other = df.where("minute(start_time) % 3 = 0").withColumn("bike_id", F.lit(77))
+    both = df.withColumn("file", F.lit("b")).unionByName(other.withColumn("file", F.lit("a"))).unionByName(rides_of({"stop_time": None}, {"stop_time": None}).withColumn("file", F.lit("a")))
+    wanted = rows(reconcile.merge_duplicates(both))
+    assert len(wanted) == 22
+    assert rows(reconcile.merge_duplicates(both, repeated=quality.repeated_keys(both, TIME_KEY))) == wanted
+    monkeypatch.setattr(quality, "FILTER_WORDS", 1)
+    assert rows(reconcile.merge_duplicates(both)) == wanted
+
+
 def test_key_violations(rides_of):
     rides = rides_of({}, {"gender": 2}, {"ride_id": None, "bike_id": 1}, {"ride_id": None, "bike_id": 2}, {"ride_id": None, "bike_id": 2, "gender": 0})
     assert [(r.ride_key, r.n_rows) for r in quality.key_violations(rides).orderBy("ride_key").collect()] == [("2", 2), ("r1", 2)]

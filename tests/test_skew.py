@@ -112,6 +112,17 @@ def test_rows_with_few_stored_keys_are_not_shuffled(spark, skewed, tmp_path):
     assert quality.rows_with_copies(skewed, TIME_KEY, few).count() == quality.rows_with_copies(skewed, TIME_KEY, many).count() == N // 3
 
 
+def test_rides_that_share_no_times_are_not_moved_to_be_merged(spark, skewed):
+    """Of these only the keys are counted; the rows, let alone what the windows compare, stay where they are."""
+    distinct = skewed.where("ride_id <> 'r0'")
+    twice = distinct.where("bike_id < 50")
+    stages = shuffled(reconcile.merge_duplicates(distinct.unionByName(twice.withColumn("file", F.lit("f9")))))
+    assert sum(map(sum, stages)) < 40 * distinct.count(), stages
+    merged = reconcile.merge_duplicates(distinct.unionByName(twice.withColumn("file", F.lit("f9"))))
+    assert merged.count() == distinct.count()
+    assert merged.where("file = 'f9'").count() == twice.count()
+
+
 def test_results_stay_whole(skewed):
     assert quality.drop_duplicate_rows(skewed.drop("file")).count() == 2 * N // 3 + 1
     # The hot group is larger than a pair: its rows differ in nothing but the file and are one ride.

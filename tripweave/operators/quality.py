@@ -15,6 +15,9 @@ from tripweave.schema import RIDE_COLUMNS, TIME_KEY
 #: Up to so many hashes are sent to all tasks; a table with more of them is joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
+#: Words of 64 bits that tell rows of a key of their own from others; a power of two. 25 million keys fill half of the bits.
+FILTER_WORDS = 1 << 19
+
 _HASH = "_row_hash"
 
 
@@ -113,6 +116,28 @@ def unique_across(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> Dat
     return rows_without_copy(tagged_union(old, new, columns).select(*columns))
 
 
+def _place(keys: Sequence[str]) -> tuple[Column, Column]:
+    """Word and bit in it that a key sets in a filter."""
+    hashed = F.xxhash64(*keys)
+    return hashed.bitwiseAND(F.lit(FILTER_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+
+
+def rows_by_filter(df: DataFrame, repeated: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is not in ``repeated`` for sure, without shuffling any, and all others; rows with a null in the key are among the former.
+
+    ``repeated`` has the keys of several rows. However many they are, what is broadcast is at most ``FILTER_WORDS`` words of 64 bits, of which a key sets one;
+    a row of another key whose bit is set is among the others too.
+    """
+    word, bit = _place(keys)
+    words = repeated.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    found = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word", "left")
+    hit = known & F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return found.where(~hit).select(*df.columns), found.where(hit).select(*df.columns)
+
+
 def rows_with_copies(df: DataFrame, keys: Sequence[str], repeated: DataFrame | None = None) -> DataFrame:
     """All rows whose key occurs more than once.
 

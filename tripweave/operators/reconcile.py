@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions import codes
-from tripweave.operators.quality import assert_unique, drop_duplicate_rows
+from tripweave.operators.quality import assert_unique, drop_duplicate_rows, repeated_keys, rows_by_filter
 from tripweave.schema import BACKFILL_COLUMNS, RIDE_COLUMNS, SLICE_COLUMNS, TIME_KEY
 
 # Fixed value: a slice whose one row repeats a ride of the next month with a misspelt station name.
@@ -49,22 +49,26 @@ def merge_duplicates(
     keys: Sequence[str] = tuple(TIME_KEY),
     strict: bool = False,
     hot: int = 100_000,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of rows with one key become the row of the last file, with the backfill columns of the last row that has any.
 
     All ``columns`` come from one row. Keys with more than two rows are no pair: ``strict`` fails the query on them, otherwise
     their rows stay, exact copies in several files once; ``merge_violations`` lists them. A row without a key stays as it is.
 
-    Rows meet by key in one shuffle, in which each is compared with its neighbours. Keys with more than ``hot`` rows, told by a count of the
+    The keys are counted first, and only rows whose key may occur again (``rows_by_filter``) are moved. They meet by key in one shuffle, in which each is
+    compared with its neighbours. ``repeated`` has the counts (``repeated_keys``) if they are stored. Keys with more than ``hot`` rows, told by a count of the
     keys alone, stay out of it, as no task should get them: they are no pairs, so their copies are combined before a shuffle of their own. There are
-    at most rows / ``hot`` such keys, which are broadcast. Rows without a key, which may be many alike, are not shuffled.
+    at most rows / ``hot`` such keys, which are broadcast. Rows without a key, which may be many alike, are not shuffled either.
     """
     has_key = F.lit(True)
     for k in keys:
         has_key = has_key & F.col(k).isNotNull()
     rest = [c for c in df.columns if c not in keys and c != order]
     keyed, many = df.where(has_key), F.raise_error(F.lit("more than two rides share start and stop"))
-    heavy = F.broadcast(keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys))
+    found = repeated_keys(keyed, keys) if repeated is None else repeated
+    heavy = F.broadcast(found.where(F.col("dupes") > hot).select(*keys))
+    apart, others = rows_by_filter(df, found, keys)
     crowded = keyed.join(heavy, list(keys), "left_semi")
     if strict:
         crowded = crowded.where(many)
@@ -75,7 +79,7 @@ def merge_duplicates(
     every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, content = F.col("_n"), F.struct(*rest)
     donor = F.when(_has_info(F.col, columns), F.struct(order, *columns))
-    marked = keyed.join(heavy, list(keys), "left_anti").withColumns(
+    marked = others.join(heavy, list(keys), "left_anti").withColumns(
         {
             "_n": F.count("*").over(every),
             "_copy": F.coalesce(F.lag(content).over(sorted_group).eqNullSafe(content), F.lit(False)) & (F.row_number().over(sorted_group) > 1),
@@ -89,7 +93,7 @@ def merge_duplicates(
     kept = marked.where((n == 1) | (~F.col("_copy") & ((n > 2) | is_last)))
     uses_donor = (n == 2) & ~_has_info(F.col, columns) & F.col("_donor").isNotNull()
     merged = [F.when(uses_donor, F.col(f"_donor.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
-    return kept.select(*merged).unionByName(copies.select(*df.columns)).unionByName(df.where(~has_key))
+    return kept.select(*merged).unionByName(copies.select(*df.columns)).unionByName(apart)
 
 
 def merge_violations(df: DataFrame, keys: Sequence[str] = tuple(TIME_KEY)) -> DataFrame:

@@ -106,7 +106,8 @@ def _republished(w):
 
 @query("merge_dupes", with_prelude("SELECT * FROM merged", **MERGED_TABLES))
 def _(w):
-    return reconcile.merge_duplicates(_republished(w))
+    rides = _republished(w)
+    return reconcile.merge_duplicates(rides, repeated=w.counted("republished-times", quality.repeated_keys(rides.dropna(subset=TIME_KEY), TIME_KEY)))
 
 
 @query(

@@ -13,7 +13,7 @@ from tripweave.operators.normalize import add_slice_columns, normalize
 from tripweave.operators.quality import drop_duplicate_rows, repeated_hashes, repeated_keys, sent_if_few
 from tripweave.operators.stations import station_index, station_pairs, station_table
 from tripweave.schema import TIME_KEY
-from tripweave.session import jit_sized_codegen, scratch_path
+from tripweave.session import jit_sized_codegen, scratch_path, tasks_to_count
 from tripweave.sinks.snapshots import bucket_count, held_bytes, read_snapshot, write_snapshot
 from tripweave.sinks.writers import write_month_table, write_table
 from tripweave.sources.fixture import raw_trips
@@ -67,6 +67,13 @@ class Workspace:
             self._snapshots[name] = frame
         return self._snapshots[name]
 
+    def counted(self, name: str, keys: DataFrame) -> DataFrame:
+        """The few of very many keys that a count is to find, counted in tasks of bounded size and stored."""
+        if self.lazy:
+            return keys
+        with tasks_to_count(self.spark):
+            return self._stored(name, keys, write_table)
+
     @cached_property
     def raw(self) -> DataFrame:
         return raw_trips(self.spark, self.sf_dir)

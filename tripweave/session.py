@@ -23,6 +23,10 @@ _JIT_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
 _SORTED_SPLITS = ("spark.sql.files.maxPartitionBytes", "16m")
 
 
+# What a task reads of a shuffle whose rows or keys it holds.
+_COUNTED_PARTS = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
+
+
 @contextmanager
 def _with_setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
@@ -43,6 +47,13 @@ def splits_to_sort(spark: SparkSession):
     return _with_setting(spark, *_SORTED_SPLITS)
 
 
+@contextmanager
+def tasks_to_count(spark: SparkSession) -> Iterator[None]:
+    """Read files and shuffles in parts whose keys a task can hold, for the actions inside the block: keys that hardly repeat take up a row each."""
+    with _with_setting(spark, *_SORTED_SPLITS), _with_setting(spark, *_COUNTED_PARTS):
+        yield
+
+
 def build_session(
     app_name: str = "tripweave", master: str | None = None, shuffle_partitions: int | None = None, settings: dict[str, str] | None = None
 ) -> SparkSession:
