@@ -11,7 +11,7 @@ from __spark_entry__ import entry, oracle_sql
 from __spark_entry__ import queries as registered
 from tests.oracle_check import connect, differences
 from tripweave.plans import all_queries as queries
-from tripweave.plans import all_sql
+from tripweave.plans import all_sql, workspace
 
 SF_DIR = "/root/testdata/sf0.001"
 TWINS = all_sql()
@@ -48,6 +48,26 @@ def test_one_scan_for_the_station_table(spark):
     assert "Join" not in plan
 
 
+def parts_while_written(spark, monkeypatch) -> dict[str, tuple]:
+    """What a task was to read of a file and of a shuffle while a table was written, by the table's name."""
+    seen, write = {}, workspace.write_table
+
+    def noted(df, path):
+        seen[path.rsplit("/", 1)[1].rsplit("-", 1)[0]] = tuple(spark.conf.get(f"spark.sql.{c}") for c in ("files.maxPartitionBytes", "adaptive.advisoryPartitionSizeInBytes"))
+        write(df, path)
+
+    monkeypatch.setattr(workspace, "write_table", noted)
+    return seen
+
+
+def test_keys_that_hardly_repeat_are_counted_in_small_parts(spark, monkeypatch):
+    seen, before = parts_while_written(spark, monkeypatch), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    w = workspace.Workspace(spark, SF_DIR)
+    assert w.repeated_times.columns == ["start_time", "stop_time"]
+    assert seen == {"repeated": ("16m", "16m"), "repeated-times": ("16m", "16m")}
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+
+
 def test_all_queries_are_registered():
     assert set(queries()) <= set(registered())
     assert set(TWINS) <= set(oracle_sql()) <= set(registered())

@@ -86,7 +86,7 @@ class Workspace:
     @cached_property
     def repeated(self) -> DataFrame:
         """Hashes that several normalised rows have."""
-        found = self._stored("repeated", repeated_hashes(self.normalized), write_table)
+        found = self.counted("repeated", repeated_hashes(self.normalized))
         return found if self.lazy else sent_if_few(found)
 
     @cached_property
@@ -97,7 +97,7 @@ class Workspace:
     @cached_property
     def repeated_times(self) -> DataFrame:
         """Starts and stops that several rides share."""
-        found = self._stored("repeated-times", repeated_keys(self.rides, TIME_KEY).select(*TIME_KEY), write_table)
+        found = self.counted("repeated-times", repeated_keys(self.rides, TIME_KEY).select(*TIME_KEY))
         return found if self.lazy else sent_if_few(found)
 
     @cached_property
