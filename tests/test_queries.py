@@ -68,6 +68,14 @@ def test_keys_that_hardly_repeat_are_counted_in_small_parts(spark, monkeypatch):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
 
 
+@pytest.mark.parametrize("name", ["key_violations", "key_violation_sizes", "merge_violations", "merge_dupes"])
+def test_ride_keys_are_counted_in_small_parts(spark, monkeypatch, name):
+    queries()[name](spark, SF_DIR)  # the tables that it shares with others are stored
+    seen = parts_while_written(spark, monkeypatch)
+    queries()[name](spark, SF_DIR)
+    assert list(seen.values()) == [("16m", "16m")]
+
+
 def test_all_queries_are_registered():
     assert set(queries()) <= set(registered())
     assert set(TWINS) <= set(oracle_sql()) <= set(registered())

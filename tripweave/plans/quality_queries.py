@@ -37,7 +37,7 @@ def _(w):
     ),
 )
 def _(w):
-    return quality.key_violations(w.rides)
+    return w.counted("key-violations", quality.key_violations(w.rides))
 
 
 @query(
@@ -49,7 +49,7 @@ def _(w):
     ),
 )
 def _(w):
-    repeated = quality.key_violations(_repeated(w), ["start_time", "stop_time", "bike_id"])
+    repeated = w.counted("bike-violations", quality.key_violations(_repeated(w), ["start_time", "stop_time", "bike_id"]))
     return repeated.groupBy("n_rows").agg(F.count("*").alias("n_keys"))
 
 
@@ -115,7 +115,7 @@ def _(w):
     with_prelude("SELECT start_time, stop_time, CAST(count(*) AS BIGINT) AS n_rows FROM repeated GROUP BY 1, 2 HAVING count(*) > 2", repeated=REPEATED_SQL),
 )
 def _(w):
-    return reconcile.merge_violations(_repeated(w))
+    return w.counted("merge-violations", reconcile.merge_violations(_repeated(w)))
 
 
 @query(
